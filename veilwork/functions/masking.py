@@ -106,7 +106,8 @@ def scan_text(
 
     def apply_rule(state: Column, k: Column) -> Column:
         category = _pick(k, rules, lambda r: r.category)
-        template = _pick(k, rules, lambda r: r.template + (STAND_IN if stand_ins else ""))
+        tag = STAND_IN if stand_ins else ""
+        template = _pick(k, rules, lambda r: tag + r.template + tag)
 
         def with_found(found: Column) -> Column:
             valid = F.filter(found, lambda f: f["ok"])["value"]
