@@ -5,6 +5,7 @@ Time is microseconds since the epoch (BIGINT).  Amounts are never negative.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -14,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilwork.session import checkpointed, shared_dir
+
 SECOND = 1_000_000
+ROWS_PER_TASK = 20_000_000
 
 # --- fixed values: error types and codes ---
 RATE_TYPE, BUDGET_TYPE = "rate_limit_error", "budget_exhausted_error"
@@ -64,6 +68,7 @@ def admit_requests(
     ts: str = "ts_us",
     tokens: str = "tokens",
     recorded: str | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Replay admission: only admitted requests count against later ones.
 
@@ -76,7 +81,10 @@ def admit_requests(
     even all requests together stay below the limits, each is admitted.  That is
     read off per (client, window-long slot) totals.  Only runs of crowded slots
     are replayed, each run on its own, in time order, as a stream that keeps
-    nothing but the entries inside the window.
+    nothing but the entries inside the window.  A run of more than
+    ``rows_per_task`` rows is cut in time and its parts are replayed in turn,
+    each starting from what the part before left inside the window; so no task
+    gets a client whole, however many rows it has.
     """
     amount = F.col(recorded) if recorded else F.col(tokens)
     narrow = df.select(
@@ -93,26 +101,23 @@ def admit_requests(
     too_big = is_oversize(F.col("tokens"), limits)
     oversize = narrow.where(too_big).select("*", *_decided("oversize"))
     slotted = narrow.where(~too_big).withColumn("slot", F.floor(F.col("ts") / limits.window_us))
-    runs = crowded_runs(slotted, limits)
-    # a slot in no run is quiet; `run` starts at its first crowded slot, and the
-    # quiet slot before it is replayed along to fill the window
+    runs = checkpointed(crowded_runs(slotted, limits, rows_per_task))
+    # a slot in no run is quiet; a run starts with the quiet slot before its
+    # first crowded one, whose requests fill the window but are decided already
     placed = slotted.join(runs, ["client", "slot"], "left")
     quiet = placed.where(F.col("run").isNull() | F.col("warm_up"))
-    crowded = placed.where(F.col("run").isNotNull())
-    replayed = (
-        crowded.repartition("client", "run")
-        .sortWithinPartitions("client", "run", "ts", "request")
-        .select("request", "client", "ts", "tokens", "amount", "run", "warm_up")
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    columns = ("request", "client", "ts", "tokens", "amount")
-    out_type = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", " + DECISION_FIELDS
-    decided = replayed.mapInPandas(_replayer(limits), out_type)
+    columns = ["request", "client", "ts", "tokens", "amount"]
+    crowded = placed.where(F.col("run").isNotNull()).select(*columns, "run", "part", "warm_up")
+    last_part = runs.agg(F.max("part").alias("p")).first()["p"] or 0
+    if last_part == 0:
+        decided = _replayed(crowded, limits)
+    else:
+        decided = _replayed_in_parts(crowded, runs, limits, last_part)
     admitted = quiet.select(*columns, *_decided("ok"))
     return _named(
         oversize.select(*columns, "decision", "current_requests", "current_tokens")
         .unionByName(admitted)
-        .unionByName(decided),
+        .unionByName(decided.drop("run")),
         limits,
         request,
         client,
@@ -121,8 +126,51 @@ def admit_requests(
     )
 
 
-def crowded_runs(slotted: DataFrame, limits: Limits) -> DataFrame:
-    """``client, slot, run, warm_up``: slots to replay, and the run each belongs to.
+def _replayed(crowded: DataFrame, limits: Limits) -> DataFrame:
+    """Decisions for rows of crowded runs, each run in one pass."""
+    ordered = crowded.repartition("client", "run").sortWithinPartitions(
+        "client", "run", "ts", "request"
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in crowded.schema.fields}
+    columns = ("request", "client", "ts", "tokens", "amount", "run")
+    out_type = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", " + DECISION_FIELDS
+    return ordered.select(*columns, "warm_up").mapInPandas(_replayer(limits), out_type)
+
+
+def _replayed_in_parts(
+    crowded: DataFrame, runs: DataFrame, limits: Limits, last_part: int
+) -> DataFrame:
+    """The same for runs too long for one task: part by part, all runs side by side.
+
+    Rows go to a table in the shared folder first, so that each pass reads its
+    own part only; decisions go to another, one folder per pass.
+    """
+    spark = crowded.sparkSession
+    base = f"{shared_dir(spark)}/admission-{uuid.uuid4().hex}"
+    crowded.write.partitionBy("part").parquet(f"{base}/rows")
+    rows = spark.read.schema(crowded.schema).parquet(f"{base}/rows")
+    starts = runs.groupBy("client", "run", "part").agg(F.min("slot").alias("first_slot"))
+    for part in range(last_part + 1):
+        todo = rows.where(F.col("part") == part).drop("part")
+        if part:
+            begin = starts.where(F.col("part") == part).drop("part")
+            before = spark.read.parquet(f"{base}/decided/pass={part - 1}")
+            carried = (
+                before.where(F.col("decision") == "ok")
+                .join(begin, ["client", "run"])
+                .where(F.col("ts") >= (F.col("first_slot") - 1) * limits.window_us)
+            )
+            todo = todo.unionByName(
+                carried.withColumn("warm_up", F.lit(True)).select(*todo.columns)
+            )
+        _replayed(todo, limits).write.parquet(f"{base}/decided/pass={part}")
+    return spark.read.parquet(f"{base}/decided").drop("pass")
+
+
+def crowded_runs(
+    slotted: DataFrame, limits: Limits, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``client, slot, run, part, warm_up``: slots to replay, and the run each belongs to.
 
     A request sees at most its own slot and the one before.  If the totals of
     both are within the limits, everything in the slot is admitted for certain.
@@ -143,7 +191,9 @@ def crowded_runs(slotted: DataFrame, limits: Limits) -> DataFrame:
     if limits.max_tokens_per_minute > 0:
         # what others recorded plus the largest estimate bounds every projection
         crowded = crowded | (amount + F.col("biggest") > limits.max_tokens_per_minute)
-    flagged = totals.select("client", "slot", crowded.alias("crowded"))
+    in_run = Window.partitionBy("client", "run").orderBy("slot")
+    in_run_by_share = Window.partitionBy("client", "run").orderBy("share")
+    flagged = totals.select("client", "slot", "n", crowded.alias("crowded"))
     return (
         flagged.withColumn("next_slot", F.lead("slot").over(by_time))
         .withColumn("next_crowded", F.lead("crowded").over(by_time))
@@ -164,7 +214,9 @@ def crowded_runs(slotted: DataFrame, limits: Limits) -> DataFrame:
                 by_time.rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
-        .select("client", "slot", "run", "warm_up")
+        .withColumn("share", F.floor((F.sum("n").over(in_run) - F.col("n")) / rows_per_task))
+        .withColumn("part", F.dense_rank().over(in_run_by_share) - 1)
+        .select("client", "slot", "run", "part", "warm_up")
     )
 
 
@@ -280,6 +332,11 @@ def _replayer(limits: Limits):
                 if keys[a] != current:
                     state, current = WindowState(), keys[a]
                 part = batch.iloc[a:b]
+                # decided elsewhere: the quiet slot before a run, or what a part left over
+                warm = part["warm_up"].to_numpy(dtype=bool)
+                for ts, amount in zip(part["ts"][warm], part["amount"][warm]):
+                    state.record(int(ts), int(amount))
+                part = part[~warm]
                 decision, requests, used = replay(
                     part["ts"].to_numpy(),
                     part["tokens"].to_numpy(),
@@ -287,12 +344,12 @@ def _replayer(limits: Limits):
                     limits,
                     state,
                 )
-                part = part.assign(
-                    decision=decision, current_requests=requests, current_tokens=used
+                parts.append(
+                    part.assign(
+                        decision=decision, current_requests=requests, current_tokens=used
+                    )
                 )
-                # the quiet slot before a run is reported elsewhere
-                parts.append(part[~part["warm_up"].to_numpy(dtype=bool)])
-            yield pd.concat(parts).drop(columns=["run", "warm_up"])
+            yield pd.concat(parts).drop(columns=["warm_up"])
 
     return run
 
