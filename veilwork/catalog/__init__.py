@@ -1,0 +1,14 @@
+"""All registered queries with the SQL that states their results."""
+
+from __future__ import annotations
+
+from veilwork.catalog import texts  # noqa: F401  (registers on import)
+from veilwork.catalog.base import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)
