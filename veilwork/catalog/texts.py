@@ -13,12 +13,14 @@ from veilwork.catalog.base import (
     sql_text,
     table,
 )
+from veilwork.functions.let import bound
 from veilwork.functions.masking import (
     find_hits,
     luhn_valid,
     mask_messages,
     mask_prompts,
     mask_text,
+    scan_text,
 )
 from veilwork.functions.tokens import (
     count_tokens,
@@ -28,7 +30,7 @@ from veilwork.functions.tokens import (
 )
 from veilwork.operators import budgets, detect, restore, sessions
 from veilwork.rules import PRECEDENCE, Rule, PATTERNS, ScrubRules
-from veilwork.session import spread
+from veilwork.session import checkpointed, spread
 
 ALL = ScrubRules()
 CUSTOM = ScrubRules(
@@ -334,7 +336,7 @@ def unmask_roundtrip(spark, sf_dir):
     # masking all sessions and restoring them must give every text back
     masked, entries = sessions.mask_sessions(seeded(spark, sf_dir), rules=ALL)
     return restore.unmask(
-        masked, entries, ["session_id", "turn"], text="masked", rules=ALL
+        checkpointed(masked), entries, ["session_id", "turn"], text="masked", rules=ALL
     ).select("session_id", "turn", "restored")
 
 
@@ -436,9 +438,9 @@ def prompt_tokens(spark, sf_dir):
 def oversize_docs(spark, sf_dir):
     limits = budgets.Limits(max_tokens_per_request=500)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sized = docs.select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
-    return sized.where(budgets.is_oversize(F.col("tokens"), limits)).withColumn(
-        "status", F.lit(budgets.OVERSIZE_STATUS)
+    sized = bound(docs, "tokens", estimate_tokens(F.col("text")))
+    return sized.where(budgets.is_oversize(F.col("tokens"), limits)).select(
+        "doc_id", "tokens", F.lit(budgets.OVERSIZE_STATUS).alias("status")
     )
 
 
@@ -467,29 +469,24 @@ _PER_LANG = ", ".join(
 )
 def redaction_report(spark, sf_dir):
     """Documents, tokens and distinct masked values per language."""
-    docs = seeded(spark, sf_dir)
-    sized = spread(docs.select("lang", "text")).select(
-        "lang", estimate_tokens(F.col("text")).alias("tokens")
+    docs = spread(seeded(spark, sf_dir).select("lang", "text"))
+    scanned = docs.select(
+        "lang",
+        estimate_tokens(F.col("text")).alias("tokens"),
+        scan_text(F.col("text"), ALL)["seen"].alias("seen"),
     )
-    per_lang = sized.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")
+    # one row per value of a document; the first one speaks for the document
+    rows = scanned.select("lang", "tokens", F.posexplode_outer("seen").alias("pos", "v"))
+    speaks = F.coalesce(F.col("pos") == 0, F.lit(True))
+    # values are made distinct first, so that a language with most of them is counted by many tasks
+    values = rows.groupBy("lang", F.col("v.category").alias("category"), F.col("v.value").alias("value")).agg(
+        F.count_if(speaks).alias("docs"),
+        F.sum(F.when(speaks, F.col("tokens"))).alias("tokens"),
+        F.count_if(F.col("pos") == 0).alias("docs_with_hits"),
     )
-    hits = detect.detect_entities(docs, ["doc_id", "lang"], rules=ALL)
-    # distinct first, so that a language with most of the hits is counted by many tasks
-    values = (
-        hits.select("lang", "category", "value")
-        .distinct()
-        .groupBy("lang")
-        .agg(*[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in PRECEDENCE])
-    )
-    touched = (
-        hits.select("lang", "doc_id").distinct().groupBy("lang").agg(
-            F.count(F.lit(1)).alias("docs_with_hits")
-        )
-    )
-    return (
-        per_lang.join(touched, "lang", "left")
-        .join(values, "lang", "left")
-        .fillna(0)
-        .select("lang", "docs", "tokens", "docs_with_hits", *[f"n_{c}" for c in PRECEDENCE])
+    return values.groupBy("lang").agg(
+        F.sum("docs").alias("docs"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("docs_with_hits").alias("docs_with_hits"),
+        *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in PRECEDENCE],
     )

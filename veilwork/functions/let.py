@@ -11,10 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters refer to without evaluating it again.
+
+    A filter on a projected column is pushed below the projection, expression
+    and all, even below a repartitioning.  A generated column stays put.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

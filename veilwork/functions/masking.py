@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +11,12 @@ from veilwork.rules import LUHN_CATEGORY, Rule, ScrubRules
 # U+FDD0 is a Unicode noncharacter: never valid in exchanged text, in no
 # pattern's classes.  It tags the stand-in masks of a session scan so that they
 # can't be confused with mask-like text that a user typed.
-STAND_IN = "﷐"
+STAND_IN = "\ufdd0"
+# More of them, to mark hits while a text is being cut.
+TAGS = ("\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4")
 
 SEEN_TYPE = "array<struct<value:string,category:string,rule:int,mask:string>>"
 HITS_TYPE = "array<struct<rule:int,category:string,ordinal:int,value:string>>"
-FOUND_TYPE = "array<struct<value:string,ok:boolean>>"
 
 
 def luhn_valid(value: Column) -> Column:
@@ -45,30 +44,55 @@ def find_hits(text: Column, rule: Rule) -> Column:
     return hits
 
 
+def has_hits(text: Column, rules: ScrubRules) -> Column:
+    """Whether anything in ``text`` would be masked; stops at the first hit."""
+    answer = F.lit(False)
+    for rule in rules.ordered:
+        if rule.category == LUHN_CATEGORY:
+            hit = F.size(find_hits(text, rule)) > 0
+        else:
+            hit = text.rlike(rule.jvm)
+            if rule.guard:
+                hit = text.rlike(rule.guard) & hit
+        answer = answer | hit
+    if rules.text_guard:
+        answer = text.rlike(rules.text_guard) & answer
+    return F.coalesce(answer, F.lit(False))
+
+
 def _pick(k: Column, rules: ScrubRules, choose) -> Column:
     """A per-rule literal, by rule number."""
     return F.get(F.array(*[F.lit(choose(rule)) for rule in rules.ordered]), k)
 
 
-def _judged(values: Column, accept: Callable[[Column], Column]) -> Column:
-    return F.transform(
-        values, lambda v: F.struct(v.alias("value"), accept(v).alias("ok"))
-    ).cast(FOUND_TYPE)
-
+def _cut(text: Column, k: Column, rules: ScrubRules) -> Column:
+    """``text`` cut at the hits of rule ``k``: text, hit, text, ..., text.
 
-def _found(text: Column, k: Column, rules: ScrubRules) -> Column:
-    """Hits of rule ``k``; one branch per rule, so that every matcher is compiled once."""
-    nothing = F.array().cast(FOUND_TYPE)
+    One branch per rule, so that every matcher is compiled once, and one run of
+    it: hits are wrapped in a tag and the text is split there.
+    """
+    uncut = F.array(text)
     branches = None
     for number, rule in enumerate(rules.ordered):
-        accept = luhn_valid if rule.category == LUHN_CATEGORY else (lambda _v: F.lit(True))
-        hits = _judged(F.regexp_extract_all(text, F.lit(rule.jvm), F.lit(0)), accept)
-        if rule.guard:
-            hits = F.when(text.rlike(rule.guard), hits).otherwise(nothing)
-        branches = (
-            F.when(k == number, hits) if branches is None else branches.when(k == number, hits)
+        cut = let(
+            _free_tag(text),
+            lambda tag: F.split(
+                F.regexp_replace(text, F.lit(rule.jvm), F.concat(tag, F.lit("$0"), tag)), tag, -1
+            ),
         )
-    return branches.otherwise(nothing)
+        if rule.guard:
+            cut = F.when(text.rlike(rule.guard), cut).otherwise(uncut)
+        branches = F.when(k == number, cut) if branches is None else branches.when(k == number, cut)
+    return branches.otherwise(uncut)
+
+
+def _free_tag(text: Column) -> Column:
+    """A noncharacter that does not occur in ``text``."""
+    first, *others, last = TAGS
+    tag = F.when(~F.contains(text, F.lit(first)), first)
+    for other in others:
+        tag = tag.when(~F.contains(text, F.lit(other)), other)
+    return tag.otherwise(last)
 
 
 def fresh_state(text: Column | None = None) -> Column:
@@ -108,9 +132,11 @@ def scan_text(
         category = _pick(k, rules, lambda r: r.category)
         tag = STAND_IN if stand_ins else ""
         template = _pick(k, rules, lambda r: tag + r.template + tag)
+        is_card = category == LUHN_CATEGORY
 
-        def with_found(found: Column) -> Column:
-            valid = F.filter(found, lambda f: f["ok"])["value"]
+        def with_pieces(pieces: Column) -> Column:
+            values = F.filter(pieces, lambda _p, i: i % 2 == 1)
+            valid = F.filter(values, lambda v: ~is_card | luhn_valid(v))
             # numbers are per category, shared by all rules of that name
             before = F.size(F.filter(state["seen"], lambda e: e["category"] == category))
             fresh = F.transform(
@@ -145,19 +171,15 @@ def scan_text(
                 ),
                 lambda s: F.struct(
                     _swap(
-                        state["text"],
-                        _pick(k, rules, lambda r: r.jvm),
-                        found,
-                        s["vals"],
-                        s["masks"],
+                        pieces, is_card, s["vals"], s["masks"]
                     ).alias("text"),
                     s["seen"].alias("seen"),
                     hits.cast(HITS_TYPE).alias("hits"),
                 ),
             )
-            return F.when(F.size(found) == 0, state).otherwise(rewritten)
+            return F.when(F.size(pieces) == 1, state).otherwise(rewritten)
 
-        return let(_found(state["text"], k, rules), with_found)
+        return let(_cut(state["text"], k, rules), with_pieces)
 
     numbers = F.array(*[F.lit(k) for k in range(len(rules.ordered))])
     scanned = F.aggregate(numbers, start, apply_rule)
@@ -167,17 +189,15 @@ def scan_text(
     return F.when(worth_it, scanned).otherwise(start)
 
 
-def _swap(text: Column, pattern: Column, found: Column, vals: Column, masks: Column) -> Column:
-    """Put the mask of each accepted hit in its place."""
+def _swap(pieces: Column, is_card: Column, vals: Column, masks: Column) -> Column:
+    """Join the pieces of a text with the mask of each accepted hit in its place."""
 
     def one(piece: Column, i: Column) -> Column:
-        hit = F.get(found, i)
-        mask = F.get(masks, F.array_position(vals, hit["value"]).cast("int") - 1)
-        return F.concat(
-            piece, F.coalesce(F.when(hit["ok"], mask), hit["value"], F.lit(""))
-        )
+        mask = F.get(masks, F.array_position(vals, piece).cast("int") - 1)
+        accepted = F.when(~is_card | luhn_valid(piece), mask)
+        return F.when(i % 2 == 0, piece).otherwise(F.coalesce(accepted, piece))
 
-    return F.array_join(F.transform(F.split(text, pattern, -1), one), "")
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def mask_text(text: Column, rules: ScrubRules | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions.jsonfix import parse_or_repair
 from veilwork.functions.jsonschema import ERRORS_TYPE, validate_json
-from veilwork.functions.let import let
+from veilwork.functions.let import bound, let
 from veilwork.functions.masking import MESSAGE_TYPE
 
 # --- fixed values: error texts and the repair prompt ---
@@ -132,7 +132,7 @@ def enforce_schema(
     df: DataFrame, rules: SchemaRules, content: str = "content", out: str = "enforced"
 ) -> DataFrame:
     """Add the outcome of enforcing JSON and schema on a reply column."""
-    return df.withColumn(out, enforce_content(F.col(content), rules))
+    return bound(df, out, enforce_content(F.col(content), rules))
 
 
 def failed(enforced: Column) -> Column:

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions.masking import STAND_IN, scan_text
+from veilwork.functions.let import bound
+from veilwork.functions.masking import STAND_IN, has_hits, scan_text
 from veilwork.operators.numbering import number_within
 from veilwork.rules import ScrubRules
 from veilwork.session import checkpointed, spread
@@ -25,10 +26,12 @@ def scan_turns(
     df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules
 ) -> DataFrame:
     """Turns that contain something to mask, with tagged stand-ins in their text."""
-    scanned = spread(df.select(session, *order, text)).select(
-        session, *order, scan_text(F.col(text), rules, stand_ins=True).alias("scan")
+    scanned = bound(
+        spread(df.select(session, *order, text)),
+        "scan",
+        scan_text(F.col(text), rules, stand_ins=True),
     )
-    return scanned.where(F.size("scan.seen") > 0)
+    return scanned.where(F.size("scan.seen") > 0).select(session, *order, "scan")
 
 
 def turn_values(scanned: DataFrame, session: str, order: Sequence[str]) -> DataFrame:
@@ -80,7 +83,7 @@ def mask_map(
     """The reversible map of every session; without rows if the rules aren't reversible."""
     rules = rules or ScrubRules()
     values = turn_values(scan_turns(df, session, order, text, rules), session, order)
-    entries = session_map(values, session, order, rules)
+    entries = session_map(checkpointed(values), session, order, rules)
     if not rules.reversible:
         return entries.where(F.lit(False))
     return restorable(entries, session, order, rules)
@@ -144,9 +147,11 @@ def mask_sessions(
         scanned.join(of_turn, keys).withColumn("place", place).select(*keys, masked.alias(out))
     )
     source = spread(df.select(*keys, text))
-    same = source.where(
-        F.coalesce(F.size(scan_text(F.col(text), rules, stand_ins=True)["seen"]) == 0, F.lit(True))
-    ).select(*keys, F.col(text).alias(out))
+    same = (
+        bound(source, "_found", has_hits(F.col(text), rules))
+        .where(~F.col("_found"))
+        .select(*keys, F.col(text).alias(out))
+    )
     if not rules.reversible:
         return same.unionByName(changed), entries.where(F.lit(False))
     return same.unionByName(changed), restorable(entries, session, order, rules)

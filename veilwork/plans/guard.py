@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.functions.let import bound
 from veilwork.functions.masking import mask_messages, mask_prompts, restore_with
 from veilwork.functions.tokens import request_tokens
 from veilwork.operators.budgets import Limits, admit_requests, settle_usage
 from veilwork.operators.replies import (
     SchemaRules,
-    enforce_content,
+    enforce_schema,
     enforce_with_retry,
     explode_replies,
 )
@@ -46,7 +47,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     session, so its map travels with it.
     """
     estimate = request_tokens(F.col("messages"), F.col("prompt"))
-    sized = spread(requests).withColumn("estimated_tokens", estimate)
+    sized = bound(spread(requests), "estimated_tokens", estimate)
     # admission shuffles ids and numbers only; requests with nothing to estimate aren't checked
     asked = sized.where(F.col("estimated_tokens") > 0)
     decisions = admit_requests(asked, options.budget, tokens="estimated_tokens").select(
@@ -93,7 +94,7 @@ def guard_replies(
         ).select("request_id", "choice", "status", "was_repaired", "errors", "json")
     else:
         enforced = (
-            choices.withColumn("_e", enforce_content(F.col("content"), options.schema))
+            enforce_schema(choices, options.schema, out="_e")
             .select(
                 "request_id",
                 "choice",

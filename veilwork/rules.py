@@ -59,6 +59,17 @@ GUARDS = {
 }
 
 
+# Characters a hit can start with, tested before the costlier word boundary.
+STARTS = {
+    "api_key": r"[skaghSKAGH\u017f\u212a]",
+    "credit_card": r"[3-6]",
+    "ipv4": r"[0-9]",
+    "ssn": r"\p{Nd}",
+    "email": r"[A-Za-z0-9._%+\-\u0130\u0131\u017f\u212a]",
+    "phone": r"[+(1-9]",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """One category with its pattern, ready for Spark."""
@@ -68,10 +79,15 @@ class Rule:
     placeholder: str | None = None
     ignore_case: bool = False
     guard: str | None = None
+    start: str | None = None
 
     @property
     def jvm(self) -> str:
-        return jvm_pattern(self.pattern, self.ignore_case)
+        pattern = jvm_pattern(self.pattern, self.ignore_case)
+        if not self.start:
+            return pattern
+        flags, _, rest = pattern.partition(")")
+        return f"{flags})(?={self.start}){rest}"
 
     @property
     def template(self) -> str:
@@ -113,7 +129,14 @@ class ScrubRules:
         for name in PRECEDENCE:
             if name in self.patterns:
                 rules.append(
-                    Rule(name, PATTERNS[name], None, name in IGNORE_CASE, GUARDS[name])
+                    Rule(
+                        name,
+                        PATTERNS[name],
+                        None,
+                        name in IGNORE_CASE,
+                        GUARDS[name],
+                        STARTS[name],
+                    )
                 )
         return tuple(rules)
 

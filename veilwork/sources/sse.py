@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions.jsonfix import parse_strict, strip
-from veilwork.functions.let import let
+from veilwork.functions.let import bound, let
 
 # --- fixed values ---
 PREFIX = "data:"
@@ -53,7 +53,7 @@ def parse_sse(line: Column) -> Column:
 def parse_sse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Add ``kind, payload, piece, is_done`` to a (batch or streaming) table of lines."""
     return (
-        df.withColumn("_sse", parse_sse(F.col(line)))
+        bound(df, "_sse", parse_sse(F.col(line)))
         .withColumn("kind", F.col("_sse.kind"))
         .withColumn("payload", F.col("_sse.payload"))
         .withColumn("piece", F.col("_sse.piece"))
