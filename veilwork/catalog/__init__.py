@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.catalog import texts, traffic  # noqa: F401  (register on import)
+from veilwork.catalog import flows, json_replies, texts, traffic  # noqa: F401  (register on import)
 from veilwork.catalog.base import ORACLES, QUERIES
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilwork.catalog.base import query, table, ts_us
 
 from veilwork.operators import budgets, telemetry
+from veilwork.session import spread
 from veilwork.sources import requests as request_source
 from veilwork.sources import sse
 
@@ -222,7 +223,7 @@ def settle_usage(spark, sf_dir):
 
 HEADERS = (
     "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Bearer tok' || CAST(user_id AS STRING) "
-    "WHEN 1 THEN '' WHEN 2 THEN 'Bearer ' WHEN 3 THEN ' Basic x ' END AS authorization, "
+    "WHEN 1 THEN '' WHEN 2 THEN 'Bearer ' WHEN 3 THEN ' Basic x ' END AS auth, "
     "CASE event_id % 3 WHEN 0 THEN 'c' || CAST(user_id AS STRING) WHEN 1 THEN '' END AS x_client_id, "
     "CASE event_id % 4 WHEN 0 THEN '10.0.0.' || CAST(user_id AS STRING) WHEN 1 THEN '' END AS host "
     "FROM events"
@@ -231,13 +232,13 @@ HEADERS = (
 
 @query(
     f"""SELECT event_id, CASE WHEN x_client_id <> '' THEN x_client_id
-  WHEN authorization <> '' THEN trim(replace(authorization, 'Bearer ', ''))
+  WHEN auth <> '' THEN trim(replace(auth, 'Bearer ', ''))
   WHEN host <> '' THEN host ELSE 'anonymous_client' END AS client_id FROM ({HEADERS})"""
 )
 def client_key(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
     headers = spark.sql(HEADERS)
-    key = request_source.client_key(F.col("authorization"), F.col("x_client_id"), F.col("host"))
+    key = request_source.client_key(F.col("auth"), F.col("x_client_id"), F.col("host"))
     return headers.select("event_id", key.alias("client_id"))
 
 
@@ -371,7 +372,7 @@ LINES_SPARK = (
 
 
 def sse_lines(spark, sf_dir):
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
     return spark.sql(LINES_SPARK)
 
 

@@ -28,22 +28,31 @@ def parse_sse(line: Column) -> Column:
     )
 
     def parsed(p: Column) -> Column:
-        chunk = F.from_json(p, CHUNK_TYPE)
-        delta = F.get(chunk["choices"], F.lit(0))["delta"]["content"]
-        text = F.get(chunk["choices"], F.lit(0))["text"]
+        first = F.get(F.from_json(p, CHUNK_TYPE)["choices"], F.lit(0))
+        return let(
+            F.struct(
+                p.alias("payload"),
+                F.when(F.length(first["delta"]["content"]) > 0, first["delta"]["content"]).alias("delta"),
+                F.when(F.length(first["text"]) > 0, first["text"]).alias("text"),
+            ),
+            sorted_out,
+        )
+
+    def sorted_out(c: Column) -> Column:
+        p, delta, text = c["payload"], c["delta"], c["text"]
         kind = (
             F.when(F.length(line) == 0, "blank")
             .when(p.isNull(), "other")
             .when(p == DONE, "done")
-            .when(F.length(delta) > 0, "piece")
-            .when(F.length(text) > 0, "text")
+            .when(delta.isNotNull(), "piece")
+            .when(text.isNotNull(), "text")
             .when(parse_strict(p).isNotNull(), "data")
             .otherwise("broken")
         )
         return F.struct(
             kind.alias("kind"),
             p.alias("payload"),
-            F.when(p != DONE, F.coalesce(F.when(F.length(delta) > 0, delta), F.when(F.length(text) > 0, text))).alias("piece"),
+            F.when(p != DONE, F.coalesce(delta, text)).alias("piece"),
             F.coalesce(p == DONE, F.lit(False)).alias("is_done"),
         )
 
