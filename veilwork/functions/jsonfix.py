@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilwork.functions.let import let
-from veilwork.functions.regex import SPACE, WORD
+from veilwork.functions.regex import SPACE, SPACES, WORD
 
 _CLOSED = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
 STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
@@ -26,11 +26,11 @@ LITERALS = {"True": "true", "False": "false", "None": "null"}
 
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]++|[{SPACE}]++\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]++\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def _last_index(text: Column, char: str) -> Column:
@@ -120,25 +120,28 @@ def close_structures(text: Column) -> Column:
     closers = F.aggregate(marks, F.lit(""), push_or_pop)
     body = rstrip(text)
     body = F.when(in_string, F.concat(body, F.lit('"'))).otherwise(
-        F.regexp_replace(body, rf"[{SPACE}]*+,\z", "")
+        F.when(body.endswith(","), rstrip(F.substring(body, F.lit(1), F.length(body) - 1))).otherwise(
+            body
+        )
     )
     return F.concat(body, closers)
 
 
 def repair_json(text: Column) -> Column:
     """All repairs in order: block, comments, literals, quotes, commas, closers, commas."""
+    return let(extract_json_block(text), _repair_block)
+
+
+def _repair_block(block: Column) -> Column:
     return let(
-        extract_json_block(text),
-        lambda a: let(
-            strip_json_comments(a),
-            lambda b: let(
-                fix_python_literals(b),
-                lambda c: let(
-                    fix_single_quotes(c),
-                    lambda d: let(
-                        fix_trailing_commas(d),
-                        lambda e: fix_trailing_commas(close_structures(e)),
-                    ),
+        strip_json_comments(block),
+        lambda b: let(
+            fix_python_literals(b),
+            lambda c: let(
+                fix_single_quotes(c),
+                lambda d: let(
+                    fix_trailing_commas(d),
+                    lambda e: fix_trailing_commas(close_structures(e)),
                 ),
             ),
         ),
@@ -152,19 +155,22 @@ def parse_strict(text: Column) -> Column:
     as the first of two members whose names depend on its own hash, and both
     must come back: no text can close the wrapper early and still supply the other.
     """
-    name = F.hex(F.xxhash64(text))
-    wrapped = F.concat(
-        F.lit('{"a'), name, F.lit('":'), text, F.lit(',"b'), name, F.lit('":0}')
-    )
-    members = F.try_variant_get(
-        F.try_parse_json(wrapped), "$", "map<string,variant>"
-    )
 
-    def checked(m: Column) -> Column:
+    def with_text(t: Column) -> Column:
+        def with_name(name: Column) -> Column:
+            wrapped = F.concat(
+                F.lit('{"a'), name, F.lit('":'), t, F.lit(',"b'), name, F.lit('":0}')
+            )
+            members = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+            return let(members, lambda m: checked(m, name))
+
+        return let(F.hex(F.xxhash64(t)), with_name)
+
+    def checked(m: Column, name: Column) -> Column:
         both = (F.size(m) == 2) & F.map_contains_key(m, F.concat(F.lit("b"), name))
         return F.when(both, F.element_at(m, F.concat(F.lit("a"), name)))
 
-    return let(members, checked)
+    return let(text, with_text)
 
 
 def parse_or_repair(text: Column) -> Column:
@@ -185,15 +191,17 @@ def parse_or_repair(text: Column) -> Column:
     def last(v: Column) -> Column:
         return F.when(v.isNotNull(), outcome(v, 2)).otherwise(failed)
 
-    def third() -> Column:
-        return let(parse_strict(repair_json(text)), last)
-
-    def second(v: Column) -> Column:
-        return F.when(v.isNotNull(), outcome(v, 1)).otherwise(third())
+    def with_block(block: Column) -> Column:
+        return let(
+            parse_strict(block),
+            lambda v: F.when(v.isNotNull(), outcome(v, 1)).otherwise(
+                let(parse_strict(_repair_block(block)), last)
+            ),
+        )
 
     def first(v: Column) -> Column:
         return F.when(v.isNotNull(), outcome(v, 0)).otherwise(
-            let(parse_strict(extract_json_block(text)), second)
+            let(extract_json_block(text), with_block)
         )
 
     blank = F.coalesce(F.length(strip(text)) == 0, F.lit(True))

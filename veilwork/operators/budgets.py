@@ -6,6 +6,7 @@ Time is microseconds since the epoch (BIGINT).  Amounts are never negative.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -278,43 +279,47 @@ class WindowState:
 
 
 def replay(
-    ts: np.ndarray, tokens: np.ndarray, amounts: np.ndarray, limits: Limits, state: WindowState
-) -> tuple[list, np.ndarray, np.ndarray]:
-    """Decide requests in time order, continuing from ``state``.
-
-    While a limit is hit, nothing changes before the oldest entry expires, so
-    all requests up to then are turned down in one step.
+    ts: list[int],
+    tokens: list[int],
+    amounts: list[int],
+    limits: Limits,
+    state: WindowState,
+    decision: list,
+    requests: list,
+    used: list,
+    start: int,
+    end: int,
+) -> None:
+    """Decide requests ``start`` to ``end`` in time order, continuing from ``state``.
+
+    Writes into the three output lists.  While the request limit is hit, nothing
+    changes before the oldest entry expires, so all requests up to then are
+    turned down in one step.
     """
-    n = len(ts)
-    decision = np.full(n, "ok", dtype=object)
-    requests, used = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     most, budget, window = (
         limits.max_requests_per_minute,
         limits.max_tokens_per_minute,
         limits.window_us,
     )
-    i = 0
-    while i < n:
-        state.expire(int(ts[i]) - window)
+    i = start
+    while i < end:
+        now = ts[i]
+        state.expire(now - window)
         count, total = len(state), state.total
-        until = n
-        if count:
-            until = int(np.searchsorted(ts, state.times[state.head] + window, side="right"))
-            until = max(until, i + 1)
         if 0 < most <= count:
-            decision[i:until], requests[i:until], used[i:until] = "requests", count, total
-            i = until
-            continue
-        if budget > 0 and total + tokens[i] > budget:
-            fits = np.flatnonzero(tokens[i:until] <= budget - total)
-            until = i + int(fits[0]) if len(fits) else until
-            decision[i:until], requests[i:until], used[i:until] = "tokens", count, total
+            until = bisect_right(ts, state.times[state.head] + window, i + 1, end)
+            n = until - i
+            decision[i:until] = ["requests"] * n
+            requests[i:until] = [count] * n
+            used[i:until] = [total] * n
             i = until
             continue
         requests[i], used[i] = count, total
-        state.record(int(ts[i]), int(amounts[i]))
+        if budget > 0 and total + tokens[i] > budget:
+            decision[i] = "tokens"
+        else:
+            state.record(now, amounts[i])
         i += 1
-    return decision, requests, used
 
 
 def _replayer(limits: Limits):
@@ -323,33 +328,28 @@ def _replayer(limits: Limits):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current = WindowState(), None
         for batch in batches:
-            if not len(batch):
+            n = len(batch)
+            if not n:
                 continue
-            keys = list(zip(batch["client"], batch["run"]))
-            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            parts = []
+            client, run_id = batch["client"].to_numpy(), batch["run"].to_numpy()
+            ts, tokens = batch["ts"].tolist(), batch["tokens"].tolist()
+            amounts, warm = batch["amount"].tolist(), batch["warm_up"].to_numpy(dtype=bool)
+            changes = (client[1:] != client[:-1]) | (run_id[1:] != run_id[:-1])
+            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
+            decision, requests, used = ["ok"] * n, [0] * n, [0] * n
             for a, b in zip(edges, edges[1:]):
-                if keys[a] != current:
-                    state, current = WindowState(), keys[a]
-                part = batch.iloc[a:b]
-                # decided elsewhere: the quiet slot before a run, or what a part left over
-                warm = part["warm_up"].to_numpy(dtype=bool)
-                for ts, amount in zip(part["ts"][warm], part["amount"][warm]):
-                    state.record(int(ts), int(amount))
-                part = part[~warm]
-                decision, requests, used = replay(
-                    part["ts"].to_numpy(),
-                    part["tokens"].to_numpy(),
-                    part["amount"].to_numpy(),
-                    limits,
-                    state,
-                )
-                parts.append(
-                    part.assign(
-                        decision=decision, current_requests=requests, current_tokens=used
-                    )
-                )
-            yield pd.concat(parts).drop(columns=["warm_up"])
+                if current != (client[a], run_id[a]):
+                    state, current = WindowState(), (client[a], run_id[a])
+                # decided elsewhere: the quiet slot before a run, or what a part
+                # left over; such rows come first in time
+                while a < b and warm[a]:
+                    state.record(ts[a], amounts[a])
+                    a += 1
+                replay(ts, tokens, amounts, limits, state, decision, requests, used, a, b)
+            out = batch.drop(columns=["warm_up"]).assign(
+                decision=decision, current_requests=requests, current_tokens=used
+            )
+            yield out[~warm]
 
     return run
 

@@ -18,7 +18,7 @@ from veilwork.operators.replies import (
     explode_replies,
 )
 from veilwork.rules import ScrubRules
-from veilwork.session import spread
+from veilwork.session import checkpointed, spread
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,23 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     session, so its map travels with it.
     """
     estimate = request_tokens(F.col("messages"), F.col("prompt"))
-    sized = bound(spread(requests), "estimated_tokens", estimate)
-    # admission shuffles ids and numbers only; requests with nothing to estimate aren't checked
+    # texts are read once for the estimate; admission then works on ids and numbers
+    sized = checkpointed(
+        bound(spread(requests), "estimated_tokens", estimate).select(
+            "request_id", "client_id", "ts_us", "estimated_tokens"
+        )
+    )
+    # requests with nothing to estimate aren't checked
     asked = sized.where(F.col("estimated_tokens") > 0)
     decisions = admit_requests(asked, options.budget, tokens="estimated_tokens").select(
-        "request_id", "decision", "status"
+        "request_id", "estimated_tokens", "decision", "status"
+    )
+    judged = (
+        requests.join(decisions, "request_id", "left")
+        .withColumn("estimated_tokens", F.coalesce("estimated_tokens", F.lit(0).cast("bigint")))
+        .withColumn("decision", F.coalesce("decision", F.lit("ok")))
+        .withColumn("status", F.coalesce("status", F.lit(200)))
     )
-    judged = sized.join(decisions, "request_id", "left").withColumn(
-        "decision", F.coalesce("decision", F.lit("ok"))
-    ).withColumn("status", F.coalesce("status", F.lit(200)))
     ok = F.col("decision") == "ok"
     masked = judged.withColumn(
         "_chat", F.when(ok, mask_messages(F.col("messages"), options.pii))

@@ -48,20 +48,20 @@ def stream_admit(df: DataFrame, limits: Limits) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts_us", "request_id"])
         times, amounts, last = state.get if state.exists else ([], [], None)
         window = WindowState(times, amounts)
-        n = len(rows)
-        decision = np.full(n, "ok", dtype=object)
-        requests, used = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         ts, tokens = rows["ts_us"].to_numpy(), rows["tokens"].to_numpy()
-        late = ts < last if last is not None else np.zeros(n, dtype=bool)
-        big = np.zeros(n, dtype=bool)
+        late = ts < last if last is not None else np.zeros(len(rows), dtype=bool)
+        big = np.zeros(len(rows), dtype=bool)
         if limits.enabled and limits.max_tokens_per_request > 0:
             big = tokens > limits.max_tokens_per_request
-        decision[big], decision[late] = "oversize", "late"
+        decision = np.where(late, "late", np.where(big, "oversize", "ok")).astype(object)
+        requests, used = np.zeros((2, len(rows)), dtype=np.int64)
         todo = ~late & ~big
         if limits.enabled and todo.any():
-            decision[todo], requests[todo], used[todo] = replay(
-                ts[todo], tokens[todo], tokens[todo], limits, window
-            )
+            asked, amounts = ts[todo].tolist(), tokens[todo].tolist()
+            n = len(asked)
+            verdict, count, total = ["ok"] * n, [0] * n, [0] * n
+            replay(asked, amounts, amounts, limits, window, verdict, count, total, 0, n)
+            decision[todo], requests[todo], used[todo] = verdict, count, total
         newest = int(ts.max()) if last is None else max(last, int(ts.max()))
         window.expire(newest - limits.window_us)
         head = window.head
