@@ -180,6 +180,73 @@ def settle_guarded(spark, sf_dir):
     return guard.settle(guarded, replies, done).select("request_id", "settled_tokens")
 
 
+# Short requests, one per event, through the whole chain: mask, estimate, admit,
+# repair a fenced reply with a trailing comma, check it, restore, settle.
+SHORT = guard.GuardOptions(
+    pii=ALL,
+    schema=SchemaRules(
+        enabled=True,
+        strict_json=True,
+        schema={
+            "type": "object",
+            "required": ["status", "target", "count"],
+            "properties": {
+                "status": {"type": "string"},
+                "target": {"type": "string"},
+                "count": {"type": "integer"},
+            },
+        },
+    ),
+    budget=Limits(max_requests_per_minute=1_000_000, max_tokens_per_minute=100_000_000),
+)
+_WHO = "'dev' || CAST(user_id AS STRING) || '@company.org'"
+_HOST = "'192.168.1.' || CAST(event_id % 256 AS STRING)"
+SHORT_TEXT = f"'Alert user at ' || {_WHO} || ' regarding server incident ' || {_HOST} || '!'"
+SHORT_REPLY = (
+    "chr(96) || chr(96) || chr(96) || 'json' || chr(10) || '{\"status\": \"dispatched\", "
+    "\"target\": \"[EMAIL_1]\", \"count\": 1,}' || chr(10) || chr(96) || chr(96) || chr(96)"
+)
+
+
+@query(
+    f"""SELECT event_id AS request_id, 7 + {tokens_sql('t')} AS estimated_tokens, 'repaired' AS status,
+  {_WHO} AS target, 35::BIGINT AS settled_tokens FROM (SELECT *, {SHORT_TEXT} AS t FROM events)"""
+)
+def guard_short_requests(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    none = F.lit(None)
+    turn = F.struct(
+        F.lit("user").alias("role"), F.expr(SHORT_TEXT).alias("content"), none.alias("parts")
+    )
+    requests = events.select(
+        F.col("event_id").alias("request_id"),
+        F.col("user_id").alias("client_id"),
+        ts_us().alias("ts_us"),
+        F.array(turn).cast(f"array<{MESSAGE_TYPE}>").alias("messages"),
+        none.cast("array<string>").alias("prompt"),
+    )
+    reply = F.struct(F.lit("assistant").alias("role"), F.expr(SHORT_REPLY).alias("content"))
+    replies = events.select(
+        F.col("event_id").alias("request_id"),
+        F.array(F.struct(reply.alias("message"), none.cast("string").alias("text"))).alias("choices"),
+        F.struct(F.lit(35).cast("bigint").alias("total_tokens")).alias("usage"),
+    )
+    guarded = checkpointed(
+        guard.guard_requests(requests, SHORT).select(
+            "request_id", "client_id", "estimated_tokens", "decision", "map"
+        )
+    )
+    done = checkpointed(guard.guard_replies(guarded, replies, SHORT))
+    settled = guard.settle(guarded, replies, done)
+    return settled.join(done, "request_id").select(
+        "request_id",
+        "estimated_tokens",
+        "status",
+        F.get_json_object("content", "$.target").alias("target"),
+        "settled_tokens",
+    )
+
+
 # ----------------------------------------------------------------------- streaming
 
 
@@ -283,17 +350,14 @@ def chunk_mask(spark, sf_dir):
 @query(CHUNKS_SQL)
 def stream_chunk_mask(spark, sf_dir):
     docs = stream_of(spark, sf_dir, "documents")
-    clean = docs.select("doc_id", F.expr(CLEAN_TEXT).alias("clean"))
-    count = F.ceil(F.length("clean") / F.lit(17.0)).cast("int")
-    pieces = clean.select(
+    cut = F.regexp_extract_all(F.expr(CLEAN_TEXT), F.lit("(?s).{1,17}"), F.lit(0))
+    pieces = docs.select(
         F.col("doc_id").alias("stream_id"),
-        "clean",
-        F.explode(F.sequence(F.lit(0), count)).alias("seq"),
-        count.alias("n"),
+        F.posexplode(F.concat(cut, F.array(F.lit(None).cast("string")))).alias("seq", "piece"),
     ).select(
         "stream_id",
         F.col("seq").cast("bigint").alias("seq"),
-        F.substring("clean", F.col("seq") * 17 + 1, F.lit(17)).alias("piece"),
-        (F.col("seq") == F.col("n")).alias("is_done"),
+        "piece",
+        F.col("piece").isNull().alias("is_done"),
     )
     return joined(online.run_available(chunks.stream_mask_chunks(pieces, UNBROKEN)))

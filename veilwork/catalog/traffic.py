@@ -364,10 +364,14 @@ LINES_SQL = (
     + f"(SELECT doc_id, clean, n, unnest(range(0, n + 6)) AS seq FROM "
     f"(SELECT doc_id, {CLEAN} AS clean, {COUNT} AS n FROM documents))"
 )
+# the same lines, cut by one matcher run per text
 LINES_SPARK = (
-    LINES
-    + f"(SELECT doc_id, clean, n, explode(sequence(0, n + 5)) AS seq FROM "
-    f"(SELECT doc_id, {CLEAN} AS clean, {COUNT} AS n FROM documents))"
+    "SELECT doc_id AS stream_id, CAST(seq AS BIGINT) AS seq, line FROM (SELECT doc_id, posexplode(concat("
+    "array('', ': keep-alive', 'data: {\"choices\": [{\"text\": \"legacy\"}]}', "
+    "'data: {\"choices\": []}', 'data: {broken'), transform("
+    f"regexp_extract_all({CLEAN}, '(?s).{{1,{PIECE}}}', 0), "
+    "p -> 'data:  {\"choices\": [{\"index\": 0, \"delta\": {\"content\": \"' || p || '\"}}]} '), "
+    "array('data: [DONE]'))) AS (seq, line) FROM documents)"
 )
 
 

@@ -148,6 +148,27 @@ def _repair_block(block: Column) -> Column:
     )
 
 
+def _plausible(text: Column) -> Column:
+    """False only for texts that can't be JSON; a failing parse costs far more than this.
+
+    Opener and closer must agree, and outside strings there is only what JSON
+    allows, without a comma before a closer.
+    """
+    body = F.btrim(text, F.lit(" \t\n\r"))
+    first, last = F.substring(body, 1, 1), F.substring(body, -1, 1)
+    ends = (
+        F.when(first == "{", last == "}")
+        .when(first == "[", last == "]")
+        .when(first == '"', last == '"')
+        .otherwise(first.rlike("[-0-9tfn]"))
+    )
+    legal = rf'\A[-+.0-9eE\[\]{{}}:,"truefalsn \t\n\r]*+\z'
+    return ends & let(
+        F.when(F.contains(text, F.lit('"')), F.regexp_replace(text, STRING, '""')).otherwise(text),
+        lambda bare: bare.rlike(legal) & ~bare.rlike(r",[ \t\n\r]*+[}\]]"),
+    )
+
+
 def parse_strict(text: Column) -> Column:
     """The text as VARIANT, or null if it is not exactly one JSON value.
 
@@ -164,7 +185,7 @@ def parse_strict(text: Column) -> Column:
             members = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
             return let(members, lambda m: checked(m, name))
 
-        return let(F.hex(F.xxhash64(t)), with_name)
+        return F.when(_plausible(t), let(F.hex(F.xxhash64(t)), with_name))
 
     def checked(m: Column, name: Column) -> Column:
         both = (F.size(m) == 2) & F.map_contains_key(m, F.concat(F.lit("b"), name))

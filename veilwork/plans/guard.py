@@ -47,7 +47,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     session, so its map travels with it.
     """
     estimate = request_tokens(F.col("messages"), F.col("prompt"))
-    # texts are read once for the estimate; admission then works on ids and numbers
+    # admission works on ids and numbers
     sized = checkpointed(
         bound(spread(requests), "estimated_tokens", estimate).select(
             "request_id", "client_id", "ts_us", "estimated_tokens"
@@ -55,12 +55,16 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     )
     # requests with nothing to estimate aren't checked
     asked = sized.where(F.col("estimated_tokens") > 0)
-    decisions = admit_requests(asked, options.budget, tokens="estimated_tokens").select(
-        "request_id", "estimated_tokens", "decision", "status"
+    # Only rejections are joined back.  They are few in the common case, and when
+    # their size shows that at run time, no text is shuffled.
+    rejected = (
+        admit_requests(asked, options.budget, tokens="estimated_tokens")
+        .where(F.col("decision") != "ok")
+        .select("request_id", "decision", "status")
     )
     judged = (
-        requests.join(decisions, "request_id", "left")
-        .withColumn("estimated_tokens", F.coalesce("estimated_tokens", F.lit(0).cast("bigint")))
+        bound(spread(requests), "estimated_tokens", estimate)
+        .join(rejected, "request_id", "left")
         .withColumn("decision", F.coalesce("decision", F.lit("ok")))
         .withColumn("status", F.coalesce("status", F.lit(200)))
     )
@@ -95,7 +99,7 @@ def guard_replies(
     retry_content``.  Returns ``request_id, choice, status, was_repaired,
     errors, content``; failed choices have no content.
     """
-    choices = explode_replies(replies, ["request_id"])
+    choices = explode_replies(spread(replies), ["request_id"])
     if retries is not None and options.schema.active and options.schema.retries:
         enforced = enforce_with_retry(
             choices, retries, ["request_id", "choice"], options.schema

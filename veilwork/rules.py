@@ -59,6 +59,9 @@ GUARDS = {
 }
 
 
+# Letters, with those that match an ASCII letter when case is ignored.
+FOLDED_LETTERS = r"A-Za-z\u0130\u0131\u017f\u212a"
+
 # Characters a hit can start with, tested before the costlier word boundary.
 STARTS = {
     "api_key": r"[skaghSKAGH\u017f\u212a]",
@@ -84,6 +87,9 @@ class Rule:
     @property
     def jvm(self) -> str:
         pattern = jvm_pattern(self.pattern, self.ignore_case)
+        if self.category == "email" and self.pattern == PATTERNS["email"]:
+            # the characters that fold into ASCII letters, in place of a slow flag
+            pattern = jvm_pattern(self.pattern).replace("A-Za-z", FOLDED_LETTERS)
         if not self.start:
             return pattern
         flags, _, rest = pattern.partition(")")
