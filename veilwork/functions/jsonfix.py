@@ -19,7 +19,8 @@ _CLOSED_SINGLE = r"\A'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'\z"
 _SINGLE = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"
 
 # --- fixed values ---
-FENCE = rf"(?i)```(?:json)?[{SPACE}]*\n?([\s\S]*?)\n?```"
+FENCE = "```"
+FENCE_TAG = r"\A(?iu:json)"
 LITERALS = {"True": "true", "False": "false", "None": "null"}
 # --- end of fixed values ---
 
@@ -50,8 +51,14 @@ def extract_json_block(text: Column) -> Column:
         .when(end > start, F.substring(text, start, end - start + 1))
         .otherwise(F.substring(text, start, F.length(text)))
     )
-    fenced = F.contains(text, F.lit("```")) & text.rlike(FENCE)
-    return strip(F.when(fenced, F.regexp_extract(text, FENCE, 1)).otherwise(span))
+    # between the first two fences, without the tag
+    fenced = let(
+        F.split(text, FENCE, 3),
+        lambda p: F.when(
+            F.size(p) == 3, F.regexp_replace(F.get(p, F.lit(1)), FENCE_TAG, "")
+        ).otherwise(span),
+    )
+    return strip(F.when(F.contains(text, F.lit(FENCE)), fenced).otherwise(span))
 
 
 def strip_json_comments(text: Column) -> Column:
