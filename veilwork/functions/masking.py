@@ -274,57 +274,49 @@ def mask_messages(messages: Column, rules: ScrubRules | None = None) -> Column:
     """
     rules = rules or ScrubRules()
 
-    def part_step(acc: Column, part: Column) -> Column:
-        masked = let(
-            scan_text(part["text"], rules, carry=acc["state"]),
+    def text_step(acc: Column, text: Column) -> Column:
+        return let(
+            scan_text(text, rules, carry=acc["state"]),
             lambda s: F.struct(
-                s.alias("state"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            part["type"].alias("type"),
-                            s["text"].alias("text"),
-                            part["image_url"].alias("image_url"),
-                        )
-                    ),
-                ).alias("out"),
+                s.alias("state"), F.concat(acc["out"], F.array(s["text"])).alias("out")
             ),
         )
-        kept = F.struct(acc["state"].alias("state"), F.concat(acc["out"], F.array(part)).alias("out"))
-        return F.when((part["type"] == "text") & part["text"].isNotNull(), masked).otherwise(kept)
 
     def message_step(acc: Column, message: Column) -> Column:
-        def with_content(s: Column) -> Column:
-            parts = F.aggregate(
-                message["parts"],
-                F.struct(
-                    s.alias("state"), F.array().cast(f"array<{PART_TYPE}>").alias("out")
+        parts = message["parts"]
+        # the content first, then one text per part, null where there is none to mask
+        texts = F.concat(
+            F.array(message["content"]),
+            F.transform(
+                F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")),
+                lambda p: F.when(p["type"] == "text", p["text"]),
+            ),
+        )
+
+        def rebuilt(done: Column) -> Column:
+            masked_parts = F.transform(
+                parts,
+                lambda p, i: F.struct(
+                    p["type"].alias("type"),
+                    F.when(p["type"] == "text", F.get(done["out"], i + 1))
+                    .otherwise(p["text"])
+                    .alias("text"),
+                    p["image_url"].alias("image_url"),
                 ),
-                part_step,
             )
-            done = F.coalesce(
-                parts,
-                F.struct(s.alias("state"), F.lit(None).cast(f"array<{PART_TYPE}>").alias("out")),
+            built = F.struct(
+                message["role"].alias("role"),
+                F.get(done["out"], F.lit(0)).alias("content"),
+                masked_parts.alias("parts"),
             )
-            return let(
-                done,
-                lambda p: F.struct(
-                    p["state"].alias("state"),
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                message["role"].alias("role"),
-                                s["text"].alias("content"),
-                                p["out"].alias("parts"),
-                            )
-                        ),
-                    ).alias("out"),
-                ),
+            return F.struct(
+                done["state"].alias("state"), F.concat(acc["out"], F.array(built)).alias("out")
             )
 
-        return let(scan_text(message["content"], rules, carry=acc["state"]), with_content)
+        begin = F.struct(
+            acc["state"].alias("state"), F.array().cast("array<string>").alias("out")
+        )
+        return let(F.aggregate(texts, begin, text_step), rebuilt)
 
     start = F.struct(
         fresh_state().alias("state"), F.array().cast(f"array<{MESSAGE_TYPE}>").alias("out")

@@ -65,25 +65,32 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     judged = (
         bound(spread(requests), "estimated_tokens", estimate)
         .join(rejected, "request_id", "left")
-        .withColumn("decision", F.coalesce("decision", F.lit("ok")))
-        .withColumn("status", F.coalesce("status", F.lit(200)))
+        .withColumns(
+            {
+                "decision": F.coalesce("decision", F.lit("ok")),
+                "status": F.coalesce("status", F.lit(200)),
+            }
+        )
     )
     ok = F.col("decision") == "ok"
-    masked = judged.withColumn(
-        "_chat", F.when(ok, mask_messages(F.col("messages"), options.pii))
-    ).withColumn(
-        "_text",
-        F.when(ok & F.col("messages").isNull(), mask_prompts(F.col("prompt"), options.pii)),
+    masked = judged.withColumns(
+        {
+            "_chat": F.when(ok, mask_messages(F.col("messages"), options.pii)),
+            "_text": F.when(
+                ok & F.col("messages").isNull(), mask_prompts(F.col("prompt"), options.pii)
+            ),
+        }
     )
-    return (
-        masked.withColumn("messages", F.col("_chat.messages"))
-        .withColumn(
-            "prompt",
-            F.when(ok & F.col("_chat").isNotNull(), F.col("prompt")).otherwise(F.col("_text.prompts")),
-        )
-        .withColumn("map", F.coalesce(F.col("_chat.map"), F.col("_text.map")))
-        .drop("_chat", "_text")
+    prompt = F.when(ok & F.col("_chat").isNotNull(), F.col("prompt")).otherwise(
+        F.col("_text.prompts")
     )
+    return masked.withColumns(
+        {
+            "messages": F.col("_chat.messages"),
+            "prompt": prompt,
+            "map": F.coalesce(F.col("_chat.map"), F.col("_text.map")),
+        }
+    ).drop("_chat", "_text")
 
 
 def guard_replies(
