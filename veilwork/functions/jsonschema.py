@@ -35,6 +35,19 @@ KIND_NAMES = {
     "array": "list",
     "object": "dict",
 }
+MESSAGES = {
+    "type": ": expected type '{expected}', got '{actual}'",
+    "enum": ": value {actual} is not in allowed enum {expected}",
+    "minLength": ": string length {actual} is less than minLength {expected}",
+    "maxLength": ": string length {actual} exceeds maxLength {expected}",
+    "pattern": ": string does not match required regex pattern '{expected}'",
+    "minimum": ": number {actual} is less than minimum {expected}",
+    "maximum": ": number {actual} is greater than maximum {expected}",
+    "required": ": required field is missing",
+    "additionalProperties": ": additional property is not allowed",
+    "minItems": ": array length {actual} is less than minItems {expected}",
+    "maxItems": ": array length {actual} exceeds maxItems {expected}",
+}
 # --- end of fixed values ---
 
 
@@ -75,15 +88,20 @@ def _none() -> Column:
     return F.array().cast(ERRORS_TYPE)
 
 
-def _error(path: Column, rule: str, expected: Any, actual: Column, *message: Any) -> Column:
-    """One error; ``message`` parts follow the path."""
-    said = [m if isinstance(m, Column) else F.lit(str(m)) for m in message]
+def _error(path: Column, rule: str, expected: Any, actual: Column) -> Column:
+    """One error, with its message."""
+    actual = actual.cast("string")
+    said: list[Column] = [path]
+    for i, part in enumerate(MESSAGES[rule].split("{actual}")):
+        if i:
+            said.append(actual)
+        said.append(F.lit(part.replace("{expected}", str(expected))))
     return F.struct(
         path.alias("path"),
         F.lit(rule).alias("rule"),
         (expected if isinstance(expected, Column) else F.lit(str(expected))).alias("expected"),
-        actual.cast("string").alias("actual"),
-        F.concat(path, *said).alias("message"),
+        actual.alias("actual"),
+        F.concat(*said).alias("message"),
     )
 
 
@@ -146,8 +164,7 @@ def _node(value: Column, schema: Mapping[str, Any], path: Column) -> Column:
             checks.append(
                 _if(
                     ~_in_enum(v, kind, schema["enum"]),
-                    _error(path, "enum", schema["enum"], shown,
-                           ": value ", shown, f" is not in allowed enum {schema['enum']}"),
+                    _error(path, "enum", schema["enum"], shown),
                 )
             )
         checks += _string_checks(v, kind, schema, path)
@@ -184,10 +201,7 @@ def _node(value: Column, schema: Mapping[str, Any], path: Column) -> Column:
             actual = F.element_at(
                 F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair]), kind
             )
-            wrong = F.array(
-                _error(path, "type", expected, actual,
-                       f": expected type '{expected}', got '", actual, "'")
-            ).cast(ERRORS_TYPE)
+            wrong = F.array(_error(path, "type", expected, actual)).cast(ERRORS_TYPE)
             result = F.when(fits, result).otherwise(wrong)
         return result
 
@@ -198,35 +212,25 @@ def _string_checks(v: Column, kind: Column, schema: Mapping[str, Any], path: Col
     text = F.when(kind == "string", F.try_variant_get(v, "$", "string"))
     size = F.length(text)
     if "minLength" in schema:
-        n = schema["minLength"]
-        yield _if(size < n, _error(path, "minLength", n, size,
-                                   ": string length ", size.cast("string"),
-                                   f" is less than minLength {n}"))
+        least = schema["minLength"]
+        yield _if(size < least, _error(path, "minLength", least, size))
     if "maxLength" in schema:
-        n = schema["maxLength"]
-        yield _if(size > n, _error(path, "maxLength", n, size,
-                                   ": string length ", size.cast("string"),
-                                   f" exceeds maxLength {n}"))
+        most = schema["maxLength"]
+        yield _if(size > most, _error(path, "maxLength", most, size))
     if "pattern" in schema:
-        p = schema["pattern"]
-        yield _if(~text.rlike(jvm_pattern(p)),
-                  _error(path, "pattern", p, text,
-                         f": string does not match required regex pattern '{p}'"))
+        pattern = schema["pattern"]
+        yield _if(~text.rlike(jvm_pattern(pattern)), _error(path, "pattern", pattern, text))
 
 
 def _number_checks(v: Column, kind: Column, schema: Mapping[str, Any], path: Column):
     is_number = kind.isin("integer", "float")
     shown = _as_text(v, kind)
     if "minimum" in schema:
-        n = schema["minimum"]
-        yield _if(is_number & _below(v, kind, n),
-                  _error(path, "minimum", n, shown,
-                         ": number ", shown, f" is less than minimum {n}"))
+        least = schema["minimum"]
+        yield _if(is_number & _below(v, kind, least), _error(path, "minimum", least, shown))
     if "maximum" in schema:
-        n = schema["maximum"]
-        yield _if(is_number & _above(v, kind, n),
-                  _error(path, "maximum", n, shown,
-                         ": number ", shown, f" is greater than maximum {n}"))
+        most = schema["maximum"]
+        yield _if(is_number & _above(v, kind, most), _error(path, "maximum", most, shown))
 
 
 def _names(values: Sequence[str]) -> Column:
@@ -241,8 +245,7 @@ def _object_errors(members: Column, schema: Mapping[str, Any], path: Column) ->
         parts.append(
             F.transform(
                 F.array_except(_names(schema["required"]), keys),
-                lambda k: _error(F.concat(path, F.lit("."), k), "required", k, F.lit(None),
-                                 ": required field is missing"),
+                lambda k: _error(F.concat(path, F.lit("."), k), "required", k, F.lit(None)),
             )
         )
     for name, sub in properties.items():
@@ -256,8 +259,7 @@ def _object_errors(members: Column, schema: Mapping[str, Any], path: Column) ->
         parts.append(
             F.transform(
                 F.array_except(keys, _names(list(properties))),
-                lambda k: _error(F.concat(path, F.lit("."), k), "additionalProperties", False, k,
-                                 ": additional property is not allowed"),
+                lambda k: _error(F.concat(path, F.lit("."), k), "additionalProperties", False, k),
             )
         )
     return F.concat(*[p.cast(ERRORS_TYPE) for p in parts]) if parts else _none()
@@ -267,15 +269,11 @@ def _array_errors(items: Column, schema: Mapping[str, Any], path: Column) -> Col
     size = F.size(items)
     parts = []
     if "minItems" in schema:
-        n = schema["minItems"]
-        parts.append(_if(size < n, _error(path, "minItems", n, size,
-                                          ": array length ", size.cast("string"),
-                                          f" is less than minItems {n}")))
+        least = schema["minItems"]
+        parts.append(_if(size < least, _error(path, "minItems", least, size)))
     if "maxItems" in schema:
-        n = schema["maxItems"]
-        parts.append(_if(size > n, _error(path, "maxItems", n, size,
-                                          ": array length ", size.cast("string"),
-                                          f" exceeds maxItems {n}")))
+        most = schema["maxItems"]
+        parts.append(_if(size > most, _error(path, "maxItems", most, size)))
     sub = schema.get("items")
     if sub and isinstance(sub, Mapping):
         parts.append(

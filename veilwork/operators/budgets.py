@@ -1,6 +1,7 @@
 """Client budgets over a sliding window: admission, usage, settlement.
 
-Time is microseconds since the epoch (BIGINT).  Amounts are never negative.
+Time is microseconds since the epoch (BIGINT).  Amounts are never negative, and
+clients and request ids never null (a client key never is).
 """
 
 from __future__ import annotations
@@ -21,7 +22,18 @@ from veilwork.session import checkpointed, shared_dir
 SECOND = 1_000_000
 ROWS_PER_TASK = 20_000_000
 
-# --- fixed values: error types and codes ---
+# --- fixed values: error texts, types and codes ---
+OVERSIZE_TEXT = (
+    "Estimated prompt tokens (%d) exceeds max allowed per request ({max_tokens_per_request})."
+)
+REQUESTS_TEXT = (
+    "Request rate limit exceeded. Max {max_requests_per_minute} requests "
+    "per {sliding_window_seconds}s."
+)
+TOKENS_TEXT = (
+    "Token rate limit exceeded. Projected %d tokens exceeds limit of {max_tokens_per_minute} "
+    "per {sliding_window_seconds}s."
+)
 RATE_TYPE, BUDGET_TYPE = "rate_limit_error", "budget_exhausted_error"
 RATE_CODE, BUDGET_CODE = "token_budget_exceeded", "insufficient_quota"
 OVERSIZE_STATUS = 400
@@ -49,6 +61,12 @@ class Limits:
         return self.sliding_window_seconds * SECOND
 
 
+def whole_steps(ts: Column, step: int) -> Column:
+    """floor(ts / step) in integer arithmetic."""
+    size = F.lit(step).cast("bigint")
+    return F.call_function("div", ts - F.pmod(ts, size), size)
+
+
 def is_oversize(tokens: Column, limits: Limits) -> Column:
     """Estimate above the per-request limit."""
     if not limits.enabled or limits.max_tokens_per_request <= 0:
@@ -101,7 +119,9 @@ def admit_requests(
 
     too_big = is_oversize(F.col("tokens"), limits)
     oversize = narrow.where(too_big).select("*", *_decided("oversize"))
-    slotted = narrow.where(~too_big).withColumn("slot", F.floor(F.col("ts") / limits.window_us))
+    slotted = narrow.where(~too_big).withColumn(
+        "slot", whole_steps(F.col("ts"), limits.window_us)
+    )
     runs = checkpointed(crowded_runs(slotted, limits, rows_per_task))
     # a slot in no run is quiet; a run starts with the quiet slot before its
     # first crowded one, whose requests fill the window but are decided already
@@ -359,27 +379,14 @@ def rejection_detail(
 ) -> Column:
     """The error report of a rejected request as a struct; null if admitted."""
     seconds = limits.sliding_window_seconds
+    oversize, requests_hit, tokens_hit = (
+        text.format(**vars(limits)) for text in (OVERSIZE_TEXT, REQUESTS_TEXT, TOKENS_TEXT)
+    )
+    projected = F.coalesce(used, F.lit(0)) + tokens
     message = (
-        F.when(
-            decision == "oversize",
-            F.format_string(
-                "Estimated prompt tokens (%d) exceeds max allowed per request "
-                f"({limits.max_tokens_per_request}).",
-                tokens,
-            ),
-        )
-        .when(
-            decision == "requests",
-            f"Request rate limit exceeded. Max {limits.max_requests_per_minute} requests "
-            f"per {seconds}s.",
-        )
-        .otherwise(
-            F.format_string(
-                "Token rate limit exceeded. Projected %d tokens exceeds limit of "
-                f"{limits.max_tokens_per_minute} per {seconds}s.",
-                F.coalesce(used, F.lit(0)) + tokens,
-            )
-        )
+        F.when(decision == "oversize", F.format_string(oversize, tokens))
+        .when(decision == "requests", requests_hit)
+        .otherwise(F.format_string(tokens_hit, projected))
     )
     rate = (decision != "oversize") & F.lit(limits.reject_status_code == 429)
     limit = (
@@ -453,7 +460,7 @@ def window_usage(
         zero.alias("_life_n"),
         zero.alias("_life_t"),
     )
-    moves = enter.unionByName(leave).withColumn("_bucket", F.floor(F.col("_at") / width))
+    moves = enter.unionByName(leave).withColumn("_bucket", whole_steps(F.col("_at"), width))
     sums = ("_n", "_t", "_life_n", "_life_t")
     totals = moves.groupBy("_client", "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
     earlier = Window.partitionBy("_client").orderBy("_bucket").rowsBetween(
