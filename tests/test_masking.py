@@ -175,3 +175,26 @@ def test_detect_lists_every_hit(spark):
     df = spark.createDataFrame([(1, "a@b.co 1.2.3.4 a@b.co"), (2, "none")], "id int, text string")
     got = sorted(tuple(r) for r in detect.detect_entities(df, ["id"]).collect())
     assert got == [(1, "email", 1, "a@b.co"), (1, "email", 2, "a@b.co"), (1, "ipv4", 1, "1.2.3.4")]
+
+
+def test_mask_table_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "x"), (2, "none", "y")], "id int, text string, other string")
+    masked = detect.mask_table(df)
+    assert masked.columns == ["id", "text", "other", "masked", "map"]
+    assert masked.where("masked = '[EMAIL_1]'").first().other == "x"
+
+
+def test_a_wide_session_spreads_over_buckets(spark):
+    # 5000 distinct values in one session: numbered over five ranges of turns
+    n = 5 * sessions.TURNS_PER_BUCKET
+    df = spark.range(n).select(
+        F.lit("s").alias("session_id"),
+        F.col("id").alias("turn"),
+        F.concat(F.lit("to u"), F.col("id"), F.lit("@c.io and u0@c.io")).alias("text"),
+    )
+    masked, _ = sessions.mask_sessions(df)
+    wrong = masked.where(
+        F.col("masked")
+        != F.concat(F.lit("to [EMAIL_"), F.col("turn") + 1, F.lit("] and [EMAIL_1]"))
+    )
+    assert masked.count() == n and wrong.count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.functions.let import bound
 from veilwork.functions.masking import find_hits, mask_text_with_map, scan_text
 from veilwork.rules import ScrubRules
 from veilwork.session import spread
@@ -54,6 +55,5 @@ def mask_table(
     df: DataFrame, text: str = "text", rules: ScrubRules | None = None, out: str = "masked"
 ) -> DataFrame:
     """Mask one text column of a table, each row on its own; adds ``out`` and ``map``."""
-    masked = mask_text_with_map(F.col(text), rules)
-    named = spread(df).withColumn("_m", masked)
-    return named.withColumn(out, F.col("_m.masked")).withColumn("map", F.col("_m.map")).drop("_m")
+    masked = bound(spread(df), "_m", mask_text_with_map(F.col(text), rules))
+    return masked.withColumns({out: F.col("_m.masked"), "map": F.col("_m.map")}).drop("_m")

@@ -110,7 +110,7 @@ def summary_json(summary: DataFrame) -> DataFrame:
         F.to_json(
             F.struct(
                 F.struct("total", "successful", "failed", "blocked_rate_limit").alias("requests"),
-                F.struct(*masked, "schema_repairs", "schema_violations").alias("guardrails"),
+                F.struct(*masked, "schema_repairs", "schema_violations").alias("safeguards"),
                 F.struct("prompt_total", "completion_total", "overall_total").alias("tokens"),
                 F.struct(
                     F.col("latency_count").alias("count"),

@@ -49,14 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="veilwork-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilwork-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder, so that no later loss redoes it."""
     context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

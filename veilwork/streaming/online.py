@@ -32,7 +32,8 @@ def stream_admit(df: DataFrame, limits: Limits) -> DataFrame:
     """Admission online: ``request_id, client_id, ts_us, tokens`` in, decisions out.
 
     The state of a client is what it was admitted inside the window.  Rows of a
-    micro-batch are taken in time order; a row older than what was already
+    micro-batch are taken in time order, so the source's rate limit (such as
+    ``maxFilesPerTrigger``) bounds what one client brings at once; a row older than what was already
     decided for its client can't change history and is reported as ``late``.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
