@@ -6,17 +6,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilwork.llm.base import table
+from veilwork.llm.decontam import drop_leaks
+from veilwork.llm.langid import keep_identified
+from veilwork.llm.lines import keep_first_passages
+from veilwork.llm.packing import pack_documents
 from veilwork.llm.simhash import drop_near_copies
 from veilwork.session import configure, shared_dir
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any language go."""
+    return keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; documents of little else go."""
+    return keep_first_passages(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return drop_near_copies(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in training sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", packing),
 ]
 
 # Language models, hashing and packing aren't expressible in SQL.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import sharding, simhash  # noqa: F401  (register on import)
+from veilwork.llm import decontam, extraction, langid, lines, lm, packing, quality, sharding, simhash, toxicity  # noqa: F401
 from veilwork.llm.base import ORACLES, QUERIES
 
 
