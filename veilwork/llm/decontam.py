@@ -32,6 +32,7 @@ SEGMENT = 64
 THRESHOLD = 0.6  # of a segment's own score
 OVERLAP = 0.8
 SHINGLE = 5
+COMMON_SHARE = 0.4  # of a segment's own score, left to common terms that aren't searched by
 K1, B = 1.2, 0.75
 POSTINGS = 16  # of one block of a posting list
 INDEX_BYTES = 16 << 20
@@ -75,12 +76,19 @@ class Item:
 
 
 class Index:
-    """Posting lists in blocks, with the greatest impact of each block and list."""
+    """Posting lists in blocks, with the greatest impact of each block and list.
+
+    Of a segment, the terms that the most segments have stay out of its postings while they are at
+    most ``COMMON_SHARE`` of its own score: whatever reaches the threshold has the rest of it from
+    the other terms. Segments so retrieved are scored by all their terms.
+    """
 
     def __init__(self, items: list[Item], frequency: dict[bytes, int], total: int, mean_words: float) -> None:
         self.items = items
         self.owner: list[int] = []
-        rows: dict[bytes, list[tuple[int, float]]] = {}
+        self.whole: list[dict[int, float]] = []  # by segment: share of its own score by term
+        self.term: dict[bytes, int] = {}
+        rows: dict[int, list[tuple[int, float]]] = {}
         for number, item in enumerate(items):
             for segment in item.segments():
                 norm = K1 * (1 - B + B * len(segment) / max(mean_words, 1e-9))
@@ -88,24 +96,33 @@ class Index:
                     t: math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm)
                     for t, n in Counter(segment).items()
                 }
-                own = sum(impact.values())
-                for t, value in impact.items():
-                    rows.setdefault(t, []).append((len(self.owner), value / own))
+                own, common = sum(impact.values()), 0.0
+                place = len(self.owner)
                 self.owner.append(number)
-        self.term = {t: i for i, t in enumerate(rows)}
-        self.docs = [[d for d, _ in r] for r in rows.values()]
-        self.impacts = [[v for _, v in r] for r in rows.values()]
-        self.most = np.array([max(v) for v in self.impacts] + [0.0])
-        self.block_most = [[max(v[i : i + POSTINGS]) for i in range(0, len(v), POSTINGS)] for v in self.impacts]
-        self.block_last = [[d[min(i + POSTINGS, len(d)) - 1] for i in range(0, len(d), POSTINGS)] for d in self.docs]
+                self.whole.append({})
+                for t in sorted(impact, key=lambda t: (-frequency[t], t)):
+                    share = impact[t] / own
+                    common += share
+                    term = self.term.setdefault(t, len(self.term))
+                    self.whole[place][term] = share
+                    if common > COMMON_SHARE:
+                        rows.setdefault(term, []).append((place, share))
+        self.docs = {t: [d for d, _ in r] for t, r in rows.items()}
+        self.impacts = {t: [v for _, v in r] for t, r in rows.items()}
+        self.most = np.zeros(len(self.term) + 1)
+        for t, v in self.impacts.items():
+            self.most[t] = max(v)
+        self.block_most = {t: [max(v[i : i + POSTINGS]) for i in range(0, len(v), POSTINGS)] for t, v in self.impacts.items()}
+        self.block_last = {t: [d[min(i + POSTINGS, len(d)) - 1] for i in range(0, len(d), POSTINGS)] for t, d in self.docs.items()}
 
     def search(self, terms: list[int], threshold: float) -> list[int]:
         """All segments that score at least ``threshold`` for the terms, by block-max WAND."""
         found = []
-        most = self.most.tolist()
-        at = dict.fromkeys(terms, 0)
-        live = sorted(terms, key=lambda t: self.docs[t][0])
-        slack = threshold - 1e-9
+        held, most = set(terms), self.most
+        listed = [t for t in terms if t in self.docs]
+        at = dict.fromkeys(listed, 0)
+        live = sorted(listed, key=lambda t: self.docs[t][0])
+        slack = threshold - COMMON_SHARE - 1e-9
         while live:
             # pivot: the first segment that the lists up to it could lift above the threshold
             bound, pivot = 0.0, -1
@@ -133,7 +150,7 @@ class Index:
                 goal = target
                 if self.docs[live[0]][at[live[0]]] == target:
                     score = sum(self.impacts[t][at[t]] for t in live[: pivot + 1])
-                    if score >= slack:
+                    if score >= slack and sum(v for t, v in self.whole[target].items() if t in held) >= threshold - 1e-9:
                         found.append(target)
                     goal = target + 1
             else:
@@ -158,15 +175,15 @@ class Index:
         none = len(self.term)
         ids = np.fromiter((self.term.get(w, none) for w in words), np.int64, len(words))
         gains = np.concatenate([[0.0], np.cumsum(self.most[ids])])
+        least = threshold - COMMON_SHARE - 1e-6
         starts = np.arange(0, max(1, len(words) - SEGMENT), SEGMENT)
         ends = np.minimum(starts + 2 * SEGMENT, len(words))
         out: set[int] = set()
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if gains[e] - gains[s] < threshold - 1e-6:
-                continue
+        likely = gains[ends] - gains[starts] >= least
+        for s, e in zip(starts[likely].tolist(), ends[likely].tolist()):
             terms = np.unique(ids[s:e])
             terms = terms[terms < none]
-            if self.most[terms].sum() >= threshold - 1e-6:
+            if self.most[terms].sum() >= least:
                 out.update(self.owner[d] for d in self.search(terms.tolist(), threshold))
         return out
 

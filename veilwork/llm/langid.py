@@ -66,11 +66,13 @@ class Model:
         known = self.levels.get(0, {}).get(word)
         if known is not None:
             return known
-        for n in range(LONGEST, 0, -1):
-            level = self.levels.get(n, {})
-            found = [level[g] for g in grams_of(word, n) if g in level]
-            if found:
-                return np.mean(found, axis=0)
+        padded = f" {word} "
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            level = self.levels.get(n)
+            if level:
+                found = [v for i in range(len(padded) - n + 1) if (v := level.get(padded[i : i + n])) is not None]
+                if found:
+                    return sum(found) / len(found) if len(found) > 1 else found[0]
         return self.absent.get(1, np.zeros(len(self.languages)))
 
 
