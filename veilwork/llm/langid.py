@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from veilwork.llm.base import query, remainder, table
 
 FIT_ROWS = 2500
-WORDS = 50_000
-GRAMS = 15_000
+WORDS = 20_000
+GRAMS = 6_000
 LONGEST = 5
 UNKNOWN = "und"
-CACHE = 150_000  # words whose scores a task keeps
+CACHE = 100_000  # words whose scores a task keeps
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,43 +37,42 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    """n-grams of a word between blanks."""
-    padded = f" {word} "
-    return [g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
-
-
 class Model:
-    """Log10 frequencies per language: of words, and of n-grams by length."""
+    """Log10 frequencies per language: of words, and of n-grams by length. A row of the table per item."""
 
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, dict[str, int]]]) -> None:
-        """counts: by length (0: words), by language, by item."""
+    def __init__(self, languages: list[str], counts: list[tuple[int, str, str, int]]) -> None:
+        """counts: length (0: a word), language, item, count."""
         self.languages = languages
-        self.levels: dict[int, dict[str, np.ndarray]] = {}
-        self.absent: dict[int, np.ndarray] = {}
-        for n, by_language in counts.items():
-            totals = np.array([sum(by_language.get(x, {}).values()) for x in languages], float)
-            # an item that a language lacks counts as half of one that it has once
-            self.absent[n] = np.log10(0.5 / np.maximum(totals, 1.0))
-            level = self.levels[n] = {}
-            for k, x in enumerate(languages):
-                for item, count in by_language.get(x, {}).items():
-                    if item not in level:
-                        level[item] = self.absent[n].copy()
-                    level[item][k] = math.log10(count / totals[k])
+        self.places: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        number = {x: k for k, x in enumerate(languages)}
+        rows, size = [], 0
+        for n, language, item, count in counts:
+            level = self.places[n]
+            if item not in level:
+                level[item] = size
+                size += 1
+            rows.append((level[item], number[language], n, count))
+        at, of, length, count = np.array(rows, np.int64).reshape(-1, 4).T
+        totals = np.zeros((LONGEST + 1, len(languages)))
+        np.add.at(totals, (length, of), count)
+        # an item that a language lacks counts as half of one that it has once
+        absent = np.log10(0.5 / np.maximum(totals, 1.0))
+        self.table = np.zeros((size + 1, len(languages)), np.float32)
+        self.table[at] = absent[length]
+        self.table[at, of] = np.log10(count / totals[length, of])
+        self.table[size] = absent[1]  # nothing known, not even a letter
 
     def word(self, word: str) -> np.ndarray:
-        known = self.levels.get(0, {}).get(word)
+        known = self.places[0].get(word)
         if known is not None:
-            return known
+            return self.table[known]
         padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            level = self.levels.get(n)
-            if level:
-                found = [v for i in range(len(padded) - n + 1) if (v := level.get(padded[i : i + n])) is not None]
-                if found:
-                    return sum(found) / len(found) if len(found) > 1 else found[0]
-        return self.absent.get(1, np.zeros(len(self.languages)))
+            level = self.places[n]
+            found = [v for i in range(len(padded) - n + 1) if (v := level.get(padded[i : i + n])) is not None]
+            if found:
+                return self.table[found[0]] if len(found) == 1 else self.table[found].mean(axis=0)
+        return self.table[-1]
 
 
 class Scorer:
@@ -115,7 +114,7 @@ def fit(docs: DataFrame) -> Model:
     )
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], {})
+        return Model([], [])
     share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(FIT_ROWS / n)) for x, n in sizes.items()))
     sample = usable.where(F.col("draw") < share[F.col("lang")] * 1_000_000).select("lang", "text")
 
@@ -160,10 +159,8 @@ def fit(docs: DataFrame) -> Model:
     )
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
     top = items.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS))
-    counts: dict[int, dict[str, dict[str, int]]] = {}
-    for r in top.select("lang", "size", "item", "n").collect():  # bounded by the sample, WORDS and GRAMS
-        counts.setdefault(r["size"], {}).setdefault(r["lang"], {})[r["item"]] = r["n"]
-    return Model(sorted(sizes), counts)
+    found = top.select("size", "lang", "item", "n").toArrow()  # bounded by the sample, WORDS and GRAMS
+    return Model(sorted(sizes), list(zip(*(column.to_pylist() for column in found.columns))))
 
 
 def predict(docs: DataFrame, model: Model, ids: list[str], text: str = "text") -> DataFrame:

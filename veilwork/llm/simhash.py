@@ -134,26 +134,24 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.Series(out)
 
     links = spark.createDataFrame([], schema)
-    keyed = nodes.select(
-        "fp",
-        F.explode(F.array(*[F.lit(_signed(_head_mask(s, q))) for s, q in _chain_heads()])).alias("mask"),
-    )
+    masks = [_head_mask(s, q) for s, q in _chain_heads()]
+    keyed = nodes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     while True:
+        finer = {m: f for m in masks if (f := _refined(m))}
         keyed = keyed.select("fp", "mask", F.expr("fp & mask").alias("key"))
         counts = checkpointed(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         shared = keyed.join(counts, ["mask", "key"])
-        small = shared.where(F.col("n") <= block).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        found = small.select(F.explode(join_key("fps")).alias("l")).select("l.a", "l.b").distinct()
-        links = links.union(found)
-        large = counts.where(F.col("n") > block).select("mask").distinct().collect()  # masks, not data
-        if not large:
+        # a key that leaves eight bits free has at most 256 fingerprints
+        large = (F.col("n") > block) & F.col("mask").isin([_signed(m) for m in finer]) if finer else F.lit(False)
+        small = shared.where(~large).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        links = links.union(small.select(F.explode(join_key("fps")).alias("l")).select("l.a", "l.b").distinct())
+        left = {r["mask"] for r in counts.where(large).select("mask").distinct().collect()}  # masks, not data
+        if not left:
             return links
-        finer = {r["mask"]: [_signed(m) for m in _refined(r["mask"] & (1 << 64) - 1)] for r in large}
-        last = [m for m, f in finer.items() if not f]
-        if last:  # at most 256 fingerprints can share all but eight bits
-            raise AssertionError("a key that fixes 56 bits has at most 256 fingerprints")
-        to = F.create_map(*[x for m, f in finer.items() for x in (F.lit(m), F.array(*map(F.lit, f)))])
-        keyed = shared.where(F.col("n") > block).select("fp", F.explode(to[F.col("mask")]).alias("mask")).distinct()
+        finer = {m: f for m, f in finer.items() if _signed(m) in left}
+        to = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in f]))])
+        keyed = shared.where(large).select("fp", F.explode(to[F.col("mask")]).alias("mask")).distinct()
+        masks = sorted({x for f in finer.values() for x in f})
 
 
 def near_groups(marked: DataFrame) -> DataFrame:
