@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import query, remainder, table
@@ -134,25 +134,14 @@ def fit(docs: DataFrame) -> Model:
         .agg(F.sum("n").alias("n"))
     )
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
+
+    def grams_of(size: int) -> Column:
+        cut = lambda i: F.struct(F.lit(size).alias("size"), padded.substr(i, F.lit(size)).alias("item"))
+        places = F.sequence(F.lit(1), F.length(padded) - size + 1)
+        return F.transform(F.when(F.length(padded) >= size, places).otherwise(F.array().cast("array<int>")), cut)
+
     grams = words.select(
-        "lang",
-        "n",
-        F.explode(
-            F.flatten(
-                F.array(
-                    *[
-                        F.when(
-                            F.length(padded) >= size,
-                            F.transform(
-                                F.sequence(F.lit(1), F.length(padded) - size + 1),
-                                lambda i, size=size: F.struct(F.lit(size).alias("size"), padded.substr(i, F.lit(size)).alias("item")),
-                            ),
-                        ).otherwise(F.array().cast("array<struct<size:int,item:string>>"))
-                        for size in range(1, LONGEST + 1)
-                    ]
-                )
-            )
-        ).alias("gram"),
+        "lang", "n", F.explode(F.concat(*[grams_of(size) for size in range(1, LONGEST + 1)])).alias("gram")
     ).select("lang", "n", "gram.size", "gram.item")
     items = words.select("lang", F.lit(0).alias("size"), "item", "n").union(
         grams.where("item <> ' '").groupBy("lang", "size", "item").agg(F.sum("n").alias("n")).select("lang", "size", "item", "n")
