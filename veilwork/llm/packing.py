@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,33 +36,84 @@ POPULATION = 5
 CHILDREN = 6  # an epoch and island
 WELL = 0.99  # of the limit: such a sequence is closed
 SEED = 11
-CACHE = 300_000  # words whose ids a task keeps
+CACHE = 800_000  # words whose ids a process keeps
 END = b"\0\0\0\0"
 
 
+# A plain word: Latin letters that have one code point each, then punctuation.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def byte_signs() -> dict[int, int]:
+    """Signs that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
 class WordIds:
-    """Token ids as little-endian bytes. The tokenizer drops white space, so words between blanks encode alone."""
+    """Token ids as little-endian bytes. The tokenizer drops white space, so words between blanks encode alone.
+
+    Plain words go to the vocabulary's merges directly, lower-cased and byte for sign as the tokenizer
+    does it; all others through the whole tokenizer. Words are remembered up to a bound.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False))
+
+    def _core(self, letters: str) -> bytes:
+        word = letters.lower()
+        ids = self.cores.get(word)
+        if ids is None:
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            ids = self.cores[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        odd = []
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if not plain:
+                odd.append(word)
+            elif not plain[2]:
+                self.known[word] = self._core(word)
+            else:
+                tail = self.cores.get(plain[2])
+                if tail is None:
+                    tail = self.cores[plain[2]] = next(self._whole([plain[2]]))
+                self.known[word] = self._core(plain[1]) + tail
+        self.known.update(zip(odd, self._whole(odd)))
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = list(set(words).difference(self.known))
+        new = set(words).difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {"": b""}
-                new = list(set(words).difference(self.known))
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        ids = b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        return ids
+            if len(self.known) + len(self.cores) > CACHE:
+                self.known, self.cores = {"": b""}, {}
+                new = set(words)
+                new.discard("")
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+
+_encoders: dict[int, WordIds] = {}  # of this process, so that tasks share what it has learned
+
+
+def encoder(tokenizer_json: str) -> WordIds:
+    key = hash(tokenizer_json)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordIds(tokenizer_json)
+    return _encoders[key]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -70,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
         tokenizer_json = file.read()  # a vocabulary of fixed size, shipped with the task
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_json)
+        encode = encoder(tokenizer_json)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
