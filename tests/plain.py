@@ -193,3 +193,25 @@ def parse(text):
             except ValueError:
                 pass
     return None, None
+
+
+def body_tokens(body):
+    """Of a request body: every string field and text part of messages, or a prompt of any shape."""
+
+    def of_messages(items):
+        total = 3
+        for message in items:
+            total += 3
+            for value in message.values():
+                if isinstance(value, str):
+                    total += tokens(value)
+                elif isinstance(value, list):
+                    total += sum(tokens(p["text"]) for p in value if isinstance(p, dict) and p.get("type") == "text")
+        return total
+
+    if body.get("messages"):
+        return of_messages(body["messages"])
+    prompt = body.get("prompt")
+    if isinstance(prompt, list) and prompt:
+        return of_messages(prompt) if isinstance(prompt[0], dict) else sum(map(tokens, prompt))
+    return tokens(prompt) if isinstance(prompt, str) else 0

@@ -38,6 +38,11 @@ def test_request_bodies(spark):
         {"prompt": ["a", "b"]},
         {"model": "m"},
         {"messages": [{"role": "user", "content": "[1, 2]"}]},
+        {"prompt": '["a", "b"]'},
+        {"messages": [{"role": "user", "content": '[{"type": "text", "text": "x"}]'}]},
+        {"prompt": [{"role": "user", "name": "Kim", "content": "to the pier"}]},
+        {"prompt": ""},
+        {"prompt": [""]},
     ]
     df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "id int, body string")
     rows = source.read_request_lines(df).orderBy("id").collect()
@@ -48,6 +53,12 @@ def test_request_bodies(spark):
     assert (rows[3].is_chat, rows[3].prompt) == (False, ["a", "b"])
     assert not rows[4].has_prompt
     assert rows[5].messages[0].content == "[1, 2]"
+    assert rows[6].prompt == ['["a", "b"]'] and rows[7].messages[0].parts is None
+    assert rows[7].messages[0].content == '[{"type": "text", "text": "x"}]'
+    assert rows[8].prompt == ["to the pier"]
+    assert [r.has_prompt for r in rows[9:]] == [False, True]
+    for row, body in zip(rows, bodies):
+        assert row.estimated_tokens == plain.body_tokens(body), body
 
 
 def test_request_and_reply_tables(spark, tmp_path):

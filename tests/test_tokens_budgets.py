@@ -87,6 +87,17 @@ def test_admission_matches_plain(spark, limits, rows_per_task):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 2, 3, 7])
+def test_admission_in_small_parts(spark, rows_per_task):
+    """Quiet slots that alone fill a part, and parts shorter than the window."""
+    limits = Limits(max_requests_per_minute=5, max_tokens_per_minute=0)
+    rows = [(i, 1, (50 + i) * SECOND, 1) for i in range(4)] + [(10 + i, 1, (60 + i) * SECOND, 1) for i in range(6)]
+    rows += [(20 + i, 2, i * 7 * SECOND, 1) for i in range(12)]
+    got = budgets.admit_requests(log(spark, rows), limits, rows_per_task=rows_per_task).collect()
+    assert {r.request_id: r.decision for r in got} == plain.admit(rows, limits)
+    assert sum(r.decision == "requests" for r in got if r.client_id == 1) == 5
+
+
 def decide(spark, limits, *amounts):
     rows = [(i, 1, i * SECOND, k) for i, k in enumerate(amounts)]
     got = budgets.admit_requests(log(spark, rows), limits).orderBy("request_id").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query_over(df: DataFrame, name: str, sql: str) -> DataFrame:
+    """``sql`` with ``df`` in the place of table ``name``; leaves no view behind."""
+    view = f"{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    try:
+        return df.sparkSession.sql(re.sub(rf"\bFROM {name}\b", f"FROM {view}", sql))
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+
+
 def sql_text(value: str) -> str:
     """A string literal for the oracle's dialect."""
     return "'" + value.replace("'", "''") + "'"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import query, sql_text, table
+from veilwork.catalog.base import query, query_over, sql_text, table
 from veilwork.functions import jsonfix
 from veilwork.functions.jsonschema import validate_json
 from veilwork.functions.let import bound
@@ -48,8 +48,7 @@ REPLIES = f"SELECT event_id, event_type, value, {REPLY} AS content FROM events"
 
 
 def reply_table(spark, sf_dir):
-    spread(table(spark, sf_dir, "events")).createOrReplaceTempView("events")
-    return spark.sql(REPLIES)
+    return query_over(spread(table(spark, sf_dir, "events")), "events", REPLIES)
 
 
 # the oracle's spelling of the shared token; its matcher never backtracks
@@ -251,8 +250,7 @@ UNION ALL SELECT p_partkey, 'root.items[3]', 'type' FROM p WHERE p_partkey % 7 =
 
 
 def part_replies(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(PARTS)
+    return query_over(table(spark, sf_dir, "part"), "part", PARTS)
 
 
 @query(f"WITH p AS ({PARTS}){PART_ERRORS}")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import query, table, ts_us
-
+from veilwork.catalog.base import query, query_over, table, ts_us
+from veilwork.catalog.texts import tokens_sql
+from veilwork.functions import tokens
 from veilwork.operators import budgets, telemetry
 from veilwork.session import spread
 from veilwork.sources import requests as request_source
@@ -82,6 +83,17 @@ def admit_events(spark, sf_dir):
     )
 
 
+@query(
+    admission_sql(LIMITS)
+    + f" SELECT request_id, client_id, ts_us, tokens, decision, {STATUS_SQL}::INT AS status FROM decided"
+)
+def admit_in_parts(spark, sf_dir):
+    """The same with runs cut into parts, each going on from what the one before left."""
+    return budgets.admit_requests(event_log(spark, sf_dir), LIMITS, rows_per_task=25).select(
+        "request_id", "client_id", "ts_us", "tokens", "decision", "status"
+    )
+
+
 ORDER_LIMITS = budgets.Limits(
     max_tokens_per_request=450_000,
     max_requests_per_minute=3,
@@ -236,8 +248,7 @@ HEADERS = (
   WHEN host <> '' THEN host ELSE 'anonymous_client' END AS client_id FROM ({HEADERS})"""
 )
 def client_key(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    headers = spark.sql(HEADERS)
+    headers = query_over(table(spark, sf_dir, "events"), "events", HEADERS)
     key = request_source.client_key(F.col("auth"), F.col("x_client_id"), F.col("host"))
     return headers.select("event_id", key.alias("client_id"))
 
@@ -255,8 +266,7 @@ OUTCOMES = (
 
 
 def outcome_log(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(OUTCOMES)
+    return query_over(table(spark, sf_dir, "events"), "events", OUTCOMES)
 
 
 COUNTS_SQL = (
@@ -376,8 +386,7 @@ LINES_SPARK = (
 
 
 def sse_lines(spark, sf_dir):
-    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
-    return spark.sql(LINES_SPARK)
+    return query_over(spread(table(spark, sf_dir, "documents")), "documents", LINES_SPARK)
 
 
 PARSED_SQL = f"""SELECT stream_id, seq,
@@ -406,29 +415,33 @@ def completion_chunks(spark, sf_dir):
     return sse.completion_chunks(sse.parse_sse_lines(sse_lines(spark, sf_dir)))
 
 
-# Request bodies: messages with text or parts, empty messages with a prompt, prompt lists.
+# Request bodies: messages with text or parts, empty messages with a prompt, prompt
+# lists, strings that look like lists, prompts that are messages, other fields.
 BODIES = (
-    "SELECT event_id, CASE event_id % 4 "
-    "WHEN 0 THEN '{\"model\": \"m1\", \"stream\": true, \"messages\": [{\"role\": \"user\", \"content\": \"' || props_text || '\"}]}' "
+    "SELECT event_id, user_id, props_text, CASE "
+    "WHEN event_id % 28 = 6 THEN '{\"prompt\": \"[' || chr(92) || '\"' || props_text || chr(92) || '\"]\"}' "
+    "WHEN event_id % 28 = 8 THEN '{\"model\": \"m1\", \"stream\": true, \"seed\": 7, \"messages\": [{\"role\": \"user\", \"name\": \"' || props_text || '\", \"content\": \"[1]\"}]}' "
+    "WHEN event_id % 28 = 11 THEN '{\"model\": \"m3\", \"prompt\": [{\"role\": \"user\", \"content\": \"' || props_text || '\"}]}' "
+    "ELSE CASE event_id % 4 "    "WHEN 0 THEN '{\"model\": \"m1\", \"stream\": true, \"messages\": [{\"role\": \"user\", \"content\": \"' || props_text || '\"}]}' "
     "WHEN 1 THEN '{\"model\": \"m2\", \"messages\": [{\"role\": \"user\", \"content\": [{\"type\": \"text\", \"text\": \"' || props_text || '\"}, {\"type\": \"image_url\", \"image_url\": {\"url\": \"http://x\"}}]}]}' "
     "WHEN 2 THEN '{\"messages\": [], \"prompt\": \"' || props_text || '\"}' "
-    "ELSE '{\"model\": \"m3\", \"prompt\": [\"' || props_text || '\", \"second\"]}' END AS body FROM "
-    "(SELECT event_id, event_type || ' ' || CAST(user_id AS STRING) AS props_text FROM events)"
+    "ELSE '{\"model\": \"m3\", \"prompt\": [\"' || props_text || '\", \"second\"]}' END END AS body FROM "
+    "(SELECT event_id, user_id, event_type || ' ' || CAST(user_id AS STRING) AS props_text FROM events)"
 )
 
 
 @query(
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' WHEN 3 THEN 'm3' ELSE '' END AS model,
-  event_id % 4 = 0 AS stream, event_id % 4 < 3 AS is_chat, true AS has_prompt,
-  CASE WHEN event_id % 4 = 0 THEN event_type || ' ' || user_id END AS content,
+  event_id % 4 = 0 AS stream, event_id % 4 < 3 AND event_id % 28 <> 6 AS is_chat, true AS has_prompt,
+  CASE WHEN event_id % 28 = 8 THEN '[1]' WHEN event_id % 4 = 0 THEN event_type || ' ' || user_id END AS content,
   CASE WHEN event_id % 4 = 1 THEN event_type || ' ' || user_id END AS part_text,
   CASE WHEN event_id % 4 = 1 THEN 'http://x' END AS image_url,
-  CASE WHEN event_id % 4 >= 2 THEN event_type || ' ' || user_id END AS first_prompt,
-  CASE event_id % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 END::INT AS n_prompts FROM events"""
+  CASE WHEN event_id % 28 = 6 THEN '["' || event_type || ' ' || user_id || '"]'
+    WHEN event_id % 4 >= 2 THEN event_type || ' ' || user_id END AS first_prompt,
+  CASE WHEN event_id % 4 = 2 OR event_id % 28 = 11 THEN 1 WHEN event_id % 4 = 3 THEN 2 END::INT AS n_prompts FROM events"""
 )
 def read_requests(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    read = request_source.read_request_lines(spark.sql(BODIES))
+    read = request_source.read_request_lines(query_over(table(spark, sf_dir, "events"), "events", BODIES))
     message = F.get(F.col("messages"), F.lit(0))
     return read.select(
         "event_id",
@@ -442,3 +455,20 @@ def read_requests(spark, sf_dir):
         F.get(F.col("prompt"), F.lit(0)).alias("first_prompt"),
         F.when(F.size("prompt") > 0, F.size("prompt")).alias("n_prompts"),
     )
+
+
+_SECOND = tokens_sql("'second'")
+_ONE = tokens_sql("t")
+_USER = tokens_sql("'user'")
+
+
+@query(
+    f"""SELECT event_id, (CASE WHEN event_id % 28 = 6 THEN {tokens_sql("'[' || chr(34) || t || chr(34) || ']'")}
+  WHEN event_id % 28 = 8 THEN 6 + {_USER} + {_ONE} + {tokens_sql("'[1]'")}
+  WHEN event_id % 28 = 11 OR event_id % 4 < 2 THEN 6 + {_USER} + {_ONE}
+  WHEN event_id % 4 = 2 THEN {_ONE} ELSE {_ONE} + {_SECOND} END)::BIGINT AS estimated_tokens
+FROM (SELECT event_id, event_type || ' ' || user_id AS t FROM events)"""
+)
+def body_tokens(spark, sf_dir):
+    bodies = query_over(table(spark, sf_dir, "events"), "events", BODIES)
+    return bodies.select("event_id", tokens.body_tokens(F.try_parse_json("body")).alias("estimated_tokens"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilwork.functions.variants import fields_of, list_of, node, text_of
+
 from veilwork.functions.regex import SPACE
 
 # --- fixed values: how text is cut, and what framing costs ---
@@ -103,3 +105,39 @@ def request_tokens(messages: Column, prompts: Column) -> Column:
         .when(F.size(prompts) > 0, prompts_tokens(prompts))
         .otherwise(F.lit(0).cast("bigint"))
     )
+
+
+def body_tokens(body: Column) -> Column:
+    """Tokens of a request body held as VARIANT: its messages, if there are any, else its prompt.
+
+    Every string field of a message counts, and every text part of a list.  A
+    prompt is a string, a list of strings, or a list of messages.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def of_part(part: Column) -> Column:
+        return F.when(
+            text_of(node(part, "type")) == "text", F.coalesce(estimate_tokens(text_of(node(part, "text"))), zero)
+        ).otherwise(zero)
+
+    def of_field(value: Column) -> Column:
+        parts = F.aggregate(F.coalesce(list_of(value), F.array().cast("array<variant>")), zero, lambda n, p: n + of_part(p))
+        return F.coalesce(estimate_tokens(text_of(value)), zero) + parts
+
+    def of_message(message: Column) -> Column:
+        values = F.coalesce(F.map_values(fields_of(message)), F.array().cast("array<variant>"))
+        return F.aggregate(values, F.lit(MESSAGE_OVERHEAD).cast("bigint"), lambda n, v: n + of_field(v))
+
+    def of_messages(items: Column) -> Column:
+        return F.aggregate(items, F.lit(REPLY_PRIMER).cast("bigint"), lambda n, m: n + of_message(m))
+
+    messages, prompt = list_of(node(body, "messages")), node(body, "prompt")
+    prompts = list_of(prompt)
+    first_is_object = F.schema_of_variant(F.get(prompts, F.lit(0))).startswith("OBJECT")
+    strings = F.aggregate(prompts, zero, lambda n, p: n + F.coalesce(estimate_tokens(text_of(p)), zero))
+    return F.coalesce(
+        F.when(F.size(messages) > 0, of_messages(messages))
+        .when(F.size(prompts) > 0, F.when(first_is_object, of_messages(prompts)).otherwise(strings))
+        .otherwise(estimate_tokens(text_of(prompt))),
+        zero,
+    )

@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.session import checkpointed, shared_dir
+from veilwork.session import checkpointed, discard, shared_dir
 
 SECOND = 1_000_000
 ROWS_PER_TASK = 20_000_000
+TICKS = 4096  # of a window: parts are cut between ticks
 
 # --- fixed values: error texts, types and codes ---
 OVERSIZE_TEXT = (
@@ -100,10 +101,10 @@ def admit_requests(
     even all requests together stay below the limits, each is admitted.  That is
     read off per (client, window-long slot) totals.  Only runs of crowded slots
     are replayed, each run on its own, in time order, as a stream that keeps
-    nothing but the entries inside the window.  A run of more than
-    ``rows_per_task`` rows is cut in time and its parts are replayed in turn,
-    each starting from what the part before left inside the window; so no task
-    gets a client whole, however many rows it has.
+    nothing but the entries inside the window.  A run is cut in time into parts
+    of about ``rows_per_task`` rows, inside a slot too, and these are replayed in
+    turn, each starting from all that the parts before left inside the window;
+    so no task gets a client whole, however many rows it has.
     """
     amount = F.col(recorded) if recorded else F.col(tokens)
     narrow = df.select(
@@ -122,23 +123,19 @@ def admit_requests(
     slotted = narrow.where(~too_big).withColumn(
         "slot", whole_steps(F.col("ts"), limits.window_us)
     )
-    runs = checkpointed(crowded_runs(slotted, limits, rows_per_task))
+    runs = checkpointed(crowded_runs(slotted, limits))
     # a slot in no run is quiet; a run starts with the quiet slot before its
     # first crowded one, whose requests fill the window but are decided already
     placed = slotted.join(runs, ["client", "slot"], "left")
     quiet = placed.where(F.col("run").isNull() | F.col("warm_up"))
     columns = ["request", "client", "ts", "tokens", "amount"]
-    crowded = placed.where(F.col("run").isNotNull()).select(*columns, "run", "part", "warm_up")
-    last_part = runs.agg(F.max("part").alias("p")).first()["p"] or 0
-    if last_part == 0:
-        decided = _replayed(crowded, limits)
-    else:
-        decided = _replayed_in_parts(crowded, runs, limits, last_part)
+    crowded = placed.where(F.col("run").isNotNull()).select(*columns, "run", "warm_up")
+    decided = _replayed_in_parts(crowded, limits, rows_per_task)
     admitted = quiet.select(*columns, *_decided("ok"))
     return _named(
         oversize.select(*columns, "decision", "current_requests", "current_tokens")
         .unionByName(admitted)
-        .unionByName(decided.drop("run")),
+        .unionByName(decided.select(*columns, "decision", "current_requests", "current_tokens")),
         limits,
         request,
         client,
@@ -153,45 +150,76 @@ def _replayed(crowded: DataFrame, limits: Limits) -> DataFrame:
         "client", "run", "ts", "request"
     )
     kinds = {f.name: f.dataType.simpleString() for f in crowded.schema.fields}
-    columns = ("request", "client", "ts", "tokens", "amount", "run")
+    columns = ("request", "client", "ts", "tokens", "amount", "run", "warm_up")
     out_type = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", " + DECISION_FIELDS
-    return ordered.select(*columns, "warm_up").mapInPandas(_replayer(limits), out_type)
+    return ordered.select(*columns).mapInPandas(_replayer(limits), out_type)
 
 
-def _replayed_in_parts(
-    crowded: DataFrame, runs: DataFrame, limits: Limits, last_part: int
-) -> DataFrame:
-    """The same for runs too long for one task: part by part, all runs side by side.
+def parts_of(crowded: DataFrame, limits: Limits, rows_per_task: int) -> DataFrame:
+    """``client, run, tick, part``: the part that each tick of a run belongs to.
 
-    Rows go to a table in the shared folder first, so that each pass reads its
-    own part only; decisions go to another, one folder per pass.
+    A tick is a small share of the window, so there are as many as the elapsed time
+    asks for, whatever the traffic.
+    """
+    ticks = crowded.groupBy("client", "run", _tick(limits).alias("tick")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    by_tick = Window.partitionBy("client", "run").orderBy("tick")
+    share = F.floor((F.sum("n").over(by_tick) - F.col("n")) / rows_per_task)
+    by_share = Window.partitionBy("client", "run").orderBy("share")
+    return ticks.withColumn("share", share).select(
+        "client", "run", "tick", (F.dense_rank().over(by_share) - 1).alias("part")
+    )
+
+
+def _tick(limits: Limits) -> Column:
+    return whole_steps(F.col("ts"), _tick_us(limits))
+
+
+def _tick_us(limits: Limits) -> int:
+    return max(1, limits.window_us // TICKS)
+
+
+def _replayed_in_parts(crowded: DataFrame, limits: Limits, rows_per_task: int) -> DataFrame:
+    """Decisions for rows of crowded runs, part by part, all runs side by side.
+
+    Rows and decisions go to tables in the shared folder, one folder per part,
+    so that each pass reads its own rows only.  A pass hands on what is still
+    inside the window: requests it admitted, and those it was handed.
     """
     spark = crowded.sparkSession
+    parts = checkpointed(parts_of(crowded, limits, rows_per_task))
+    last = parts.agg(F.max("part").alias("p")).first()["p"] or 0
+    if last == 0:
+        return _replayed(crowded, limits).where(~F.col("warm_up"))
     base = f"{shared_dir(spark)}/admission-{uuid.uuid4().hex}"
-    crowded.write.partitionBy("part").parquet(f"{base}/rows")
-    rows = spark.read.schema(crowded.schema).parquet(f"{base}/rows")
-    starts = runs.groupBy("client", "run", "part").agg(F.min("slot").alias("first_slot"))
-    for part in range(last_part + 1):
-        todo = rows.where(F.col("part") == part).drop("part")
+    crowded.withColumn("tick", _tick(limits)).join(parts, ["client", "run", "tick"]).drop(
+        "tick"
+    ).write.partitionBy("part").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    starts = parts.groupBy("client", "run", "part").agg(
+        (F.min("tick") * _tick_us(limits)).alias("begins")
+    )
+    for part in range(last + 1):
+        todo = rows.where(F.col("part") == part).select(*crowded.columns)
         if part:
             begin = starts.where(F.col("part") == part).drop("part")
-            before = spark.read.parquet(f"{base}/decided/pass={part - 1}")
-            carried = (
-                before.where(F.col("decision") == "ok")
+            handed_on = (
+                spark.read.parquet(f"{base}/decided/pass={part - 1}")
+                .where(F.col("decision") == "ok")
                 .join(begin, ["client", "run"])
-                .where(F.col("ts") >= (F.col("first_slot") - 1) * limits.window_us)
-            )
-            todo = todo.unionByName(
-                carried.withColumn("warm_up", F.lit(True)).select(*todo.columns)
+                .where(F.col("ts") >= F.col("begins") - limits.window_us)
+                .withColumn("warm_up", F.lit(True))
             )
+            todo = todo.unionByName(handed_on.select(*todo.columns))
         _replayed(todo, limits).write.parquet(f"{base}/decided/pass={part}")
-    return spark.read.parquet(f"{base}/decided").drop("pass")
+    decided = checkpointed(spark.read.parquet(f"{base}/decided").where(~F.col("warm_up")).drop("pass"))
+    discard(spark, base)
+    return decided
 
 
-def crowded_runs(
-    slotted: DataFrame, limits: Limits, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """``client, slot, run, part, warm_up``: slots to replay, and the run each belongs to.
+def crowded_runs(slotted: DataFrame, limits: Limits) -> DataFrame:
+    """``client, slot, run, warm_up``: slots to replay, and the run each belongs to.
 
     A request sees at most its own slot and the one before.  If the totals of
     both are within the limits, everything in the slot is admitted for certain.
@@ -212,8 +240,6 @@ def crowded_runs(
     if limits.max_tokens_per_minute > 0:
         # what others recorded plus the largest estimate bounds every projection
         crowded = crowded | (amount + F.col("biggest") > limits.max_tokens_per_minute)
-    in_run = Window.partitionBy("client", "run").orderBy("slot")
-    in_run_by_share = Window.partitionBy("client", "run").orderBy("share")
     flagged = totals.select("client", "slot", "n", crowded.alias("crowded"))
     return (
         flagged.withColumn("next_slot", F.lead("slot").over(by_time))
@@ -235,9 +261,7 @@ def crowded_runs(
                 by_time.rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
-        .withColumn("share", F.floor((F.sum("n").over(in_run) - F.col("n")) / rows_per_task))
-        .withColumn("part", F.dense_rank().over(in_run_by_share) - 1)
-        .select("client", "slot", "run", "part", "warm_up")
+        .select("client", "slot", "run", "warm_up")
     )
 
 
@@ -366,10 +390,7 @@ def _replayer(limits: Limits):
                     state.record(ts[a], amounts[a])
                     a += 1
                 replay(ts, tokens, amounts, limits, state, decision, requests, used, a, b)
-            out = batch.drop(columns=["warm_up"]).assign(
-                decision=decision, current_requests=requests, current_tokens=used
-            )
-            yield out[~warm]
+            yield batch.assign(decision=decision, current_requests=requests, current_tokens=used)
 
     return run
 

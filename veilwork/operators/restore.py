@@ -66,7 +66,6 @@ def unmask(
     Masks unknown to the session stay as they are.
     """
     rules = rules or ScrubRules()
-    rules = rules or ScrubRules()
     if not rules.ordered:
         return replies.withColumn(out, F.col(text))
     may_hold = F.coalesce(F.col(text).rlike(_mask_hint(rules)), F.lit(False))

@@ -47,14 +47,15 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     session, so its map travels with it.
     """
     estimate = request_tokens(F.col("messages"), F.col("prompt"))
+    has_prompt = F.coalesce(F.size("messages") > 0, F.lit(False)) | F.coalesce(F.size("prompt") > 0, F.lit(False))
     # admission works on ids and numbers
     sized = checkpointed(
         bound(spread(requests), "estimated_tokens", estimate).select(
-            "request_id", "client_id", "ts_us", "estimated_tokens"
+            "request_id", "client_id", "ts_us", "estimated_tokens", has_prompt.alias("has_prompt")
         )
     )
-    # requests with nothing to estimate aren't checked
-    asked = sized.where(F.col("estimated_tokens") > 0)
+    # requests without a prompt aren't checked; an empty text in a list is one
+    asked = sized.where("has_prompt")
     # Only rejections are joined back.  They are few in the common case, and when
     # their size shows that at run time, no text is shuffled.
     rejected = (

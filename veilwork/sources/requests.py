@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.functions.let import bound
 from veilwork.functions.masking import MESSAGE_TYPE
+from veilwork.functions.tokens import body_tokens
+from veilwork.functions.variants import list_of, node, text_of
 
 # --- fixed values ---
 ANONYMOUS = "anonymous_client"
@@ -36,54 +39,49 @@ def read_request_lines(lines: DataFrame, body: str = "body") -> DataFrame:
     """Request bodies held as JSON text.
 
     A message's content may be a string or a list of parts, and a prompt a
-    string or a list; both are brought to one shape.
+    string, a list of strings or a list of messages; they are told apart by the
+    kind of the JSON node, never by how a string looks.  A prompt that is a list
+    of messages is counted as such and handed on in ``prompt`` as its contents;
+    an empty string is no prompt.  ``estimated_tokens`` counts every string field.
     """
-    raw = F.from_json(
-        F.col(body),
-        "model string, stream boolean, "
-        "messages array<struct<role:string,content:string>>, prompt string",
-    )
-    parts_type = "array<struct<type:string,text:string,image_url:struct<url:string>>>"
+    body_value = F.try_parse_json(F.col(body))
 
     def shaped(message: Column) -> Column:
-        # from_json hands a nested list over as its JSON text
-        parts = F.from_json(message["content"], parts_type)
-        is_list = message["content"].startswith("[") & parts.isNotNull() & F.exists(
-            parts, lambda p: p["type"].isNotNull()
-        )
+        content = node(message, "content")
         return F.struct(
-            message["role"].alias("role"),
-            F.when(~is_list, message["content"]).alias("content"),
-            F.when(
-                is_list,
-                F.transform(
-                    parts,
-                    lambda p: F.struct(
-                        p["type"].alias("type"),
-                        p["text"].alias("text"),
-                        p["image_url"]["url"].alias("image_url"),
-                    ),
+            text_of(node(message, "role")).alias("role"),
+            text_of(content).alias("content"),
+            F.transform(
+                list_of(content),
+                lambda p: F.struct(
+                    text_of(node(p, "type")).alias("type"),
+                    text_of(node(p, "text")).alias("text"),
+                    text_of(F.try_variant_get(p, "$.image_url.url", "variant")).alias("image_url"),
                 ),
             ).alias("parts"),
         )
 
-    prompts = F.from_json(F.col("_r.prompt"), "array<string>")
-    is_list = F.col("_r.prompt").startswith("[") & prompts.isNotNull()
+    prompt = node(F.col("_v"), "prompt")
     return with_prompt_kind(
-        lines.withColumn("_r", raw)
-        .withColumn("model", F.coalesce(F.col("_r.model"), F.lit("")))
-        .withColumn("stream", F.coalesce(F.col("_r.stream"), F.lit(False)))
+        bound(lines, "_v", body_value)
+        .withColumn("model", F.coalesce(text_of(node(F.col("_v"), "model")), F.lit("")))
+        .withColumn("stream", F.coalesce(F.try_variant_get("_v", "$.stream", "boolean"), F.lit(False)))
         .withColumn(
             "messages",
-            F.transform(F.col("_r.messages"), shaped).cast(f"array<{MESSAGE_TYPE}>"),
+            F.transform(list_of(node(F.col("_v"), "messages")), shaped).cast(f"array<{MESSAGE_TYPE}>"),
         )
         .withColumn(
             "prompt",
-            F.when(is_list, prompts).when(
-                F.col("_r.prompt").isNotNull(), F.array(F.col("_r.prompt"))
+            F.coalesce(
+                F.transform(
+                    list_of(prompt),
+                    lambda p: F.coalesce(text_of(p), text_of(node(p, "content")), F.lit("")),
+                ),
+                F.when(F.length(text_of(prompt)) > 0, F.array(text_of(prompt))),
             ),
         )
-        .drop("_r")
+        .withColumn("estimated_tokens", body_tokens(F.col("_v")))
+        .drop("_v")
     )
 
 
