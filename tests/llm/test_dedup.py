@@ -151,7 +151,7 @@ def test_chunks_cover_and_resist_shifts():
     own = {PASSAGE[a:b].strip() for a, b in lines.chunks(PASSAGE)}
     moved = "Something before it, and more of it here " + PASSAGE + " and after it."
     shared = own & {moved[a:b].strip() for a, b in lines.chunks(moved)}
-    assert len(shared) >= len(own) - 2
+    assert len(shared) >= len(own) - 3
 
 
 def test_repeated_passages_go_once(spark):

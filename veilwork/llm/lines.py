@@ -37,24 +37,21 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """Start and end of each chunk; together they cover the text."""
-    spans, hashes, start = [], [], 0
-    digest = xxhash.xxh64_intdigest
-    for end in [m.end() for m in _LINE_END.finditer(text)] + [len(text)]:
-        line = text[start:end].strip()
-        if line:
-            spans.append(end)
-            hashes.append(digest(line))
-            start = end
-    if not spans:
+    """Start and end of each chunk; together they cover the text. A blank text has none."""
+    if not text or text.isspace():
         return []
-    spans[-1] = len(text)
-    own = np.array(hashes, np.uint64)
-    rolled = own + np.concatenate([[np.uint64(0)], own[:-1] * _ROLL])
+    ends = [m.end() for m in _LINE_END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    starts = [0, *ends[:-1]]
+    lines = [text[a:b] for a, b in zip(starts, ends)]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    rolled = own.copy()
+    rolled[1:] += own[:-1] * _ROLL
     stops = (rolled * _ROLL >> np.uint64(40)) % np.uint64(ENDS_IN) == 0
     stops[-1] = True
-    ends = np.array(spans)[stops].tolist()
-    return list(zip([0, *ends[:-1]], ends))
+    last = np.array(ends)[stops].tolist()
+    return list(zip([0, *last[:-1]], last))
 
 
 def _counted(chunk: str) -> bool:
@@ -66,17 +63,16 @@ def chunk_hashes(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, number, digest = [], [], []
-            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for n, (a, b) in enumerate(chunks(text or "")):
-                    chunk = text[a:b].strip()
-                    if _counted(chunk):
-                        row.append(r)
-                        number.append(n)
-                        digest.append(xxhash.xxh64_intdigest(chunk))
+            sizes, number, counted = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = [(n, c) for n, (a, b) in enumerate(chunks(text)) if _counted(c := text[a:b].strip())]
+                sizes.append(len(found))
+                number += [n for n, _ in found]
+                counted += [c for _, c in found]
+            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            digest = np.fromiter(map(xxhash.xxh64_intdigest, counted), np.uint64, len(counted)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(number, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))],
-                names=["row", "chunk", "hash"],
+                [pa.array(row, pa.int64()), pa.array(number, pa.int32()), pa.array(digest)], names=["row", "chunk", "hash"]
             )
 
     return rows.mapInArrow(work, "row bigint, chunk int, hash bigint")
@@ -89,6 +85,7 @@ def runs(found: DataFrame) -> DataFrame:
     chunks too short to be counted stand between: they are reached by comparing on from both ends.
     """
     by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "from_row", "from_chunk"))).alias("all"))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
@@ -212,7 +209,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def _pack(at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shrink = zstandard.ZstdCompressor(level=3).compress
+        shrink = zstandard.ZstdCompressor(level=2).compress
         for batch in batches:
             texts = pa.array([None if t is None else shrink(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
             columns = [texts if i == at else c for i, c in enumerate(batch.columns)]
