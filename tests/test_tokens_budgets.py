@@ -141,7 +141,7 @@ def test_rejection_detail(spark):
     assert got[2].message == "Estimated prompt tokens (99) exceeds max allowed per request (50)."
 
 
-@pytest.mark.parametrize("seconds, bucket", [(60, None), (60, 7), (600, None)])
+@pytest.mark.parametrize("seconds, bucket", [(60, 600), (60, 7), (600, 1), (10**7, 60)])
 def test_window_usage(spark, seconds, bucket):
     rows = traffic(800, 3)
     got = {r.request_id: r for r in budgets.window_usage(log(spark, rows), seconds, bucket_seconds=bucket).collect()}

@@ -393,6 +393,26 @@ def retry_join(spark, sf_dir):
     return done.select("event_id", "status", F.size("errors").alias("n_errors"))
 
 
+@query(
+    f"""WITH f AS (SELECT event_id, content, {STATUS} AS first, {N_ERRORS} AS n, {HAS_RETRY} AS again, {RETRY} AS retried
+  FROM ({REPLIES}))
+SELECT event_id, 'schema_validation_error' AS type,
+  CASE WHEN again AND event_id % 3 = 1 THEN {sql_text(replies.RETRY_SCHEMA_FAILED)} WHEN again THEN {sql_text(replies.RETRY_FAILED)}
+    WHEN first = 'parse_failed' THEN {sql_text(replies.PARSE_FAILED)} ELSE {sql_text(replies.SCHEMA_FAILED)} END AS message,
+  CASE WHEN again AND event_id % 3 = 1 THEN 3 ELSE CASE WHEN first = 'parse_failed' THEN 1 ELSE n END
+    + CASE WHEN again THEN 1 ELSE 0 END END::INT AS n_details,
+  CASE WHEN again AND event_id % 3 = 1 THEN retried ELSE content END AS raw_content
+FROM f WHERE first NOT IN ('ok', 'repaired') AND NOT (again AND event_id % 3 = 0)"""
+)
+def retry_error_bodies(spark, sf_dir):
+    """What is reported of replies that failed, whether or not they had a second attempt."""
+    source = reply_table(spark, sf_dir)
+    retries = source.where(F.expr(HAS_RETRY)).select("event_id", F.expr(RETRY).alias("retry_content"))
+    done = replies.enforce_with_retry(source, retries, ["event_id"], RULES)
+    body = done.select("event_id", replies.retry_error_body(done).alias("b")).where("b IS NOT NULL")
+    return body.select("event_id", "b.type", "b.message", F.size("b.details").alias("n_details"), "b.raw_content")
+
+
 @query(
     """SELECT event_id, choice::INT AS choice, kind, content FROM (
   SELECT event_id, 0 AS choice, 'message' AS kind, event_type AS content FROM events

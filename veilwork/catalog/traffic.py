@@ -137,8 +137,13 @@ SELECT request_id,
   END AS message,
   CASE WHEN decision = 'oversize' THEN 'budget_exhausted_error' ELSE 'rate_limit_error' END AS type,
   CASE WHEN decision = 'oversize' THEN 'insufficient_quota' ELSE 'token_budget_exceeded' END AS code,
+  CASE WHEN decision <> 'requests' THEN tokens END AS estimated_tokens,
   CASE WHEN decision = 'requests' THEN n END AS current_requests,
-  CASE WHEN decision = 'tokens' THEN used END AS current_tokens
+  CASE WHEN decision = 'tokens' THEN used END AS current_tokens,
+  CASE WHEN decision = 'oversize' THEN {LIMITS.max_tokens_per_request}::BIGINT END AS max_tokens_per_request,
+  CASE decision WHEN 'requests' THEN {LIMITS.max_requests_per_minute}::BIGINT
+    WHEN 'tokens' THEN {LIMITS.max_tokens_per_minute}::BIGINT END AS "limit",
+  CASE WHEN decision <> 'oversize' THEN {LIMITS.sliding_window_seconds} END AS window_seconds
 FROM decided WHERE decision <> 'ok'"""
 )
 def rejection_details(spark, sf_dir):
@@ -151,8 +156,7 @@ def rejection_details(spark, sf_dir):
         "e.message",
         "e.type",
         "e.code",
-        "e.details.current_requests",
-        "e.details.current_tokens",
+        "e.details.*",
     )
 
 

@@ -53,7 +53,10 @@ MESSAGES = {
 
 def json_kind(value: Column) -> Column:
     """null, boolean, integer, float, string, array or object."""
-    shape = F.schema_of_variant(value)
+    return let(F.schema_of_variant(value), _kind_of_shape)
+
+
+def _kind_of_shape(shape: Column) -> Column:
     # integers beyond 64 bits are stored as wide decimals; 1.0 is a narrow one
     wide_integer = shape.rlike(r"^DECIMAL\((?:19|[23][0-9]),0\)$")
     return (

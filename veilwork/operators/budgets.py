@@ -21,6 +21,7 @@ from veilwork.session import checkpointed, discard, shared_dir
 
 SECOND = 1_000_000
 ROWS_PER_TASK = 20_000_000
+BUCKET_SECONDS = 600  # of a running sum of usage, whatever the window
 TICKS = 4096  # of a window: parts are cut between ticks
 
 # --- fixed values: error texts, types and codes ---
@@ -410,16 +411,17 @@ def rejection_detail(
         .otherwise(F.format_string(tokens_hit, projected))
     )
     rate = (decision != "oversize") & F.lit(limits.reject_status_code == 429)
-    limit = (
-        F.when(decision == "oversize", limits.max_tokens_per_request)
-        .when(decision == "requests", limits.max_requests_per_minute)
-        .otherwise(limits.max_tokens_per_minute)
+    limit = F.when(decision == "requests", limits.max_requests_per_minute).otherwise(
+        limits.max_tokens_per_minute
     )
     details = F.struct(
         F.when(decision != "requests", tokens).alias("estimated_tokens"),
         F.when(decision == "requests", requests).alias("current_requests"),
         F.when(decision == "tokens", used).alias("current_tokens"),
-        limit.cast("bigint").alias("limit"),
+        F.when(decision == "oversize", F.lit(limits.max_tokens_per_request).cast("bigint")).alias(
+            "max_tokens_per_request"
+        ),
+        F.when(decision != "oversize", limit.cast("bigint")).alias("limit"),
         F.when(decision != "oversize", F.lit(seconds)).alias("window_seconds"),
     )
     return F.when(
@@ -443,7 +445,7 @@ def window_usage(
     client: str = "client_id",
     ts: str = "ts_us",
     tokens: str = "tokens",
-    bucket_seconds: int | None = None,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Requests and tokens of the last ``seconds`` at each row, and since the start.
 
@@ -451,9 +453,9 @@ def window_usage(
     other.  Each row counts +1 at its time and -1 just after it leaves the
     window, which turns the sliding window into a running sum; running sums
     split over time buckets, so a client with most of the rows spreads over many
-    tasks whatever the window's length.
+    tasks whatever the window's length: a bucket is ``bucket_seconds`` wide.
     """
-    width = (bucket_seconds or max(1, seconds // 4)) * SECOND
+    width = bucket_seconds * SECOND
     base = df.select(
         *keys,
         F.col(client).alias("_client"),
@@ -523,7 +525,7 @@ def usage_at(
     tokens: str = "tokens",
 ) -> DataFrame:
     """Every client's current window and lifetime use at one instant."""
-    inside = F.col(ts) >= now_us - seconds * SECOND
+    inside = F.col(ts) >= now_us - seconds * SECOND  # plain comparisons reach the scan
     zero = F.lit(0).cast("bigint")
     return (
         df.where(F.col(ts) <= now_us)

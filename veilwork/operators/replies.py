@@ -13,6 +13,7 @@ from veilwork.functions.jsonfix import parse_or_repair
 from veilwork.functions.jsonschema import ERRORS_TYPE, validate_json
 from veilwork.functions.let import bound, let
 from veilwork.functions.masking import MESSAGE_TYPE
+from veilwork.session import checkpointed
 
 # --- fixed values: error texts and the repair prompt ---
 PARSE_FAILED = "Failed to parse or repair JSON"
@@ -141,11 +142,10 @@ def failed(enforced: Column) -> Column:
 
 def error_body(enforced: Column, content: Column) -> Column:
     """The error report of a failed row as a struct; null otherwise."""
-    message = F.when(enforced["status"] == "parse_failed", PARSE_FAILED).otherwise(SCHEMA_FAILED)
     return F.when(
         failed(enforced),
         F.struct(
-            message.alias("message"),
+            failure_text(enforced).alias("message"),
             F.lit(ERROR_TYPE).alias("type"),
             F.lit(ERROR_CODE).alias("code"),
             F.transform(enforced["errors"], lambda e: e["message"]).alias("details"),
@@ -164,19 +164,22 @@ def enforce_with_retry(
 ) -> DataFrame:
     """Enforce, then give each failed row its one second attempt from ``retries``.
 
-    Adds ``status, was_repaired, errors, json, raw_content``.  A retry that
-    passes counts as repaired; one that fails the schema reports its own errors;
-    one that isn't JSON reports both.
+    Adds ``status, was_repaired, errors, json, raw_content, message``.  A retry
+    that passes counts as repaired; one that fails the schema reports its own
+    errors; one that isn't JSON reports both.  ``message`` says what failed last.
+    Only failed rows meet the retries; all others pass without a shuffle.
     """
     first = enforce_schema(replies, rules, content, "_first")
+    plain_message = failure_text(F.col("_first"))
     if not rules.retries or not rules.active:
-        return _flat(first, F.col("_first"), F.col(content)).drop("_first")
-    again = F.when(
-        failed(F.col("_first")) & F.col(retry_content).isNotNull(),
-        enforce_content(F.col(retry_content), rules),
-    )
-    both = first.join(retries.select(*keys, retry_content), list(keys), "left").withColumn(
-        "_again", again
+        return _flat(first, F.col("_first"), F.col(content), plain_message).drop("_first")
+    first = checkpointed(first)  # enforced once, read for the rows that passed and those that failed
+    passed = first.where(~failed(F.col("_first")))
+    again = F.when(F.col(retry_content).isNotNull(), enforce_content(F.col(retry_content), rules))
+    both = (
+        first.where(failed(F.col("_first")))
+        .join(retries.select(*keys, retry_content), list(keys), "left")
+        .withColumn("_again", again)
     )
     one, two = F.col("_first"), F.col("_again")
     # a retry that isn't JSON keeps the first error and adds its own
@@ -193,18 +196,47 @@ def enforce_with_retry(
         )
     )
     raw = F.when(two["status"] == "schema_failed", F.col(retry_content)).otherwise(F.col(content))
-    return _flat(both.withColumn("_done", outcome), F.col("_done"), raw).drop(
+    message = (
+        F.when(two.isNull(), plain_message)
+        .when(two["status"] == "schema_failed", RETRY_SCHEMA_FAILED)
+        .when(two["status"] == "parse_failed", RETRY_FAILED)
+    )
+    tried = _flat(both.withColumn("_done", outcome), F.col("_done"), raw, message).drop(
         "_first", "_again", "_done"
     )
+    untried = _flat(passed, F.col("_first"), F.col(content), plain_message).drop("_first")
+    return untried.unionByName(tried, allowMissingColumns=True)
+
+
+def failure_text(enforced: Column) -> Column:
+    """What a first attempt failed at; null if it passed."""
+    return F.when(enforced["status"] == "parse_failed", PARSE_FAILED).when(
+        enforced["status"] == "schema_failed", SCHEMA_FAILED
+    )
+
+
+def retry_error_body(row: DataFrame) -> Column:
+    """The error report of a row of :func:`enforce_with_retry`; null if it passed."""
+    return F.when(
+        row["message"].isNotNull(),
+        F.struct(
+            row["message"].alias("message"),
+            F.lit(ERROR_TYPE).alias("type"),
+            F.lit(ERROR_CODE).alias("code"),
+            F.transform(row["errors"], lambda e: e["message"]).alias("details"),
+            row["raw_content"].alias("raw_content"),
+        ),
+    )
 
 
-def _flat(df: DataFrame, outcome: Column, raw: Column) -> DataFrame:
+def _flat(df: DataFrame, outcome: Column, raw: Column, message: Column) -> DataFrame:
     return (
         df.withColumn("status", outcome["status"])
         .withColumn("was_repaired", outcome["was_repaired"])
         .withColumn("errors", outcome["errors"])
         .withColumn("json", outcome["json"])
         .withColumn("raw_content", raw)
+        .withColumn("message", message)
     )
 
 

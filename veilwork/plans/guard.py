@@ -107,7 +107,10 @@ def guard_replies(
     retry_content``.  Returns ``request_id, choice, status, was_repaired,
     errors, content``; failed choices have no content.
     """
-    choices = explode_replies(spread(replies), ["request_id"])
+    admitted = guarded.where(F.col("decision") == "ok").select("request_id", "map")
+    # replies of rejected requests aren't enforced
+    asked = spread(replies).join(admitted.select("request_id"), "request_id", "left_semi")
+    choices = explode_replies(asked, ["request_id"])
     if retries is not None and options.schema.active and options.schema.retries:
         enforced = enforce_with_retry(
             choices, retries, ["request_id", "choice"], options.schema
@@ -124,7 +127,6 @@ def guard_replies(
                 F.col("_e.json").alias("json"),
             )
         )
-    admitted = guarded.where(F.col("decision") == "ok").select("request_id", "map")
     joined = enforced.join(admitted, "request_id")
     content = F.col("json")
     if options.pii.reversible:
