@@ -128,7 +128,9 @@ def test_prompts_and_messages_share_numbers(spark):
 def test_sessions_with_one_hot_session(spark, rules):
     # half of all turns are in session 0, over several numbering buckets
     rng = random.Random(5)
-    texts = [t.replace("﷐", "") for t in make_texts(6000, 11, 8)]
+    texts = make_texts(6000, 11, 8)
+    odd = ["\ufdd0", "\ufdd1", "\ufdd2", "\ufdd2\ufdd1\ufdd2", "\ufdd1\ufdd1", "\ufdd3\ufdd4"]
+    texts = [t.replace(" ", rng.choice(odd), 1) if i % 9 == 0 else t for i, t in enumerate(texts)]
     rows = [(0 if rng.random() < 0.5 else rng.randint(1, 30), i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "session_id int, turn long, text string").repartition(8)
     masked, entries = sessions.mask_sessions(df, rules=rules)

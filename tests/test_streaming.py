@@ -95,6 +95,9 @@ def test_windows_and_metrics(spark, tmp_path):
         inside = [t for s, c, t in rows if c == client and start <= s < start + 60]
         assert value == (len(inside), sum(inside))
     assert max(start for _, start in got) == 220
+    whole = online.run_to_the_end(online.stream_window_usage(stream, 60, 10, "10 seconds"), ["client_id", "window_start_us"])
+    ended = {(r.client_id, r.window_start_us // SECOND): (r.window_requests, r.window_tokens) for r in whole.collect()}
+    assert got.items() <= ended.items() and sum(n for n, _ in ended.values()) == 6 * len(rows)
     outcomes = stream.select(
         "ts",
         F.when(F.col("seq") % 3 == 0, "blocked").otherwise("success").alias("outcome"),

@@ -14,6 +14,8 @@ from veilwork.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SMALL_BYTES = 256 << 20
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A given table that is too small to have splits enough, dealt to all cores.
+
+    The tables at hand are single files of one row group.  Anything above
+    ``SMALL_BYTES`` is left as it is scanned, so what this shuffles is bounded.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SMALL_BYTES and not df.isStreaming else df
+
+
 def query_over(df: DataFrame, name: str, sql: str) -> DataFrame:
     """``sql`` with ``df`` in the place of table ``name``; leaves no view behind."""
     view = f"{name}_{uuid.uuid4().hex}"

@@ -288,27 +288,25 @@ HOUR_US = 3_600_000_000
   FROM log, (SELECT unnest(range(0, 6)) AS back))
 SELECT client_id, window_start_us, window_start_us + 6 * {HOUR_US} AS window_end_us,
   count(*) AS window_requests, sum(tokens)::BIGINT AS window_tokens FROM w
-WHERE window_start_us + 6 * {HOUR_US} <= (SELECT max(ts_us) // 1000 * 1000 FROM log) - 2 * {HOUR_US}
 GROUP BY ALL"""
 )
 def stream_window_usage(spark, sf_dir):
-    # windows the watermark has not closed are not reported yet
     log = stream_of(spark, sf_dir, "events").select(
         F.col("user_id").alias("client_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.expr(TOKENS).alias("tokens"),
     )
-    return online.run_available(online.stream_window_usage(log, 6 * 3600, 3600, "2 hours"))
+    usage = online.stream_window_usage(log, 6 * 3600, 3600, "2 hours")
+    return online.run_to_the_end(usage, ["client_id", "window_start_us"])
 
 
 @query(
     f"""SELECT epoch_us(b) AS window_start_us, epoch_us(b) + {HOUR_US} AS window_end_us, {COUNTS_SQL},
-  {SCHEMA_SQL}, {TOKENS_SQL} FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS b FROM ({OUTCOMES}))
-WHERE epoch_us(b) + {HOUR_US} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 2 * {HOUR_US} GROUP BY b"""
+  {SCHEMA_SQL}, {TOKENS_SQL} FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS b FROM ({OUTCOMES})) GROUP BY b"""
 )
 def stream_metrics(spark, sf_dir):
     outcomes = query_over(stream_of(spark, sf_dir, "events"), "events", OUTCOMES).withColumn("ts", F.col("ts").cast("timestamp"))
-    return online.run_available(online.stream_metrics(outcomes, "1 hour", "2 hours"))
+    return online.run_to_the_end(online.stream_metrics(outcomes, "1 hour", "2 hours"), ["window_start_us"])
 
 
 # Rules whose values hold no spaces: then masking in pieces equals masking at once.

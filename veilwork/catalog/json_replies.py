@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import query, query_over, sql_text, table
+from veilwork.catalog.base import query, query_over, spread, sql_text, table
 from veilwork.functions import jsonfix
 from veilwork.functions.jsonschema import validate_json
 from veilwork.functions.let import bound
 from veilwork.operators import replies
-from veilwork.session import spread
 
 # Replies made from events by one expression for both sides, eight kinds of them:
 # clean, fenced, in prose, Python style, trailing commas, comments, cut off, no JSON.

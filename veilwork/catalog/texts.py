@@ -10,6 +10,7 @@ from veilwork.catalog.base import (
     query,
     re2,
     seeded,
+    spread,
     sql_text,
     table,
 )
@@ -30,7 +31,7 @@ from veilwork.functions.tokens import (
 )
 from veilwork.operators import budgets, detect, restore, sessions
 from veilwork.rules import PRECEDENCE, Rule, PATTERNS, ScrubRules
-from veilwork.session import checkpointed, spread
+from veilwork.session import checkpointed
 
 ALL = ScrubRules()
 CUSTOM = ScrubRules(

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import query, query_over, table, ts_us
+from veilwork.catalog.base import query, query_over, spread, table, ts_us
 from veilwork.catalog.texts import tokens_sql
 from veilwork.functions import tokens
 from veilwork.operators import budgets, telemetry
-from veilwork.session import spread
 from veilwork.sources import requests as request_source
 from veilwork.sources import sse
 

@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from veilwork.functions.let import let
 from veilwork.rules import LUHN_CATEGORY, Rule, ScrubRules
 
-# U+FDD0 is a Unicode noncharacter: never valid in exchanged text, in no
-# pattern's classes.  It tags the stand-in masks of a session scan so that they
-# can't be confused with mask-like text that a user typed.
-STAND_IN = "\ufdd0"
-# More of them, to mark hits while a text is being cut.
-TAGS = ("\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4")
+# Unicode noncharacters, in no pattern's classes: the filling and the ends of a tag.
+TAG_FILL, TAG_END = "\ufdd1", "\ufdd2"
 
 SEEN_TYPE = "array<struct<value:string,category:string,rule:int,mask:string>>"
 HITS_TYPE = "array<struct<rule:int,category:string,ordinal:int,value:string>>"
@@ -75,7 +71,7 @@ def _cut(text: Column, k: Column, rules: ScrubRules) -> Column:
     branches = None
     for number, rule in enumerate(rules.ordered):
         cut = let(
-            _free_tag(text),
+            free_tag(text),
             lambda tag: F.split(
                 F.regexp_replace(text, F.lit(rule.jvm), F.concat(tag, F.lit("$0"), tag)), tag, -1
             ),
@@ -86,13 +82,15 @@ def _cut(text: Column, k: Column, rules: ScrubRules) -> Column:
     return branches.otherwise(uncut)
 
 
-def _free_tag(text: Column) -> Column:
-    """A noncharacter that does not occur in ``text``."""
-    first, *others, last = TAGS
-    tag = F.when(~F.contains(text, F.lit(first)), first)
-    for other in others:
-        tag = tag.when(~F.contains(text, F.lit(other)), other)
-    return tag.otherwise(last)
+def free_tag(text: Column) -> Column:
+    """A mark that does not occur in ``text``, whatever it holds, nor across its own ends.
+
+    Between two ends stand more fillings in a row than anywhere in the text.
+    """
+    runs = F.regexp_extract_all(text, F.lit(TAG_FILL + "+"), F.lit(0))
+    longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    n = F.when(F.contains(text, F.lit(TAG_FILL)), longest + 1).otherwise(1)
+    return F.concat(F.lit(TAG_END), F.repeat(F.lit(TAG_FILL), n), F.lit(TAG_END))
 
 
 def fresh_state(text: Column | None = None) -> Column:
@@ -107,7 +105,7 @@ def fresh_state(text: Column | None = None) -> Column:
 def scan_text(
     text: Column,
     rules: ScrubRules,
-    stand_ins: bool = False,
+    tag: Column | None = None,
     keep_hits: bool = False,
     carry: Column | None = None,
 ) -> Column:
@@ -115,8 +113,8 @@ def scan_text(
 
     Returns a struct: ``text`` with masks in place, ``seen`` with the distinct
     values in the order they were first masked, and with ``keep_hits`` every
-    single hit.  With ``stand_ins`` the masks carry a tag, for renumbering
-    across a session.  ``carry`` is the state after an earlier text, whose
+    single hit.  With a ``tag`` the masks stand between two of them, for
+    renumbering across a session.  ``carry`` is the state after an earlier text, whose
     masks and numbering continue here.
     """
     if carry is None:
@@ -130,8 +128,9 @@ def scan_text(
 
     def apply_rule(state: Column, k: Column) -> Column:
         category = _pick(k, rules, lambda r: r.category)
-        tag = STAND_IN if stand_ins else ""
-        template = _pick(k, rules, lambda r: tag + r.template + tag)
+        template = _pick(k, rules, lambda r: r.template)
+        if tag is not None:
+            template = F.concat(tag, template, tag)
         is_card = category == LUHN_CATEGORY
 
         def with_pieces(pieces: Column) -> Column:

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from veilwork.functions.let import bound
 from veilwork.functions.masking import find_hits, mask_text_with_map, scan_text
 from veilwork.rules import ScrubRules
-from veilwork.session import spread
 
 
 def detect_entities(
     df: DataFrame, keys: Sequence[str], text: str = "text", rules: ScrubRules | None = None
 ) -> DataFrame:
     """One row per hit: ``keys``, ``category``, ``ordinal`` (per rule and text) and ``value``."""
-    scanned = spread(df.select(*keys, text)).select(
+    scanned = df.select(*keys, text).select(
         *keys, scan_text(F.col(text), rules or ScrubRules(), keep_hits=True)["hits"].alias("hits")
     )
     # outer: an inner explode would make the optimizer test the array in a filter of its own
@@ -43,7 +42,7 @@ def find_category(
     """Hits of one category on the raw text: ``keys``, ``ordinal``, ``value``."""
     rules = rules or ScrubRules(patterns=(category,))
     rule = next(r for r in rules.ordered if r.category == category)
-    found = spread(df.select(*keys, text)).select(
+    found = df.select(*keys, text).select(
         *keys, F.posexplode_outer(find_hits(F.col(text), rule)).alias("pos", "value")
     )
     return found.where(F.col("value").isNotNull()).select(
@@ -55,5 +54,5 @@ def mask_table(
     df: DataFrame, text: str = "text", rules: ScrubRules | None = None, out: str = "masked"
 ) -> DataFrame:
     """Mask one text column of a table, each row on its own; adds ``out`` and ``map``."""
-    masked = bound(spread(df), "_m", mask_text_with_map(F.col(text), rules))
+    masked = bound(df, "_m", mask_text_with_map(F.col(text), rules))
     return masked.withColumns({out: F.col("_m.masked"), "map": F.col("_m.map")}).drop("_m")

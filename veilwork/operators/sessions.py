@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions.let import bound
-from veilwork.functions.masking import STAND_IN, has_hits, scan_text
+from veilwork.functions.let import bound, let
+from veilwork.functions.masking import free_tag, has_hits, scan_text
 from veilwork.operators.numbering import number_within
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed, spread
+from veilwork.session import checkpointed
 
 TURNS_PER_BUCKET = 1024
 
@@ -25,12 +25,15 @@ TURNS_PER_BUCKET = 1024
 def scan_turns(
     df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules
 ) -> DataFrame:
-    """Turns that contain something to mask, with tagged stand-ins in their text."""
-    scanned = bound(
-        spread(df.select(session, *order, text)),
-        "scan",
-        scan_text(F.col(text), rules, stand_ins=True),
-    )
+    """Turns that contain something to mask, with tagged stand-ins in their text, and the tag."""
+
+    def with_tag(tag):
+        return let(
+            scan_text(F.col(text), rules, tag=tag),
+            lambda s: F.struct(s["text"].alias("text"), s["seen"].alias("seen"), tag.alias("tag")),
+        )
+
+    scanned = bound(df.select(session, *order, text), "scan", let(free_tag(F.col(text)), with_tag))
     return scanned.where(F.size("scan.seen") > 0).select(session, *order, "scan")
 
 
@@ -130,8 +133,8 @@ def mask_sessions(
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("stand_in", "mask")).alias("swap"))
     )
-    pieces = F.split(F.col("scan.text"), STAND_IN, -1)
-    place = F.transform(F.col("swap.stand_in"), lambda s: F.replace(s, F.lit(STAND_IN), F.lit("")))
+    pieces = F.split(F.col("scan.text"), F.col("scan.tag"), -1)
+    place = F.transform(F.col("swap.stand_in"), lambda s: F.replace(s, F.col("scan.tag"), F.lit("")))
     masked = F.array_join(
         F.transform(
             pieces,
@@ -146,9 +149,8 @@ def mask_sessions(
     changed = (
         scanned.join(of_turn, keys).withColumn("place", place).select(*keys, masked.alias(out))
     )
-    source = spread(df.select(*keys, text))
     same = (
-        bound(source, "_found", has_hits(F.col(text), rules))
+        bound(df.select(*keys, text), "_found", has_hits(F.col(text), rules))
         .where(~F.col("_found"))
         .select(*keys, F.col(text).alias(out))
     )

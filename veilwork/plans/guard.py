@@ -18,7 +18,7 @@ from veilwork.operators.replies import (
     explode_replies,
 )
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed, spread
+from veilwork.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     has_prompt = F.coalesce(F.size("messages") > 0, F.lit(False)) | F.coalesce(F.size("prompt") > 0, F.lit(False))
     # admission works on ids and numbers
     sized = checkpointed(
-        bound(spread(requests), "estimated_tokens", estimate).select(
+        bound(requests, "estimated_tokens", estimate).select(
             "request_id", "client_id", "ts_us", "estimated_tokens", has_prompt.alias("has_prompt")
         )
     )
@@ -64,7 +64,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
         .select("request_id", "decision", "status")
     )
     judged = (
-        bound(spread(requests), "estimated_tokens", estimate)
+        bound(requests, "estimated_tokens", estimate)
         .join(rejected, "request_id", "left")
         .withColumns(
             {
@@ -109,7 +109,7 @@ def guard_replies(
     """
     admitted = guarded.where(F.col("decision") == "ok").select("request_id", "map")
     # replies of rejected requests aren't enforced
-    asked = spread(replies).join(admitted.select("request_id"), "request_id", "left_semi")
+    asked = replies.join(admitted.select("request_id"), "request_id", "left_semi")
     choices = explode_replies(asked, ["request_id"])
     if retries is not None and options.schema.active and options.schema.retries:
         enforced = enforce_with_retry(

@@ -66,15 +66,3 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables once nothing reads it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a costly per-row step one partition per core when the scan has fewer.
-
-    A large table already has more splits than cores and is returned as is, so
-    nothing is shuffled there.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.functions.masking import mask_text
 from veilwork.operators.budgets import OVERSIZE_STATUS, Limits, WindowState, replay
@@ -134,6 +135,32 @@ def stream_metrics(
     )
 
 
+def run_to_the_end(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what its source holds now: the last state of each of its ``keys``.
+
+    Windows that the watermark has not closed when the source ends are reported as
+    they stand, so that nothing read goes missing.
+    """
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+
+    query = (
+        df.writeStream.foreachBatch(keep)
+        .outputMode("update")
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    numbered = StructType([*df.schema.fields, StructField("batch", LongType())])
+    states = spark.read.schema(numbered).parquet(f"{base}/rows")
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("last"))
+    return last.select("last.*")
+
+
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over what its source holds now, into a table in the shared folder."""
     spark = df.sparkSession
