@@ -201,8 +201,12 @@ def test_spans_and_score():
     text = "you  utter idiot and\nclown go"
     chance = np.array([0.1, 0.9, 0.8, 0.2, 0.7, 0.0])
     assert [text[a:b] for a, b in toxicity.spans_of(text, chance)] == ["utter idiot", "clown"]
-    assert math.isclose(toxicity.document_score(chance), 1 - 0.9 * 0.1 * 0.2 * 0.8 * 0.3)
-    assert toxicity.document_score(np.zeros(0)) == 0.0
+    field = toxicity.Field(np.zeros(4), 0.0, np.zeros((2, 2)), 2.0, -1.0)
+    odds = 1 / 9 + 9 + 4 + 0.25 + 0.7 / 0.3
+    assert math.isclose(toxicity.document_score(field, chance), 1 / (1 + math.exp(1 - 2 * math.log(odds))))
+    assert toxicity.document_score(field, np.zeros(0)) == 0.0
+    slope, shift = toxicity.logistic_curve(np.array([-3.0, -2.5, -2.0, 2.0, 2.5, 3.0]), np.array([0, 0, 0, 1, 1, 1]), 0.5)
+    assert slope > 0.5 and abs(shift) < 1e-6
 
 
 def test_toxic_words_are_learned(spark):

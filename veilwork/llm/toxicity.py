@@ -4,7 +4,8 @@ Labels are given for documents, so the tokens to learn from are labelled first:
 document, those words and stems that stand in toxic documents far more often than chance allows.
 The field has two states and features of the word, its stems and its neighbours. It is fitted
 by gradient ascent on a bounded sample of labelled documents; forward and backward passes give
-each token's marginal. A document's score is the chance that any of its tokens is toxic, and the
+each token's marginal. A document's evidence is the log of the sum of its tokens' odds; a logistic
+curve through the sample's evidence, set to the labels' base rate, turns it into a score. The
 offending offsets are those of tokens more likely toxic than not.
 """
 
@@ -28,9 +29,9 @@ TRAIN_EACH = 700  # of those, documents of either label that the field is fitted
 EVIDENCE = 12.0  # nats by which a word must prefer toxic documents
 WEIGHTS = 1 << 18
 STEMS = (4, 5, 6)
-ROUNDS = 40
+ROUNDS = 90
 RATE = 0.5
-SHRINK = 1e-3
+SHRINK = 3e-4
 CACHE = 150_000
 TOKENS = 400_000  # scored at a time
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -120,14 +121,33 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs: boo
 
 
 class Field:
-    """Weights of the fitted field."""
+    """Weights of the fitted field, and of the curve from a document's evidence to its score."""
 
-    def __init__(self, weights: np.ndarray, bias: float, moves: np.ndarray) -> None:
+    def __init__(self, weights: np.ndarray, bias: float, moves: np.ndarray, slope: float = 1.0, shift: float = 0.0) -> None:
         self.weights, self.bias, self.moves = weights.astype(np.float32), bias, moves
+        self.slope, self.shift = slope, shift
 
 
-def train(texts: list[str], toxic: list[int], lexicon: set[str]) -> Field:
-    """Fits the field to texts whose tokens are labelled by the lexicon of features."""
+def evidence_of(chance: np.ndarray) -> float:
+    """Log of the sum of the tokens' odds."""
+    return float(np.log((chance / np.maximum(1 - chance, 1e-12)).sum() + 1e-12))
+
+
+def logistic_curve(evidence: np.ndarray, toxic: np.ndarray, base: float) -> tuple[float, float]:
+    """Slope and shift by Newton's steps; targets keep off 0 and 1, and ``base`` replaces the sample's share."""
+    bad, good = toxic.sum(), (1 - toxic).sum()
+    target = np.where(toxic == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    x = np.stack([evidence, np.ones(len(evidence))])
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (target - p) - 1e-3 * w)
+        w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+    return float(max(w[0], 0.0)), float(w[1] + math.log(base / (1 - base)) - math.log(bad / good))
+
+
+def train(texts: list[str], toxic: list[int], lexicon: set[str], base: float) -> Field:
+    """Fits the field to texts whose tokens are labelled by the lexicon; ``base``: share of toxic documents at large."""
     raw = [t.split() for t in texts]
     labels, first, own, owner, before, after = [], [], [], [], [], []
     known: dict[str, tuple] = {}
@@ -176,7 +196,9 @@ def train(texts: list[str], toxic: list[int], lexicon: set[str]) -> Field:
         weights += RATE * slope / np.sqrt(speed_w)
         bias += RATE * slope_b / math.sqrt(speed_b)
         moves += RATE * slope_m / np.sqrt(speed_m)
-    return Field(weights, bias, moves)
+    ends = np.cumsum([len(words) for words in raw])
+    evidence = np.array([evidence_of(c) for c in np.split(chance, ends[:-1])])
+    return Field(weights, bias, moves, *logistic_curve(evidence, np.array(toxic), base))
 
 
 class Tagger:
@@ -219,9 +241,11 @@ class Tagger:
         return np.split(marginals(emit, first, self.field.moves), ends[:-1])
 
 
-def document_score(chance: np.ndarray) -> float:
-    """Chance that at least one token is toxic."""
-    return float(-np.expm1(np.log1p(-np.minimum(chance, 1 - 1e-12)).sum())) if len(chance) else 0.0
+def document_score(field: Field, chance: np.ndarray) -> float:
+    """Chance that a document with these marginals is toxic; 0 without tokens."""
+    if not len(chance):
+        return 0.0
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, field.slope * evidence_of(chance) + field.shift))))
 
 
 def spans_of(text: str, chance: np.ndarray) -> list[tuple[int, int]]:
@@ -277,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(5) != 0)
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_TOXIC).union(
         known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_CLEAN)
     )
@@ -291,7 +316,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     lexicon = lexicon_of(sample.select("text", "toxic"), toxic, len(chosen) - toxic)
     few = [d for d, t in chosen if t][:TRAIN_EACH] + [d for d, t in chosen if not t][:TRAIN_EACH]
     rows = sample.where(F.col("doc_id").isin(few)).select("text", "toxic").orderBy("toxic", "text").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], lexicon)
+    labels_of = [r["toxic"] for r in rows]
+    if len(set(labels_of)) < 2:
+        return Field(np.zeros(WEIGHTS), -20.0, np.zeros((2, 2)))
+    return train([r["text"] for r in rows], labels_of, lexicon, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, field: Field, ids: list[str]) -> DataFrame:
@@ -311,7 +339,7 @@ def score(docs: DataFrame, field: Field, ids: list[str]) -> DataFrame:
                 held += len(words[-1])
                 if held >= TOKENS or i + 1 == len(column):
                     for t, chance in zip(texts, tagger.chances(words)):
-                        scores.append(document_score(chance))
+                        scores.append(document_score(tagger.field, chance))
                         spans.append([{"start": a, "end": b} for a, b in spans_of(t, chance)])
                     texts, words, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
