@@ -218,8 +218,8 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     blocks = -(-stats["bytes"] // INDEX_BYTES)
     spread = texts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     # in how many items a term stands, of all items
-    terms = split_terms = spread.select("block", F.explode(F.array_distinct(split)).alias("term"))
-    frequency = split_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = spread.select("block", F.explode(F.array_distinct(split)).alias("term"))
+    frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     for block in range(blocks):
         held = [Item(r["item_id"], r["text"]) for r in spread.where(F.col("block") == block).collect()]
         own = terms.where(F.col("block") == block).select("term").distinct()
