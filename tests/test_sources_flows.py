@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import plain
 import pytest
 from pyspark.sql import functions as F
 
