@@ -146,6 +146,20 @@ def test_question_and_answer_must_both_stand():
     assert found(None) == found("") == found(filler) == []
 
 
+def test_text_glued_to_a_passage_loses_no_item():
+    short = ITEM.split("? ")[0] + "? Anhaat."
+    four = ITEM.split("? ")[0] + "? Nobody knows about it."
+    index = index_of([short, four, "«Où est» la rivière du vieux moulin? Là."])
+    found = lambda text: [n for n, *_ in index.matches(text)]
+    filler = " ".join(f"filler{i}" for i in range(300))
+    for before, after in [("&&&", "&&& inor"), ("end.", "### nd"), ("(", ")"), ("so", "or"), ("\u2014", "\u2026and"), (" ", "_x")]:
+        assert 0 in found(f"{filler}{before}{short}{after} {filler}")
+        assert 1 in found(f"{filler}{before}{four[:-1]}{after} {filler}")
+    assert found(f"{filler} OÙ est la rivière, du vieux moulin \u2013 là") == [2]
+    question = short.split("? ")[0]
+    assert found(f"{filler} {question}? {filler}") == [] == found(f"{filler} {question}? Nobody cares at all. {filler}")
+
+
 def test_leaks_over_tables(spark):
     filler = " ".join(f"filler{i}" for i in range(200))
     docs = spark.createDataFrame([(1, f"{filler} {ITEM}"), (1, f"{filler} {ITEM}"), (2, filler), (None, ITEM), (3, None)], "doc_id long, text string")

@@ -9,6 +9,9 @@ greatest impacts don't add up to the threshold can't have any and ends there.
 
 An item found this way is verified in the whole text, by its runs of five words: those of
 the question (all but the last sentence) and those that reach into the answer (the last one).
+Words are runs of letters and digits, so punctuation at a passage's edge doesn't matter. Text
+around it may be glued to the first and the last word: segments leave these two out, and the runs
+that hold them are looked for with an open edge.
 
 The index is built per block of items of at most ``INDEX_BYTES`` of text, whatever the
 number of items, and sent to the tasks block by block; term statistics are those of all items.
@@ -37,11 +40,17 @@ K1, B = 1.2, 0.75
 POSTINGS = 16  # of one block of a posting list
 INDEX_BYTES = 16 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_WORD = re.compile(r"[^\W_]+")
+_PLAIN = bytes(ord(c.lower()) if (c := chr(i)).isascii() and c.isalnum() else 32 for i in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    """Runs of letters and digits, in lower case."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(_PLAIN).split()
+    return " ".join(_WORD.findall(text.lower())).encode().split()
 
 
 def shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -64,15 +73,23 @@ class Item:
         cut = len(runs) - min(answer, len(runs))
         self.question, self.answer = set(runs[:cut]), set(runs[cut:])
         self.size = len(runs[0]) if runs else 0
+        # runs at the passage's edges, as they stand when the text around is glued to them
+        self.edges = []
+        if len(self.words) > SHINGLE:
+            self.edges = [(runs[0], b" ".join(runs[0]) + b" "), (runs[-1], b" " + b" ".join(runs[-1]))]
 
     def segments(self) -> list[list[bytes]]:
-        count = -(-len(self.words) // SEGMENT)
-        bounds = [len(self.words) * k // count for k in range(count + 1)] if count else []
-        return [self.words[a:b] for a, b in zip(bounds, bounds[1:])]
+        words = self.words[1:-1] if self.edges else self.words
+        count = -(-len(words) // SEGMENT)
+        bounds = [len(words) * k // count for k in range(count + 1)] if count else []
+        return [words[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def overlaps(self, seen: set) -> tuple[float, float]:
-        """Shares of question and answer that ``seen`` holds; a missing part counts as found."""
-        return tuple(len(part & seen) / len(part) if part else 1.0 for part in (self.question, self.answer))
+    def overlaps(self, seen: set, line: bytes) -> tuple[float, float]:
+        """Shares of question and answer among the runs ``seen`` and the words in ``line``; a missing part counts as found."""
+        glued = {run for run, edge in self.edges if run not in seen and edge in line}
+        return tuple(
+            (len(part & seen) + len(part & glued)) / len(part) if part else 1.0 for part in (self.question, self.answer)
+        )
 
 
 class Index:
@@ -192,11 +209,13 @@ class Index:
         words = words_of(text)
         out = []
         seen: dict[int, set] = {}
-        for number in sorted(self.candidates(words)) if words else ():
+        found = sorted(self.candidates(words)) if words else []
+        line = b" %b " % b" ".join(words) if found else b""
+        for number in found:
             item = self.items[number]
             if item.size not in seen:
                 seen[item.size] = set(zip(*[words[i:] for i in range(item.size)]))
-            shares = item.overlaps(seen[item.size])
+            shares = item.overlaps(seen[item.size], line)
             if min(shares) >= OVERLAP:
                 out.append((number, *shares))
         return out
@@ -205,29 +224,43 @@ class Index:
 def indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes that together hold all of ``items`` (``item_id``, ``text``), each of bounded size."""
     texts = items.where("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    stats = texts.agg(
-        F.sum(F.octet_length("text")).alias("bytes"),
-        F.sum(F.ceil(F.size(split) / SEGMENT)).alias("segments"),
-        F.sum(F.size(split)).alias("words"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
+    stats = (
+        texts.select("text")
+        .mapInArrow(_counts, "bytes bigint, words bigint, segments bigint")
+        .agg(*[F.sum(c).alias(c) for c in ("bytes", "words", "segments")], F.count(F.lit(1)).alias("n"))
+        .first()
+    )
     if not stats["words"]:
         return
     blocks = -(-stats["bytes"] // INDEX_BYTES)
     spread = texts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     # in how many items a term stands, of all items
-    terms = spread.select("block", F.explode(F.array_distinct(split)).alias("term"))
+    terms = spread.select("block", "text").mapInArrow(_terms, "block bigint, term binary")
     frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     for block in range(blocks):
         held = [Item(r["item_id"], r["text"]) for r in spread.where(F.col("block") == block).collect()]
         own = terms.where(F.col("block") == block).select("term").distinct()
-        df = {r["term"].encode("utf-8", "surrogatepass"): r["df"] for r in frequency.join(own, "term").collect()}
+        df = {bytes(r["term"]): r["df"] for r in frequency.join(own, "term").collect()}
         held.sort(key=lambda x: (str(x.item_id), x.words))
         yield Index(held, df, max(stats["n"], 1), stats["words"] / max(stats["segments"], 1))
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = [(len(t.encode("utf-8", "surrogatepass")), Item(None, t)) for t in batch.column(0).to_pylist()]
+        counts = [(size, len(x.words), len(x.segments())) for size, x in items]
+        columns = np.array(counts, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bytes", "words", "segments"])
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [sorted(set(words_of(t))) for t in batch.column(1).to_pylist()]
+        block = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(h) for h in held])
+        terms = pa.array([t for h in held for t in h], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), terms], names=["block", "term"])
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, question_overlap, answer_overlap`` for each row of ``docs`` and item it holds.
 
