@@ -173,6 +173,24 @@ def test_repeated_passages_go_once(spark):
     assert all(got[i]["text"] == rows[i][1] and got[i]["lost_passages"] == 0 for i in (2, 4, 5, 6))
 
 
+def test_passages_cut_in_anywhere_are_found(spark):
+    """Fifty to sixty words, or twenty, within texts without line ends; blanks of any kind; longer than any context."""
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"{rng.choice('abcdefghé')}{rng.randrange(10**6)}" for _ in range(n))
+    shared = [own(n) for n in (*rng.choices(range(50, 61), k=30), 20, 20, 20, 3000)] + [own(25).replace(" ", "\xa0")]
+    first = [(i, f"{own(rng.randint(0, 40))} {p} {own(30)}") for i, p in enumerate(shared)]
+    parts = [(own(rng.randint(1, 60)), own(rng.randint(1, 60))) for _ in shared]
+    again = [(100 + i, f"{a} {p} {b}") for i, (p, (a, b)) in enumerate(zip(shared, parts))]
+    loop = own(30)
+    df = spark.createDataFrame([*first, *again, (200, " ".join([loop] * 9)), (201, "la " * 90)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in lines.drop_repeats(df).collect()}
+    assert all(got[i]["text"] == t and not got[i]["lost_words"] for i, t in first)
+    assert [got[100 + i]["text"] for i in range(len(shared))] == [f"{a} {b}" for a, b in parts]
+    assert [got[100 + i]["lost_words"] for i in range(len(shared))] == [len(p.split()) for p in shared]
+    assert got[200]["text"].startswith(loop) and got[200]["lost_words"] >= 30 * 8 - 20
+    assert 20 <= 90 - got[201]["lost_words"] <= 60
+
+
 def test_repeated_rows_and_other_columns(spark):
     long = " ".join(SENTENCES)
     rows = [(1, long, "a"), (1, long, "a"), (None, long, None), (2, PASSAGE, "b")]

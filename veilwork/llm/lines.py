@@ -1,26 +1,23 @@
-"""Removal of passages that repeat across documents, by content-defined chunks of lines.
-
-A line ends at a line break, or at the blank after a punctuation mark: passages are seldom set
-in physical lines of their own. A rolling hash over the last two lines' hashes decides whether a
-chunk ends here, so the same passage falls into the same chunks wherever it stands. Chunks are
-counted by hash over the whole table. Of a chunk that repeats, the first occurrence stays; the
-later ones are joined to runs of neighbouring chunks with the same place of origin, and the
-bytes of each run are compared with those of the origin. What follows or precedes both
-alike, to the middle of a line, belongs to the run as well. A passage goes if it has at least
-``MIN_WORDS`` words.
-
-Texts travel compressed; only chunk numbers are shuffled for all documents. Joins on an origin or
+"""Removal of passages that repeat across documents, by winnowed runs of words.
+
+Of any ``WINDOW`` neighbouring runs of ``SEED`` words, the one with the least hash is a seed. So each
+passage of ``MIN_WORDS`` words holds a seed that stands wherever the passage does, whatever is
+around it and however it is punctuated. Seeds are counted by hash over the whole table. One that repeats points at
+its first occurrence, and so at an alignment of the text with an earlier one. An alignment is compared byte by byte
+as far as it can reach: to the next seed that doesn't repeat, or whose first occurrence comes after where the
+alignment puts it, for the earlier text can't hold such a seed there. Equal stretches that touch are one
+passage. It goes if it has at least ``MIN_WORDS`` words; its first occurrence stays.
+
+Texts travel compressed; only seeds are shuffled for all documents. Joins on an origin or
 a hash that most documents share have one row on the other side, so adaptive plans split them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,123 +25,191 @@ from pyspark.sql import functions as F
 from veilwork.llm.base import checkpointed, free_name, numbered, query, table
 
 MIN_WORDS = 20  # of a passage that goes
-SEED_WORDS = 4  # of a chunk that is counted
-ENDS_IN = 2  # one line in so many ends a chunk
-CONTEXT = 400  # characters on either side of a run that are compared
+SEED = 8  # words of a seed
+WINDOW = MIN_WORDS - SEED + 1  # runs of words of which one is a seed
+MARGIN = MIN_WORDS + 4  # words on either side of an alignment's outer seeds that may still be equal
+SLICE = 1 << 20  # bytes of texts that are hashed at a time
 LOST_SHARE = 0.8  # a document that loses so much of its words is a copy
-_LINE_END = re.compile(r"\n|[.!?,;:]+ ")
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LETTER = np.random.default_rng(42).integers(1, 1 << 63, 256, np.uint64)
+_BLANK = np.array([chr(i).isascii() and chr(i).isspace() for i in range(256)])
+_WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64, ``size`` at least."""
+    if len(_powers[0]) < size:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(max(size, SLICE + 1), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def words_at(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, as ``str.split`` has them, of UTF-8 texts that begin at ``begins``."""
+    blank = _BLANK[data]
+    if len(data) and data.max() >= 0xC2:
+        raw = data.tobytes()
+        for wide in _WIDE_BLANKS:
+            at = raw.find(wide)
+            while at >= 0:
+                blank[at : at + len(wide)] = True
+                at = raw.find(wide, at + len(wide))
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = blank[:-1]
+    new[begins] = True
+    last = np.ones(len(data), bool)
+    last[:-1] = blank[1:]
+    last[begins[(begins > 0)] - 1] = True
+    return np.flatnonzero(~blank & new[:-1]), np.flatnonzero(~blank & last) + 1
+
+
+def _spread(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """``pick`` over each ``size`` neighbours."""
+    width, got = 1, values
+    while 2 * width <= size:
+        got, width = pick(got[:-width], got[width:]), 2 * width
+    rest = size - width
+    return pick(got[: len(got) - rest], got[rest:]) if rest else got
+
+
+def seeds(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, place and hash of each seed. Of neighbours with one hash the first two and the last count."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts, ends = words_at(data, begins[begins < len(data)])
+    if len(starts) < MIN_WORDS:
+        return none
+    text = np.searchsorted(begins, starts, "right") - 1
+    whole = text[: 1 - SEED] == text[SEED - 1 :]
+    first, last, text = starts[: 1 - SEED][whole], ends[SEED - 1 :][whole], text[: 1 - SEED][whole]
+    if len(first) < WINDOW:
+        return none
+    power, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+    hashes = (sums[last] - sums[first]) * inverse[first]
+    for shift in (33, 29):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(_BASE)
+    hashes ^= hashes >> np.uint64(32)
+    least = _spread(hashes, WINDOW, np.minimum)
+    least[text[: 1 - WINDOW] != text[WINDOW - 1 :]] = 0
+    around = np.zeros(WINDOW - 1, np.uint64)
+    chosen = np.flatnonzero((_spread(np.concatenate([around, least, around]), WINDOW, np.maximum) == hashes) & (hashes > 0))
+    if not len(chosen):
+        return none
+    text, first, hashes = text[chosen], first[chosen], hashes[chosen]
+    same = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+    inner = np.concatenate([[False], same]) & np.concatenate([[False, False], same])[: len(chosen)] & np.concatenate([same, [False]])
+    return text[~inner], first[~inner] - begins[text[~inner]], hashes[~inner]
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """Start and end of each chunk; together they cover the text. A blank text has none."""
+    """Start and end of each piece between seeds; together they cover the text. A blank text has none."""
     if not text or text.isspace():
         return []
-    ends = [m.end() for m in _LINE_END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    starts = [0, *ends[:-1]]
-    lines = [text[a:b] for a, b in zip(starts, ends)]
-    own = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    rolled = own.copy()
-    rolled[1:] += own[:-1] * _ROLL
-    stops = (rolled * _ROLL >> np.uint64(40)) % np.uint64(ENDS_IN) == 0
-    stops[-1] = True
-    last = np.array(ends)[stops].tolist()
-    return list(zip([0, *last[:-1]], last))
-
-
-def _counted(chunk: str) -> bool:
-    return len(chunk.split(None, SEED_WORDS - 1)) >= SEED_WORDS
+    raw = text.encode()
+    _, at, _ = seeds(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
+    cuts = sorted({0, len(text), *(len(raw[:a].decode()) for a in at.tolist())})
+    return list(zip(cuts, cuts[1:]))
 
 
-def chunk_hashes(rows: DataFrame) -> DataFrame:
-    """``row, chunk, hash`` of every chunk of ``rows`` (``row``, ``text``) with enough words."""
+def seed_hashes(rows: DataFrame) -> DataFrame:
+    """``row, n, at, hash`` of every seed of ``rows`` (``row``, ``text``): n counts a text's seeds, at is in bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, number, counted = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = [(n, c) for n, (a, b) in enumerate(chunks(text)) if _counted(c := text[a:b].strip())]
-                sizes.append(len(found))
-                number += [n for n, _ in found]
-                counted += [c for _, c in found]
-            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            digest = np.fromiter(map(xxhash.xxh64_intdigest, counted), np.uint64, len(counted)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(number, pa.int32()), pa.array(digest)], names=["row", "chunk", "hash"]
-            )
-
-    return rows.mapInArrow(work, "row bigint, chunk int, hash bigint")
+            texts = batch.column(1).cast(pa.large_string())
+            _, places, content = texts.buffers()
+            places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(content, np.uint8) if content and content.size else np.zeros(0, np.uint8)
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(places, places[i] + SLICE, "right")) - 1)
+                text, at, digest = seeds(data[places[i] : places[j]], places[i:j] - places[i])
+                n = np.arange(len(text)) - np.searchsorted(text, text)
+                columns = [number[i:j][text], n.astype(np.int32), at.astype(np.int32), digest.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "n", "at", "hash"])
+                i = j
+
+    return rows.mapInArrow(work, "row bigint, n int, at int, hash bigint")
+
+
+def reaches(listed: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``from_row, from_first, from_last, shift`` of each alignment that repeated seeds (``n, at, from_row, from_at``) point at.
+
+    A text's place ``x`` is aligned with ``x - shift`` of the earlier one; first and last are the outer seeds there.
+    """
+    out = []
+    covered: dict[tuple[int, int], int] = {}
+    for i, (_, at, from_row, from_at) in enumerate(listed):
+        shift = at - from_at
+        if covered.get((from_row, shift), -1) >= i:
+            continue
+        ends = [i, i]
+        for side, step in ((0, -1), (1, 1)):
+            k = i + step
+            while 0 <= k < len(listed):
+                n, at, row, own = listed[k]
+                if n - listed[k - step][0] != step or at < shift or (row, own) > (from_row, at - shift):
+                    break
+                ends[side] = k
+                k += step
+        covered[from_row, shift] = ends[1]
+        out.append((from_row, listed[ends[0]][1] - shift, listed[ends[1]][1] - shift, shift))
+    return out
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """Runs of neighbouring chunks with neighbouring origins: ``row, first, size, from_row, from_first``.
-
-    ``found``: a row per repeated chunk, ``row, chunk, from_row, from_chunk``. A run ends where
-    chunks too short to be counted stand between: they are reached by comparing on from both ends.
-    """
-    by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "from_row", "from_chunk"))).alias("all"))
+    """``row, from_row, from_first, from_last, shift``: the alignments of each row of ``found`` (``row, n, at, from_row, from_at``)."""
+    by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "at", "from_row", "from_at"))).alias("all"))
+    names = ["row", "from_row", "from_first", "from_last", "shift"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for row, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                run = None
-                for x in listed:
-                    chunk, from_row, from_chunk = x["chunk"], x["from_row"], x["from_chunk"]
-                    if run and chunk == run[1] + run[2] and from_row == run[3] and from_chunk == run[4] + run[2]:
-                        run[2] += 1
-                    else:
-                        if run:
-                            out.append(tuple(run))
-                        run = [row, chunk, 1, from_row, from_chunk]
-                if run:
-                    out.append(tuple(run))
+            out = [
+                (row, *x)
+                for row, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for x in reaches([(s["n"], s["at"], s["from_row"], s["from_at"]) for s in listed])
+            ]
             columns = np.array(out, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    names = ["row", "first", "size", "from_row", "from_first"]
     return by_row.mapInArrow(work, ", ".join(f"{n} bigint" for n in names))
 
 
-def _common_start(a: str, b: str) -> int:
-    most = min(len(a), len(b))
-    return next((i for i in range(most) if a[i] != b[i]), most)
-
-
-def _word_cut(text: str, at: int, step: int) -> int:
-    """The nearest place from ``at`` on, in the direction ``step``, where a word isn't cut."""
-    while 0 < at < len(text) and not (text[at - 1].isspace() or text[at].isspace()):
-        at += step
-    return at
-
-
 def passages(text: str, origins: list[dict], row: int) -> list[tuple[int, int]]:
-    """Places to remove, in order and apart. origins: runs with the origin's ``body``, ``before`` and ``after``."""
-    spans = chunks(text)
+    """Places to remove, in order and apart. origins: ``body``, a stretch of ``from_row`` aligned with the byte ``first``."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = words_at(data, np.zeros(1, np.int64) if raw else np.zeros(0, np.int64))
     found = []
     for o in origins:
-        a, b = spans[o["first"]][0], spans[o["first"] + o["size"] - 1][1]
-        raw = text[a:b]
-        a, b = a + len(raw) - len(raw.lstrip()), b - (len(raw) - len(raw.rstrip()))
-        if text[a:b] != o["body"]:
-            continue  # another text with this hash
-        floor = o["from_end"] if o["from_row"] == row else 0
-        left = _common_start(text[max(floor, a - CONTEXT) : a][::-1], o["before"][::-1])
-        right = _common_start(text[b : b + CONTEXT], o["after"])
-        if left:
-            a = min(a, _word_cut(text, a - left, 1))
-        if right:
-            b = max(b, _word_cut(text, b + right, -1))
-        found.append((a, b))
+        body = o["body"] if isinstance(o["body"], bytes) else o["body"].encode()
+        first = max(0, o["first"])
+        other = np.frombuffer(body, np.uint8)[first - o["first"] :]
+        size = min(len(other), len(data) - first)
+        if size <= 0:
+            continue
+        apart = np.concatenate([[-1], np.flatnonzero(data[first : first + size] != other[:size]), [size]])
+        for k in np.flatnonzero(np.diff(apart) >= 2 * SEED).tolist():
+            a = int(np.searchsorted(starts, first + apart[k] + 1))
+            b = int(np.searchsorted(ends, first + apart[k + 1], "right"))
+            if o["from_row"] == row and a < b and ends[b - 1] - o["shift"] > starts[a]:
+                a += MIN_WORDS  # a text repeating itself at once: what the passages begin with stays
+            if b - a >= SEED:
+                found.append((a, b))
     merged: list[list[int]] = []
     for a, b in sorted(found):
-        if merged and not text[merged[-1][1] : a].strip():
+        if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    return [(a, b) for a, b in merged if len(text[a:b].split()) >= MIN_WORDS]
+    places = [(int(starts[a]), int(ends[b - 1])) for a, b in merged if b - a >= MIN_WORDS]
+    return places if len(raw) == len(text) else [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in places]
 
 
 def without(text: str, places: list[tuple[int, int]]) -> str:
@@ -173,29 +238,28 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     row = free_name(docs, "row")
     rows = numbered(docs, row)
-    hashed = chunk_hashes(rows.select(F.col(row).alias("row"), F.col("text").cast("string")))
-    place = F.struct("row", "chunk")
+    hashed = seed_hashes(rows.select(F.col(row).alias("row"), F.col("text").cast("string")))
     firsts = (
         hashed.groupBy("hash")
-        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("row", "at")).alias("origin"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("hash", F.col("origin.row").alias("from_row"), F.col("origin.chunk").alias("from_chunk"))
+        .select("hash", F.col("origin.row").alias("from_row"), F.col("origin.at").alias("from_at"))
     )
-    repeated = hashed.join(firsts, "hash").where("row <> from_row or chunk <> from_chunk")
-    cuts = checkpointed(runs(repeated.select("row", "chunk", "from_row", "from_chunk")))
+    repeated = hashed.join(firsts, "hash").where("row <> from_row or at <> from_at")
+    cuts = checkpointed(runs(repeated.select("row", "n", "at", "from_row", "from_at")))
 
     packed = rows.mapInArrow(_pack(docs.columns.index("text")), _schema(rows, {"text": "binary"}))
-    origin_runs = cuts.select("from_row", "from_first", "size").distinct()
+    origin_runs = cuts.select("from_row", "from_first", "from_last").distinct()
     wanted = origin_runs.groupBy(F.col("from_row").alias(row)).agg(
-        F.collect_list(F.struct("from_first", "size")).alias("wanted")
+        F.collect_list(F.struct("from_first", "from_last")).alias("wanted")
     )
     fetched = packed.join(wanted, row).select(row, "text", "wanted").mapInArrow(
-        _fetch, "from_row bigint, from_first bigint, size bigint, body string, before string, after string, from_end bigint"
+        _fetch, "from_row bigint, from_first bigint, from_last bigint, begin bigint, body binary"
     )
     origins = (
-        cuts.join(fetched, ["from_row", "from_first", "size"])
+        cuts.join(fetched, ["from_row", "from_first", "from_last"])
         .groupBy(F.col("row").alias(row))
-        .agg(F.collect_list(F.struct("first", "size", "from_row", "from_end", "body", "before", "after")).alias("origins"))
+        .agg(F.collect_list(F.struct("from_row", "shift", (F.col("begin") + F.col("shift")).alias("first"), "body")).alias("origins"))
     )
     origin_name = free_name(rows, "origins")
     both = packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
@@ -223,19 +287,18 @@ def _unpacked(data: bytes | None) -> str | None:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
-    names = ["from_row", "from_first", "size", "body", "before", "after", "from_end"]
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    names = ["from_row", "from_first", "from_last", "begin", "body"]
     for batch in batches:
         out = []
         for row, data, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            text = _unpacked(data)
-            spans = chunks(text)
+            raw = zstandard.ZstdDecompressor().decompress(data)
+            starts, ends = words_at(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
             for w in wanted:
-                a, b = spans[w["from_first"]][0], spans[w["from_first"] + w["size"] - 1][1]
-                raw = text[a:b]
-                a, b = a + len(raw) - len(raw.lstrip()), b - (len(raw) - len(raw.rstrip()))
-                out.append((row, w["from_first"], w["size"], text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], b))
-        columns = list(zip(*out)) or [()] * 7
+                a = starts[max(0, np.searchsorted(starts, w["from_first"]) - MARGIN)]
+                b = ends[min(len(ends) - 1, np.searchsorted(starts, w["from_last"]) + MARGIN)]
+                out.append((row, w["from_first"], w["from_last"], int(a), raw[a:b]))
+        columns = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
