@@ -189,6 +189,8 @@ def passages(text: str, origins: list[dict], row: int) -> list[tuple[int, int]]:
     found = []
     for o in origins:
         body = o["body"] if isinstance(o["body"], bytes) else o["body"].encode()
+        if o.get("packed"):
+            body = zstandard.ZstdDecompressor().decompress(body)
         first = max(0, o["first"])
         other = np.frombuffer(body, np.uint8)[first - o["first"] :]
         size = min(len(other), len(data) - first)
@@ -259,7 +261,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     origins = (
         cuts.join(fetched, ["from_row", "from_first", "from_last"])
         .groupBy(F.col("row").alias(row))
-        .agg(F.collect_list(F.struct("from_row", "shift", (F.col("begin") + F.col("shift")).alias("first"), "body")).alias("origins"))
+        .agg(F.collect_list(F.struct("from_row", "shift", (F.col("begin") + F.col("shift")).alias("first"), "body", F.lit(True).alias("packed"))).alias("origins"))
     )
     origin_name = free_name(rows, "origins")
     both = packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
@@ -289,6 +291,7 @@ def _unpacked(data: bytes | None) -> str | None:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.binary()]
     names = ["from_row", "from_first", "from_last", "begin", "body"]
+    shrink = zstandard.ZstdCompressor(level=2).compress
     for batch in batches:
         out = []
         for row, data, wanted in zip(*(c.to_pylist() for c in batch.columns)):
@@ -297,7 +300,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 a = starts[max(0, np.searchsorted(starts, w["from_first"]) - MARGIN)]
                 b = ends[min(len(ends) - 1, np.searchsorted(starts, w["from_last"]) + MARGIN)]
-                out.append((row, w["from_first"], w["from_last"], int(a), raw[a:b]))
+                out.append((row, w["from_first"], w["from_last"], int(a), shrink(raw[a:b])))
         columns = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
