@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; documents of little else go."""
+    """Passages that an earlier document has are cut out; documents of nothing else go."""
     return keep_first_passages(docs)
 
 

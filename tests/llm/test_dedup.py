@@ -204,6 +204,17 @@ def test_repeated_rows_and_other_columns(spark):
     assert lines.drop_repeats(df.where("false")).count() == 0
 
 
+def test_own_rest_of_a_document_stays(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    licence = own(400)
+    rests = [own(n) for n in (90, 30, 5)]
+    rows = [(0, licence), *[(i + 1, f"{licence} {r}") for i, r in enumerate(rests)], (9, licence), (10, ""), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = {r["doc_id"]: r["text"] for r in lines.keep_first_passages(df).collect()}
+    assert kept == {0: licence, **{i + 1: r for i, r in enumerate(rests)}, 10: "", 11: None}
+
+
 def test_hash_alone_removes_nothing():
     text = SENTENCES[0] + " " + SENTENCES[1]
     origin = {"first": 0, "size": len(lines.chunks(text)), "from_row": 9, "from_end": 0, "body": "another text", "before": "", "after": ""}

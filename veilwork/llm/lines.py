@@ -29,7 +29,6 @@ SEED = 8  # words of a seed
 WINDOW = MIN_WORDS - SEED + 1  # runs of words of which one is a seed
 MARGIN = MIN_WORDS + 4  # words on either side of an alignment's outer seeds that may still be equal
 SLICE = 1 << 20  # bytes of texts that are hashed at a time
-LOST_SHARE = 0.8  # a document that loses so much of its words is a copy
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = np.random.default_rng(42).integers(1, 1 << 63, 256, np.uint64)
@@ -326,9 +325,9 @@ def _cut(at: int, width: int):
 
 
 def keep_first_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``drop_repeats``; rows that lose nearly all of their words go, other columns stay."""
+    """``docs`` with the texts of ``drop_repeats``; rows that lose all of their words go, other columns stay."""
     found = drop_repeats(docs)
-    return found.where(F.col("lost_words") < LOST_SHARE * F.greatest("words", F.lit(1))).select(
+    return found.where(F.col("lost_words") < F.greatest("words", F.lit(1))).select(
         *[F.col(f"`{c}`") for c in docs.columns if c in found.columns]
     )
 
