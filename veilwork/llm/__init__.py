@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import clustering, decontam, extraction, langid, lines, lm, packing, quality, search, sharding, simhash, toxicity  # noqa: F401
+from veilwork.llm import clustering, decontam, extraction, langid, lines, lm, packing, quality, search, sharding, simhash, suffixes, toxicity  # noqa: F401
 from veilwork.llm.base import ORACLES, QUERIES
 
 
