@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -215,6 +218,59 @@ def test_own_rest_of_a_document_stays(spark):
     assert kept == {0: licence, **{i + 1: r for i, r in enumerate(rests)}, 10: "", 11: None}
 
 
+def long_runs(rows, size=50):
+    """Per id, places of the runs of ``size`` words or more that an earlier row has, byte for byte."""
+    seen = set()
+    for key, text in rows:
+        words = [m.span() for m in re.finditer(r"\S+", text or "")]
+        parts = [text[words[i][0] : words[i + size - 1][1]] for i in range(len(words) - size + 1)]
+        at = [i for i, part in enumerate(parts) if part in seen]
+        for i in at:
+            if i - 1 not in at[max(0, at.index(i) - 1) : at.index(i)]:
+                yield key, text[words[i + 15][0] : words[i + size - 16][1]]  # the middle of the run's first part
+        seen.update(parts)
+
+
+def test_runs_of_fifty_words_in_the_tables_go(spark):
+    """Recall against brute force, on whole texts of a given table."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id")
+    docs = docs.checkpoint()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    left = {r["doc_id"]: r["text"] for r in lines.drop_repeats(docs).collect()}
+    whole = dict(rows)
+    runs = list(long_runs(rows))
+    stayed = [k for k, part in runs if (left[k] or "").count(part) >= whole[k].count(part)]
+    assert len(runs) > 50 and len(stayed) <= 0.01 * len(runs)
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    rows = [(1, PASSAGE, "mine", 7, None), (2, f"own words {PASSAGE}", "yours", 8, "x"), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, TEXT string, words string, LOST_words int, origins string").coalesce(1).checkpoint()
+    found = lines.drop_repeats(df)
+    assert found.columns == [*df.columns, "words_", "lost_words_", "lost_passages"]
+    got = {r["doc_id"]: tuple(r) for r in found.collect()}
+    size = len(PASSAGE.split())
+    assert got[1] == (1, PASSAGE, "mine", 7, None, size, 0, 0)
+    assert got[2] == (2, "own words", "yours", 8, "x", size + 2, size, 1)
+    assert got[3] == (3, None, None, None, None, 0, 0, 0)
+    assert lines.keep_first_passages(df).columns == df.columns
+
+
+def test_short_lines_and_verses(spark):
+    """Lines of a word or two end no chunk each, and a passage of them is found all the same."""
+    rng = random.Random(21)
+    own = lambda n: "".join(f"v{rng.randrange(10**6)}" + rng.choice([",\n", " ", ". ", "\n"]) for _ in range(n))
+    verses = [own(60) for _ in range(40)]
+    first = [(i, own(9) + v + own(9)) for i, v in enumerate(verses)]
+    again = [(100 + i, own(rng.randint(1, 30)) + v + own(rng.randint(1, 30))) for i, v in enumerate(verses)]
+    df = spark.createDataFrame([*first, *again], "doc_id long, text string").coalesce(1).checkpoint()
+    got = {r["doc_id"]: r for r in lines.drop_repeats(df).collect()}
+    assert all(got[i]["lost_words"] == 0 for i in range(40))
+    assert sum(got[100 + i]["lost_words"] >= 58 for i in range(40)) >= 39
+
+
 def test_hash_alone_removes_nothing():
     text = SENTENCES[0] + " " + SENTENCES[1]
     origin = {"first": 0, "size": len(lines.chunks(text)), "from_row": 9, "from_end": 0, "body": "another text", "before": "", "after": ""}

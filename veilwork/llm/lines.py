@@ -1,19 +1,27 @@
-"""Removal of passages that repeat across documents, by winnowed runs of words.
+"""Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-Of any ``WINDOW`` neighbouring runs of ``SEED`` words, the one with the least hash is a seed. So each
-passage of ``MIN_WORDS`` words holds a seed that stands wherever the passage does, whatever is
-around it and however it is punctuated. Seeds are counted by hash over the whole table. One that repeats points at
-its first occurrence, and so at an alignment of the text with an earlier one. An alignment is compared byte by byte
-as far as it can reach: to the next seed that doesn't repeat, or whose first occurrence comes after where the
-alignment puts it, for the earlier text can't hold such a seed there. Equal stretches that touch are one
-passage. It goes if it has at least ``MIN_WORDS`` words; its first occurrence stays.
+A line ends at a line break or after a word with a punctuation mark, unless one of the three words before does so too. Lines are hashed, and
+a rolling hash goes over the hashes of two neighbouring lines. Of any ``LINES`` neighbouring lines, the one with the least rolling hash
+ends a chunk; a line of ``LONG`` words is one by itself. So all boundaries depend on a few words around them, whatever stands before: a passage falls into the same chunks
+wherever it is, but for its edges. Where ``MIN_WORDS`` words hold no line's end, the run of ``SEED`` of them with the least hash counts as a chunk.
 
-Texts travel compressed; only seeds are shuffled for all documents. Joins on an origin or
+Chunks are counted by hash over the whole table. One that repeats points at its first occurrence, and so at an alignment of
+the text with an earlier one. An alignment is compared byte by byte as far as it can reach: to the next chunk that doesn't repeat,
+or whose first occurrence comes after where the alignment puts it, for the earlier text can't hold such a chunk there. Equal
+stretches that touch are one passage. It goes if it has at least ``MIN_WORDS`` words; its first occurrence stays.
+
+Texts travel compressed; only chunk hashes are shuffled for all documents. Joins on an origin or
 a hash that most documents share have one row on the other side, so adaptive plans split them.
+
+Defined results: a null text stays null and an empty one empty, with counts of 0. Of equal rows, as of equal passages, the first read keeps
+its text: ties in nothing else can arise. An empty table gives no rows. Very long texts are hashed whole, and compared only
+where they are aligned. All columns come back as they were; a column that clashes with one that is added keeps its name, and the
+added one gets an underscore.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +31,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import checkpointed, free_name, numbered, query, table
+from veilwork.session import discard, shared_dir
 
 MIN_WORDS = 20  # of a passage that goes
-SEED = 8  # words of a seed
-WINDOW = MIN_WORDS - SEED + 1  # runs of words of which one is a seed
-MARGIN = MIN_WORDS + 4  # words on either side of an alignment's outer seeds that may still be equal
+SEED_WORDS = 6  # of a chunk that is counted
+SEED = 8  # words of a run that counts where lines have no end
+WINDOW = MIN_WORDS - SEED + 1  # runs of words of which one counts
+LONG = 12  # words of a line that is a chunk by itself
+LINES = 2  # neighbouring lines of which one ends a chunk
+APART = 3  # words before an end without another one
+MARGIN = 64  # words beyond an alignment's outer chunks that may still be equal
+TOUCH = 8  # words of an equal stretch that counts
 SLICE = 1 << 20  # bytes of texts that are hashed at a time
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_MARK = np.array([chr(i) in ".!?,;:" for i in range(256)])
 _LETTER = np.random.default_rng(42).integers(1, 1 << 63, 256, np.uint64)
 _BLANK = np.array([chr(i).isascii() and chr(i).isspace() for i in range(256)])
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
@@ -75,48 +90,90 @@ def _spread(values: np.ndarray, size: int, pick) -> np.ndarray:
     return pick(got[: len(got) - rest], got[rest:]) if rest else got
 
 
-def seeds(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the text, place and hash of each seed. Of neighbours with one hash the first two and the last count."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _chosen(values: np.ndarray, size: int, free: np.ndarray) -> np.ndarray:
+    """Which values are the least of some ``size`` neighbours that are ``free``, given where the neighbours begin."""
+    least = np.where(free, _spread(values, size, np.minimum), 0)
+    around = np.zeros(size - 1, np.uint64)
+    return (_spread(np.concatenate([around, least, around]), size, np.maximum) == values) & (values > 0)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    for shift in (33, 29):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(_BASE)
+    return values ^ (values >> np.uint64(32))
+
+
+def marks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, place and hash of each chunk that counts, of the texts in ``data`` that begin at ``begins``."""
     starts, ends = words_at(data, begins[begins < len(data)])
-    if len(starts) < MIN_WORDS:
-        return none
+    if len(starts) < SEED_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text = np.searchsorted(begins, starts, "right") - 1
-    whole = text[: 1 - SEED] == text[SEED - 1 :]
-    first, last, text = starts[: 1 - SEED][whole], ends[SEED - 1 :][whole], text[: 1 - SEED][whole]
-    if len(first) < WINDOW:
-        return none
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
-    hashes = (sums[last] - sums[first]) * inverse[first]
-    for shift in (33, 29):
-        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(_BASE)
-    hashes ^= hashes >> np.uint64(32)
-    least = _spread(hashes, WINDOW, np.minimum)
-    least[text[: 1 - WINDOW] != text[WINDOW - 1 :]] = 0
-    around = np.zeros(WINDOW - 1, np.uint64)
-    chosen = np.flatnonzero((_spread(np.concatenate([around, least, around]), WINDOW, np.maximum) == hashes) & (hashes > 0))
-    if not len(chosen):
-        return none
-    text, first, hashes = text[chosen], first[chosen], hashes[chosen]
-    same = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
-    inner = np.concatenate([[False], same]) & np.concatenate([[False, False], same])[: len(chosen)] & np.concatenate([same, [False]])
-    return text[~inner], first[~inner] - begins[text[~inner]], hashes[~inner]
+
+    def hashed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (sums[ends[last]] - sums[starts[first]]) * inverse[starts[first]]
+
+    stop = _MARK[data[ends - 1]]
+    breaks = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 10, out=breaks[1:])
+    stop[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    close = np.zeros(len(stop), bool)
+    for back in range(1, APART + 1):
+        close[back:] |= stop[:-back] & (text[back:] == text[:-back])
+    stop &= ~close
+    stop[:-1] |= text[1:] != text[:-1]
+    stop[-1] = True
+
+    last = np.flatnonzero(stop)
+    first = np.concatenate([[0], last[:-1] + 1])
+    own = hashed(first, last)
+    of = text[last]
+    rolled = own.copy()
+    rolled[1:] += np.where(of[1:] == of[:-1], own[:-1], 0) * np.uint64(_BASE)
+    cut = np.ones(len(last), bool)
+    cut[:-1] = of[1:] != of[:-1]
+    if len(last) >= LINES:
+        cut |= _chosen(_mixed(rolled), LINES, of[: 1 - LINES] == of[LINES - 1 :])
+    long = last - first >= LONG - 1
+    cut |= long
+    cut[:-1] |= long[1:]
+    end = np.flatnonzero(cut)
+    first, last = first[np.concatenate([[0], end[:-1] + 1])], last[end]
+    counted = last - first >= SEED_WORDS - 1
+    first, last = first[counted], last[counted]
+    hashes = hashed(first, last)
+
+    if len(starts) >= MIN_WORDS:
+        before = np.concatenate([[0], np.cumsum(stop)])
+        free = before[MIN_WORDS - 1 : -1] - before[: -MIN_WORDS] == 0
+        run = np.arange(len(starts) - SEED + 1)
+        runs_of = _mixed(hashed(run, run + SEED - 1) + np.uint64(1))
+        chosen = np.flatnonzero(_chosen(runs_of, WINDOW, free))
+        # of neighbours with one hash the first two and the last count
+        same = (runs_of[chosen[1:]] == runs_of[chosen[:-1]]) & (text[chosen[1:]] == text[chosen[:-1]])
+        inner = np.concatenate([[False], same]) & np.concatenate([[False, False], same])[: len(chosen)] & np.concatenate([same, [False]])
+        chosen = chosen[~inner[: len(chosen)]]
+        first, hashes = np.concatenate([first, chosen]), np.concatenate([hashes, runs_of[chosen]])
+        order = np.argsort(first, kind="stable")
+        first, hashes = first[order], hashes[order]
+    return text[first], starts[first] - begins[text[first]], _mixed(hashes)
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """Start and end of each piece between seeds; together they cover the text. A blank text has none."""
+    """Start and end of each piece between chunks that count; together they cover the text. A blank text has none."""
     if not text or text.isspace():
         return []
     raw = text.encode()
-    _, at, _ = seeds(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
+    _, at, _ = marks(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
     cuts = sorted({0, len(text), *(len(raw[:a].decode()) for a in at.tolist())})
     return list(zip(cuts, cuts[1:]))
 
 
-def seed_hashes(rows: DataFrame) -> DataFrame:
-    """``row, n, at, hash`` of every seed of ``rows`` (``row``, ``text``): n counts a text's seeds, at is in bytes."""
+def chunk_hashes(rows: DataFrame) -> DataFrame:
+    """``row, n, at, hash`` of every chunk of ``rows`` that counts (``row``, ``text``): n counts a text's, at is in bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +185,7 @@ def seed_hashes(rows: DataFrame) -> DataFrame:
             i = 0
             while i < len(texts):
                 j = max(i + 1, int(np.searchsorted(places, places[i] + SLICE, "right")) - 1)
-                text, at, digest = seeds(data[places[i] : places[j]], places[i:j] - places[i])
+                text, at, digest = marks(data[places[i] : places[j]], places[i:j] - places[i])
                 n = np.arange(len(text)) - np.searchsorted(text, text)
                 columns = [number[i:j][text], n.astype(np.int32), at.astype(np.int32), digest.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "n", "at", "hash"])
@@ -138,9 +195,9 @@ def seed_hashes(rows: DataFrame) -> DataFrame:
 
 
 def reaches(listed: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``from_row, from_first, from_last, shift`` of each alignment that repeated seeds (``n, at, from_row, from_at``) point at.
+    """``from_row, from_first, from_last, shift`` of each alignment that repeated chunks (``n, at, from_row, from_at``) point at.
 
-    A text's place ``x`` is aligned with ``x - shift`` of the earlier one; first and last are the outer seeds there.
+    A text's place ``x`` is aligned with ``x - shift`` of the earlier one; first and last are the outer chunks there.
     """
     out = []
     covered: dict[tuple[int, int], int] = {}
@@ -196,12 +253,12 @@ def passages(text: str, origins: list[dict], row: int) -> list[tuple[int, int]]:
         if size <= 0:
             continue
         apart = np.concatenate([[-1], np.flatnonzero(data[first : first + size] != other[:size]), [size]])
-        for k in np.flatnonzero(np.diff(apart) >= 2 * SEED).tolist():
+        for k in np.flatnonzero(np.diff(apart) >= 2 * TOUCH).tolist():
             a = int(np.searchsorted(starts, first + apart[k] + 1))
             b = int(np.searchsorted(ends, first + apart[k + 1], "right"))
             if o["from_row"] == row and a < b and ends[b - 1] - o["shift"] > starts[a]:
                 a += MIN_WORDS  # a text repeating itself at once: what the passages begin with stays
-            if b - a >= SEED:
+            if b - a >= TOUCH:
                 found.append((a, b))
     merged: list[list[int]] = []
     for a, b in sorted(found):
@@ -224,37 +281,35 @@ def without(text: str, places: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]]).strip()
 
 
-def _schema(df: DataFrame, renamed: dict[str, str]) -> str:
-    return ", ".join(f"`{f.name}` {renamed.get(f.name, f.dataType.simpleString())}" for f in df.schema)
+def _name_of(docs: DataFrame, column: str) -> str:
+    """The column's name as ``docs`` spells it."""
+    return next(c for c in docs.columns if c.lower() == column)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, texts without repeated passages, and ``words``, ``lost_words`` and ``lost_passages``.
 
-    Words are those of the original text. A null text stays null and an empty one empty, with counts
-    of 0. Of equal rows the first read keeps its text. The three columns replace any of their names.
-    ``docs`` must be a scan or a checkpointed frame.
+    Words are those of the original text. See the module for edge cases. ``docs`` must be a scan or a checkpointed frame.
     """
-    added = ("words", "lost_words", "lost_passages")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    spark = docs.sparkSession
+    name = _name_of(docs, "text")
     row = free_name(docs, "row")
     rows = numbered(docs, row)
-    hashed = seed_hashes(rows.select(F.col(row).alias("row"), F.col("text").cast("string")))
-    firsts = (
-        hashed.groupBy("hash")
-        .agg(F.min(F.struct("row", "at")).alias("origin"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("hash", F.col("origin.row").alias("from_row"), F.col("origin.at").alias("from_at"))
-    )
-    repeated = hashed.join(firsts, "hash").where("row <> from_row or at <> from_at")
-    cuts = checkpointed(runs(repeated.select("row", "n", "at", "from_row", "from_at")))
-
-    packed = rows.mapInArrow(_pack(docs.columns.index("text")), _schema(rows, {"text": "binary"}))
-    origin_runs = cuts.select("from_row", "from_first", "from_last").distinct()
-    wanted = origin_runs.groupBy(F.col("from_row").alias(row)).agg(
-        F.collect_list(F.struct("from_first", "from_last")).alias("wanted")
-    )
-    fetched = packed.join(wanted, row).select(row, "text", "wanted").mapInArrow(
+    lean = rows.select(F.col(row).alias("row"), F.col(f"`{name}`").cast("string").alias("text"))
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    chunk_hashes(lean).write.parquet(f"{folder}/hashes")
+    hashed = spark.read.parquet(f"{folder}/hashes")
+    firsts = hashed.groupBy("hash").agg(F.min("row").alias("from_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = checkpointed(hashed.join(firsts, "hash"))
+    discard(spark, folder)
+    origin = repeated.where("row = from_row").groupBy("hash").agg(F.min("at").alias("from_at"))
+    later = repeated.join(origin, "hash").where("row <> from_row or at <> from_at")
+    cuts = checkpointed(runs(later.select("row", "n", "at", "from_row", "from_at")))
+
+    outer = cuts.select("from_row", "from_first", "from_last").distinct()
+    wanted = outer.groupBy(F.col("from_row").alias("row")).agg(F.collect_list(F.struct("from_first", "from_last")).alias("wanted"))
+    packed = lean.mapInArrow(_pack(1), "row bigint, text binary")
+    fetched = packed.join(wanted, "row").mapInArrow(
         _fetch, "from_row bigint, from_first bigint, from_last bigint, begin bigint, body binary"
     )
     origins = (
@@ -262,14 +317,20 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("row").alias(row))
         .agg(F.collect_list(F.struct("from_row", "shift", (F.col("begin") + F.col("shift")).alias("first"), "body", F.lit(True).alias("packed"))).alias("origins"))
     )
+    at = docs.columns.index(name)
+    kinds = [("binary" if i == at else f.dataType.simpleString(), f.name) for i, f in enumerate(docs.schema)]
+    all_packed = rows.mapInArrow(_pack(at), ", ".join(f"`{n}` {k}" for k, n in [*kinds, ("bigint", row)]))
     origin_name = free_name(rows, "origins")
-    both = packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
-    ordered = both.select(*rows.columns, origin_name)
-    kept = [f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema]
-    return ordered.mapInArrow(
-        _cut(docs.columns.index("text"), len(docs.columns)),
-        ", ".join([*kept, "words bigint", "lost_words bigint", "lost_passages bigint"]),
-    )
+    both = all_packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
+    ordered = both.select(*[F.col(f"`{c}`") for c in [*rows.columns, origin_name]])
+    kept = [f"`{f.name}` {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
+    added = count_names(docs)
+    return ordered.mapInArrow(_cut(at, len(docs.columns), added), ", ".join([*kept, *(f"`{c}` bigint" for c in added)]))
+
+
+def count_names(docs: DataFrame) -> list[str]:
+    """What ``drop_repeats`` calls the counts it adds to ``docs``."""
+    return [free_name(docs, c) for c in ("words", "lost_words", "lost_passages")]
 
 
 def _pack(at: int):
@@ -304,7 +365,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _cut(at: int, width: int):
+def _cut(at: int, width: int, added: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
@@ -318,18 +379,16 @@ def _cut(at: int, width: int):
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *map(pa.array, numbers)],
-                names=[*batch.schema.names[:width], "words", "lost_words", "lost_passages"],
+                names=[*batch.schema.names[:width], *added],
             )
 
     return work
 
 
 def keep_first_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``drop_repeats``; rows that lose all of their words go, other columns stay."""
-    found = drop_repeats(docs)
-    return found.where(F.col("lost_words") < F.greatest("words", F.lit(1))).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c in found.columns]
-    )
+    """``docs`` with the texts of ``drop_repeats``; rows that lose all of their words go, all columns stay."""
+    words, lost, _ = (F.col(c) for c in count_names(docs))
+    return drop_repeats(docs).where(lost < F.greatest(words, F.lit(1))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query()
