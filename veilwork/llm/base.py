@@ -9,6 +9,7 @@ harmless, and a reserved column takes a name that the input doesn't have.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-__all__ = ["ORACLES", "QUERIES", "checkpointed", "free_name", "numbered", "query", "remainder", "table"]
+__all__ = ["ORACLES", "QUERIES", "checkpointed", "free_finished", "free_name", "numbered", "query", "remainder", "table"]
 
 
 def query(sql: str | None = None):
@@ -41,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_finished(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of steps whose results are written.
+
+    It does so when the JVM has collected what refers to them, which by itself can take
+    longer than the next steps do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or ``base`` with underscores, so that ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

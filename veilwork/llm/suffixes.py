@@ -9,14 +9,16 @@ Not all suffixes of a corpus can be sorted, nor need be. Of the ``STARTS`` runs
 (the first of equal ones) is its anchor: equal strings have equal anchors at the same place. The strings of one anchor lie side by
 side in the text; together they are its stretch.
 
-1. Each text hands on the hashes of its anchors. Texts that meet in one batch know a common hash at once; only one
+1. Equal texts are one text, with its least document; a later copy loses all.
+2. Each text hands on the hashes of its anchors. Texts that meet in one batch know a common hash at once; only one
    row a batch and hash travels to learn of the others. Hashes that only one text has end here.
-2. The stretches of anchors that several texts have are cut out. Equal ones count as one, with its least document.
-3. Stretches of one anchor hash meet, and their suffixes are sorted: a string's least document is that of its class.
+3. The stretches of anchors that several texts have are cut out. Equal ones count as one, with its least document.
+4. Stretches of one anchor hash meet, and their suffixes are sorted: a string's least document is that of its class.
    An anchor hash with more than ``GROUP`` different stretches is not gathered: its strings are grouped one by one.
-4. An occurrence of a stretch loses all strings if its document isn't the least, else those of a smaller class.
+5. An occurrence of a stretch loses all strings if its document isn't the least, else those of a smaller class.
 
-Every decision is about bytes; hashes only say what is compared, and name a stretch (112 bits) on its way back. Texts travel compressed.
+Every decision is about bytes; hashes only say what is compared, and name a text (SHA-256; 48 bits in step 2, where two texts of one name
+would miss what nobody else has) and a stretch (112 bits) on its way back. Texts travel compressed.
 
 Defined results: a null text is empty and loses nothing, as does one of fewer than ``LENGTH`` bytes. A null id counts as the largest long,
 and documents with one id (repeated rows) aren't earlier than each other, so both keep what neither has from elsewhere. Repeats
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import checkpointed, numbered, query, table
+from veilwork.llm.base import checkpointed, free_finished, numbered, query, table
 from veilwork.session import discard, shared_dir
 
 LENGTH = 50  # bytes of a string that counts
@@ -205,78 +207,79 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``place, name, row``: see ``common_names``."""
+    """``place, name, number``: see ``common_names``."""
     for batch in batches:
         number = batch.column(0).to_numpy(zero_copy_only=False)
         data, places = _bytes_of(batch.column(1))
-        found = [(names, text) for text, _, _, names in stretches(data, places)]
+        found = [(names, number[text]) for text, _, _, names in stretches(data, places)]
         if not found:
             continue
-        names, rows = (np.concatenate(x) for x in zip(*found))
-        names, rows = _distinct(names, rows)
+        names, numbers = _distinct(*(np.concatenate(x) for x in zip(*found)))
         new = np.ones(len(names), bool)
         new[1:] = names[1:] != names[:-1]
         several = ~(new & np.append(new[1:], True))
-        row = number[rows]
         # one row for each hash, below zero if it has its answer
-        yield _batch(names[new], None, np.where(several[new], -1 - row[new], row[new]))
+        yield _batch(names[new], None, np.where(several[new], -1 - numbers[new], numbers[new]))
         if several.any():
-            row, names = row[several], names[several]
-            mixed = ((row.astype(np.uint64) ^ names.astype(np.uint64)) * _BASE >> np.uint64(1)).astype(np.int64)
-            yield _batch(mixed, names, row)
+            names, numbers = names[several], numbers[several]
+            mixed = ((numbers.astype(np.uint64) ^ (names.astype(np.uint64) << np.uint64(13))) * _BASE >> np.uint64(1)).astype(np.int64)
+            yield _batch(mixed, names, numbers)
 
 
-def _distinct(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.lexsort((rows, names))
-    names, rows = names[by], rows[by]
+def _distinct(names: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((numbers, names))
+    names, numbers = names[by], numbers[by]
     new = np.ones(len(names), bool)
-    new[1:] = (names[1:] != names[:-1]) | (rows[1:] != rows[:-1])
-    return names[new], rows[new]
+    new[1:] = (names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])
+    return names[new], numbers[new]
 
 
-def _batch(place: np.ndarray, name: np.ndarray | None, row: np.ndarray) -> pa.RecordBatch:
+def _batch(place: np.ndarray, name: np.ndarray | None, number: np.ndarray) -> pa.RecordBatch:
     names = pa.nulls(len(place), pa.int64()) if name is None else pa.array(name)
-    return pa.RecordBatch.from_arrays([pa.array(place), names, pa.array(row)], names=["place", "name", "row"])
+    return pa.RecordBatch.from_arrays([pa.array(place), names, pa.array(number)], names=["place", "name", "number"])
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by place: those with a name pass, of the others those whose place another one has."""
-    place_held, row_held, known = None, None, False  # the last place, its only row so far, whether more came
+    """Rows sorted by place and number: those with a name pass, of the others those whose place another number has."""
+    held, first, known = None, None, False  # the last place, its only number so far, whether there are more
     for batch in batches:
         place = batch.column(0).to_numpy(zero_copy_only=False)
-        row = batch.column(2).to_numpy(zero_copy_only=False)
+        number = batch.column(2).to_numpy(zero_copy_only=False)
         asks = batch.column(1).is_null().to_numpy(zero_copy_only=False)
         passed = batch.filter(pa.array(~asks))
-        out_rows = [passed.column(2).to_numpy(zero_copy_only=False)]
-        out_names = [passed.column(1).to_numpy(zero_copy_only=False).astype(np.int64)]
-        place, row = place[asks], row[asks]
+        numbers, names = [passed.column(2).to_numpy(zero_copy_only=False)], [passed.column(1).to_numpy(zero_copy_only=False).astype(np.int64)]
+        place, number = place[asks], number[asks]
         if len(place):
-            if place[0] == place_held and row_held is not None:
-                place, row = np.append(place_held, place), np.append(row_held, row)
-            new = np.ones(len(place), bool)
-            new[1:] = place[1:] != place[:-1]
-            several = ~(new & np.append(new[1:], True)) | (row < 0)
-            if known and place[0] == place_held:
-                several |= place == place_held
-            held = not several[-1]
-            good = several & (row >= 0)
-            out_rows.append(row[good])
-            out_names.append(place[good])
-            place_held, row_held, known = place[-1], row[-1] if held else None, not held
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_rows).astype(np.int64)), pa.array(np.concatenate(out_names).astype(np.int64))], names=["row", "name"]
-        )
-
-
-def common_names(rows: DataFrame) -> DataFrame:
-    """``row, names``: of each of ``rows`` (``row``, ``text``) the hashes of its anchors that other rows have too.
-
-    In a batch, rows that share a hash know it. They go to any place, and one row per hash goes to the hash's place, where it
-    meets those of other batches. So a hash that a third of all rows have sends one row a batch there.
+            again = place[0] == held
+            if again and first is not None:
+                place, number = np.append(held, place), np.append(first, number)
+            new = np.ones(len(place), bool)  # copies of a text in other batches are the same number
+            new[1:] = (place[1:] != place[:-1]) | (number[1:] != number[:-1])
+            place, number = place[new], number[new]
+            head = np.ones(len(place), bool)
+            head[1:] = place[1:] != place[:-1]
+            heads = np.flatnonzero(head)
+            sizes = np.diff(np.append(heads, len(place)))
+            answered = (sizes > 1) | (number[heads] < 0)
+            answered[0] |= again and known
+            good = np.repeat(answered, sizes) & (number >= 0)
+            numbers.append(number[good])
+            names.append(place[good])
+            held, known = place[-1], bool(answered[-1])
+            first = None if known else number[-1]
+        columns = [np.concatenate(numbers).astype(np.int64), np.concatenate(names).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["number", "name"])
+
+
+def common_names(texts: DataFrame) -> DataFrame:
+    """``number, names``: for each number of ``texts`` (``number``, ``text``) the hashes of its anchors that others have too.
+
+    In a batch, texts that share a hash know it. They go to any place, and one row per hash goes to the hash's place, where it
+    meets those of other batches. So a hash that a third of all texts have sends one row a batch there.
     """
-    asked = rows.mapInArrow(_anchored, "place bigint, name bigint, row bigint")
-    met = asked.repartition("place").sortWithinPartitions("place").mapInArrow(_answered, "row bigint, name bigint")
-    return met.groupBy("row").agg(F.collect_set("name").alias("names"))
+    asked = texts.mapInArrow(_anchored, "place bigint, name bigint, number bigint")
+    met = asked.repartition("place").sortWithinPartitions("place", "number").mapInArrow(_answered, "number bigint, name bigint")
+    return met.groupBy("number").agg(F.collect_set("name").alias("names"))
 
 
 # ------------------------------------------------------------------ stretches
@@ -285,8 +288,8 @@ def common_names(rows: DataFrame) -> DataFrame:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shrink = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = pa.array([None if t is None else shrink(t) for t in batch.column(2).cast(pa.large_binary()).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["row", "doc", "packed"])
+        texts = pa.array([None if t is None else shrink(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "packed"])
 
 
 def _unpacked(data: bytes | None) -> bytes:
@@ -296,19 +299,27 @@ def _unpacked(data: bytes | None) -> bytes:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``name, stretch, row, doc, first`` of each stretch whose anchor is among the names of its text."""
     for batch in batches:
-        for number, doc, packed, names in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(batch.columns))):
-            raw = _unpacked(packed)
-            wanted = np.sort(names.values.to_numpy(zero_copy_only=False))
-            data = np.frombuffer(raw, np.uint8)
-            for _, first, last, name in stretches(data, np.array([0, len(data)])):
-                at = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
-                good = wanted[at] == name
-                first, last, name = first[good], last[good], name[good]
-                cut = pa.array([raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())], pa.binary())
-                same = [pa.array(np.full(len(first), x, np.int64)) for x in (number, doc)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name), cut, *same, pa.array(first)], names=["name", "stretch", "row", "doc", "first"]
-                )
+        number, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        raws = [_unpacked(p) for p in batch.column(2).to_pylist()]
+        joined = b"".join(raws)
+        places = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        names = batch.column(3)
+        sizes = names.value_lengths().to_numpy(zero_copy_only=False)
+        wanted = np.sort(_pairs(np.repeat(np.arange(len(raws)), sizes), names.flatten().to_numpy(zero_copy_only=False)))
+        if not len(wanted):
+            continue
+        for text, first, last, name in stretches(np.frombuffer(joined, np.uint8), places):
+            pair = _pairs(text, name)
+            good = wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair
+            text, first, last, name = text[good], first[good], last[good], name[good]
+            cut = pa.array([joined[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())], pa.binary())
+            columns = [pa.array(name), cut, pa.array(number[text]), pa.array(doc[text]), pa.array(first - places[text])]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "stretch", "row", "doc", "first"])
+
+
+def _pairs(text: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """One number for a text of a batch and a hash; two pairs that share one only make for needless comparisons."""
+    return (name.astype(np.uint64) + text.astype(np.uint64) * np.uint64(1 << 48 | 1)) * _BASE
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,16 +365,14 @@ def smaller_one_by_one(distinct: DataFrame) -> DataFrame:
     return strings.join(first, "string").groupBy("name", "key", "least").agg(F.bit_or(hit).alias("smaller"))
 
 
-def repeated_strings(texts: DataFrame, names: DataFrame, group: int = GROUP) -> DataFrame:
-    """``row, found``: of each row the first string of a stretch and the bits of those that go.
-
-    ``texts``: ``row, doc, packed``; ``names``: as ``common_names`` has them.
-    """
+def repeated_strings(texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """``row, found``: of each row of ``texts`` (``row, doc, packed, names``) the first string of a stretch and the bits of those that go."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
-    texts.join(names, "row").select("row", "doc", "packed", "names").mapInArrow(
+    texts.select("row", "doc", "packed", "names").mapInArrow(
         _cut_out, "name bigint, stretch binary, row bigint, doc bigint, first bigint"
     ).withColumn("key", F.xxhash64("stretch")).write.option("compression", "zstd").parquet(f"{folder}/all")
+    free_finished(spark)
     every = spark.read.parquet(f"{folder}/all")
     every.groupBy("name", "key", "stretch").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).write.option(
         "compression", "zstd"
@@ -388,10 +397,11 @@ def repeated_strings(texts: DataFrame, names: DataFrame, group: int = GROUP) ->
     found = cut.select("row", "first", bits.alias("bits")).where("bits <> 0")
     found = checkpointed(found.groupBy("row").agg(F.collect_list(F.struct("first", "bits")).alias("found")))
     discard(spark, folder)
+    free_finished(spark)
     return found
 
 
-def spans_of(size: int, first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(first: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of bytes that the strings cover."""
     on = np.flatnonzero(np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     begins = np.unique(first[on // 64] + on % 64)
@@ -405,16 +415,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         sizes, spans, kept = [], [], []
-        for packed, found in zip(batch.column(1).to_pylist(), batch.column(2)):
+        for packed, copied, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
             raw = _unpacked(packed)
             sizes.append(len(raw))
-            if not found.is_valid:
-                spans.append([])
-                kept.append(raw)
-                continue
-            strings = found.values
-            first, bits = (strings.field(f).to_numpy(zero_copy_only=False) for f in ("first", "bits"))
-            begins, ends = (x.tolist() for x in spans_of(len(raw), first, bits))
+            begins, ends = [], []
+            if copied and len(raw) >= LENGTH:
+                begins, ends = [0], [len(raw)]
+            elif found.is_valid and not copied:
+                first, bits = (found.values.field(f).to_numpy(zero_copy_only=False) for f in ("first", "bits"))
+                begins, ends = (x.tolist() for x in spans_of(first, bits))
             spans.append([{"begin": a, "end": b} for a, b in zip(begins, ends)])
             kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)])))
         yield pa.RecordBatch.from_arrays(
@@ -428,14 +437,25 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     See the module for edge cases.
     """
-    rows = numbered(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), "row")
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    texts = rows.select("row", order.alias("doc"), "text").mapInArrow(_pack, "row bigint, doc bigint, packed binary")
-    found = repeated_strings(texts, common_names(rows.select("row", "text")), group)
-    ids = rows.select("row", "doc_id", "text").mapInArrow(_pack, "row bigint, doc bigint, packed binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = numbered(docs.select(F.col("doc_id").cast("bigint"), text.alias("text")), "row")
+    number = F.xxhash64("text").bitwiseAND(int(_NAME)).alias("number")
+    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    marked = checkpointed(rows.select("row", "doc_id", doc, number, F.unhex(F.sha2("text", 256)).alias("digest")))
+    firsts = marked.groupBy("digest", "number").agg(F.min("row").alias("head"), F.min("doc").alias("least"))
+    packed = rows.select("row", "text").mapInArrow(_pack, "row bigint, packed binary")
+
+    names = common_names(rows.select(number, "text"))
+    wanted = firsts.join(names, "number").select(F.col("head").alias("row"), F.col("least").alias("doc"), "names")
+    found = repeated_strings(packed.join(wanted, "row"), group)
+
+    same = marked.join(firsts.drop("number"), "digest").select("row", "doc_id", "head", (F.col("doc") > F.col("least")).alias("copied"))
+    of_row = same.join(found.withColumnRenamed("row", "head"), "head", "left").select(
+        "row", "doc_id", "copied", F.when(~F.col("copied"), F.col("found")).alias("found")
+    )
     return (
-        ids.join(found, "row", "left")
-        .select(F.col("doc").alias("doc_id"), "packed", "found")
+        packed.join(of_row, "row")
+        .select("doc_id", "packed", "copied", "found")
         .mapInArrow(_without, "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
     )
 
