@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilwork.catalog.base import query, query_over, spread, table, ts_us
 from veilwork.catalog.texts import tokens_sql
 from veilwork.functions import tokens
-from veilwork.operators import budgets, telemetry
+from veilwork.operators import budgets, settlement, telemetry
 from veilwork.sources import requests as request_source
 from veilwork.sources import sse
 
@@ -125,6 +125,63 @@ def admit_orders(spark, sf_dir):
     )
 
 
+# The same log with replies that take hours or none at all, and cost more than was estimated.
+SETTLED_US = "ts_us + (request_id % 9) * 5400000000"
+FAILED = "request_id % 13 = 5"
+
+
+def settled_sql(limits: budgets.Limits) -> str:
+    """Arrivals one by one; what was admitted is kept with the time from which it counts."""
+    window = limits.sliding_window_seconds * 1_000_000
+    return f"""WITH RECURSIVE log AS (SELECT *, CASE WHEN NOT {FAILED} THEN {SETTLED_US} END AS settled_us, tokens + request_id % 50 AS recorded
+  FROM ({LOG_SQL})),
+asked AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts_us, request_id) AS rn
+  FROM log WHERE tokens <= {limits.max_tokens_per_request}),
+walk AS (
+  SELECT DISTINCT client_id, 0::BIGINT AS rn, []::STRUCT(t BIGINT, k BIGINT)[] AS kept,
+    NULL::BIGINT AS request_id, NULL::BIGINT AS ts_us, NULL::BIGINT AS tokens, '' AS decision, NULL::BIGINT AS n, NULL::BIGINT AS used
+  FROM asked
+  UNION ALL
+  SELECT client_id, rn, CASE WHEN decision = 'ok' AND settled_us IS NOT NULL
+    THEN list_append(kept, {{'t': settled_us, 'k': recorded}}) ELSE kept END, request_id, ts_us, tokens, decision, n, used
+  FROM (SELECT *, CASE WHEN n >= {limits.max_requests_per_minute} THEN 'requests'
+      WHEN used + tokens > {limits.max_tokens_per_minute} THEN 'tokens' ELSE 'ok' END AS decision
+    FROM (SELECT client_id, rn, kept, request_id, ts_us, tokens, settled_us, recorded,
+        len(list_filter(kept, lambda x: x.t <= ts_us))::BIGINT AS n,
+        coalesce(list_sum(list_transform(list_filter(kept, lambda x: x.t <= ts_us), lambda x: x.k)), 0)::BIGINT AS used
+      FROM (SELECT a.client_id, a.rn, a.request_id, a.ts_us, a.tokens, a.settled_us, a.recorded,
+          list_filter(w.kept, lambda x: x.t >= a.ts_us - {window}) AS kept
+        FROM walk w JOIN asked a ON a.client_id = w.client_id AND a.rn = w.rn + 1)))
+),
+decided AS (
+  SELECT request_id, client_id, ts_us, tokens, decision, n, used FROM walk WHERE rn > 0
+  UNION ALL
+  SELECT request_id, client_id, ts_us, tokens, 'oversize', NULL, NULL FROM log WHERE tokens > {limits.max_tokens_per_request}
+)
+SELECT request_id, client_id, ts_us, tokens, decision, {STATUS_SQL}::INT AS status FROM decided"""
+
+
+def _settled(spark, sf_dir, rows_per_task=budgets.ROWS_PER_TASK):
+    log = event_log(spark, sf_dir).withColumns(
+        {"settled_us": F.expr(f"CASE WHEN NOT {FAILED} THEN {SETTLED_US} END"), "recorded": F.expr("tokens + request_id % 50")}
+    )
+    return settlement.admit_settled(log, LIMITS, recorded="recorded", rows_per_task=rows_per_task).select(
+        "request_id", "client_id", "ts_us", "tokens", "decision", "status"
+    )
+
+
+@query(settled_sql(LIMITS))
+def admit_settled(spark, sf_dir):
+    """Requests count from when their replies are settled."""
+    return _settled(spark, sf_dir)
+
+
+@query(settled_sql(LIMITS))
+def admit_settled_in_parts(spark, sf_dir):
+    """The same in parts, which hand on what is pending."""
+    return _settled(spark, sf_dir, 25)
+
+
 @query(
     admission_sql(LIMITS)
     + f"""

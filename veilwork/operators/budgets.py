@@ -116,11 +116,10 @@ def admit_requests(
         F.coalesce(amount, F.lit(0)).cast("bigint").alias("amount"),
     )
     if not limits.enabled:
-        decided = narrow.select("*", *_decided("ok"))
-        return _named(decided, limits, request, client, ts, tokens)
+        return named(narrow.select("*", *decided("ok")), limits, request, client, ts, tokens)
 
     too_big = is_oversize(F.col("tokens"), limits)
-    oversize = narrow.where(too_big).select("*", *_decided("oversize"))
+    oversize = narrow.where(too_big).select("*", *decided("oversize"))
     slotted = narrow.where(~too_big).withColumn(
         "slot", whole_steps(F.col("ts"), limits.window_us)
     )
@@ -131,12 +130,12 @@ def admit_requests(
     quiet = placed.where(F.col("run").isNull() | F.col("warm_up"))
     columns = ["request", "client", "ts", "tokens", "amount"]
     crowded = placed.where(F.col("run").isNotNull()).select(*columns, "run", "warm_up")
-    decided = _replayed_in_parts(crowded, limits, rows_per_task)
-    admitted = quiet.select(*columns, *_decided("ok"))
-    return _named(
+    replayed = _replayed_in_parts(crowded, limits, rows_per_task)
+    admitted = quiet.select(*columns, *decided("ok"))
+    return named(
         oversize.select(*columns, "decision", "current_requests", "current_tokens")
         .unionByName(admitted)
-        .unionByName(decided.select(*columns, "decision", "current_requests", "current_tokens")),
+        .unionByName(replayed.select(*columns, "decision", "current_requests", "current_tokens")),
         limits,
         request,
         client,
@@ -156,13 +155,13 @@ def _replayed(crowded: DataFrame, limits: Limits) -> DataFrame:
     return ordered.select(*columns).mapInPandas(_replayer(limits), out_type)
 
 
-def parts_of(crowded: DataFrame, limits: Limits, rows_per_task: int) -> DataFrame:
+def parts_of(crowded: DataFrame, limits: Limits, rows_per_task: int, at: str = "ts") -> DataFrame:
     """``client, run, tick, part``: the part that each tick of a run belongs to.
 
     A tick is a small share of the window, so there are as many as the elapsed time
     asks for, whatever the traffic.
     """
-    ticks = crowded.groupBy("client", "run", _tick(limits).alias("tick")).agg(
+    ticks = crowded.groupBy("client", "run", tick(limits, at).alias("tick")).agg(
         F.count(F.lit(1)).alias("n")
     )
     by_tick = Window.partitionBy("client", "run").orderBy("tick")
@@ -173,11 +172,11 @@ def parts_of(crowded: DataFrame, limits: Limits, rows_per_task: int) -> DataFram
     )
 
 
-def _tick(limits: Limits) -> Column:
-    return whole_steps(F.col("ts"), _tick_us(limits))
+def tick(limits: Limits, at: str = "ts") -> Column:
+    return whole_steps(F.col(at), tick_us(limits))
 
 
-def _tick_us(limits: Limits) -> int:
+def tick_us(limits: Limits) -> int:
     return max(1, limits.window_us // TICKS)
 
 
@@ -194,12 +193,12 @@ def _replayed_in_parts(crowded: DataFrame, limits: Limits, rows_per_task: int) -
     if last == 0:
         return _replayed(crowded, limits).where(~F.col("warm_up"))
     base = f"{shared_dir(spark)}/admission-{uuid.uuid4().hex}"
-    crowded.withColumn("tick", _tick(limits)).join(parts, ["client", "run", "tick"]).drop(
+    crowded.withColumn("tick", tick(limits)).join(parts, ["client", "run", "tick"]).drop(
         "tick"
     ).write.partitionBy("part").parquet(f"{base}/rows")
     rows = spark.read.parquet(f"{base}/rows")
     starts = parts.groupBy("client", "run", "part").agg(
-        (F.min("tick") * _tick_us(limits)).alias("begins")
+        (F.min("tick") * tick_us(limits)).alias("begins")
     )
     for part in range(last + 1):
         todo = rows.where(F.col("part") == part).select(*crowded.columns)
@@ -266,7 +265,7 @@ def crowded_runs(slotted: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def _decided(decision: str) -> list[Column]:
+def decided(decision: str) -> list[Column]:
     unknown = F.lit(None).cast("bigint")
     return [
         F.lit(decision).alias("decision"),
@@ -275,7 +274,7 @@ def _decided(decision: str) -> list[Column]:
     ]
 
 
-def _named(
+def named(
     decided: DataFrame, limits: Limits, request: str, client: str, ts: str, tokens: str
 ) -> DataFrame:
     status = (
