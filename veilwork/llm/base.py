@@ -45,8 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def free_finished(spark: SparkSession) -> None:
     """Have Spark's cleaner delete the shuffle files of steps whose results are written.
 
-    It does so when the JVM has collected what refers to them, which by itself can take
-    longer than the next steps do.
+    It does so when the JVM has collected what refers to them, which by itself can take longer than the next
+    steps do. Spark refers to its last job until another one starts, so this belongs after a job that follows, such as
+    the reading of a written table's schema.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
