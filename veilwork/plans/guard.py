@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.functions.bodies import mask_body
 from veilwork.functions.let import bound
 from veilwork.functions.masking import mask_messages, mask_prompts, restore_with
-from veilwork.functions.tokens import request_tokens
+from veilwork.functions.tokens import body_tokens, request_tokens
+from veilwork.functions.variants import list_of, node, text_of
 from veilwork.operators.budgets import Limits, admit_requests, settle_usage
 from veilwork.operators.replies import (
     SchemaRules,
@@ -94,6 +96,47 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     ).drop("_chat", "_text")
 
 
+def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body") -> DataFrame:
+    """:func:`guard_requests` over request bodies held as JSON text, which keep all their keys.
+
+    Input: ``request_id, client_id, ts_us`` and the body. Adds ``estimated_tokens`` (every string field of a message
+    counts), ``decision, status, map`` and replaces the body by its masked form; keys come out sorted. A rejected
+    request keeps no body; what isn't JSON isn't checked and stays as it is. A body is estimated once and
+    joined once with the verdict on it.
+    """
+    tree = F.try_parse_json(F.col(body))
+    has_prompt = F.coalesce(F.size(list_of(node(tree, "messages"))) > 0, F.lit(False)) | F.coalesce(
+        F.size(list_of(node(tree, "prompt"))) > 0, F.length(text_of(node(tree, "prompt"))) > 0, F.lit(False)
+    )
+    sized = checkpointed(
+        requests.select(
+            "request_id", "client_id", "ts_us", has_prompt.alias("has_prompt"), body_tokens(tree).alias("estimated_tokens")
+        )
+    )
+    rejected = (
+        admit_requests(sized.where("has_prompt"), options.budget, tokens="estimated_tokens")
+        .where("decision <> 'ok'")
+        .select("request_id", "decision", "status")
+    )
+    judged = (
+        sized.select("request_id", "estimated_tokens")
+        .join(rejected, "request_id", "left")
+        .select(
+            "request_id",
+            "estimated_tokens",
+            F.coalesce("decision", F.lit("ok")).alias("decision"),
+            F.coalesce("status", F.lit(200)).alias("status"),
+        )
+    )
+    ok = F.col("decision") == "ok"
+    trees = requests.join(judged, "request_id").withColumn("_tree", F.when(ok, tree))
+    return (
+        bound(trees, "_masked", F.when(F.col("_tree").isNotNull(), mask_body(F.col("_tree"), options.pii)))
+        .withColumns({body: F.when(ok, F.coalesce(F.to_json("_masked.body"), F.col(body))), "map": F.col("_masked.map")})
+        .drop("_tree", "_masked")
+    )
+
+
 def guard_replies(
     guarded: DataFrame,
     replies: DataFrame,
