@@ -323,23 +323,25 @@ def _pairs(text: np.ndarray, name: np.ndarray) -> np.ndarray:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``name, key, least, smaller``: bits of the strings of a stretch that a smaller document has in another one."""
+    """``name, key, least, strings, smaller``: bits of the strings of a stretch that a smaller document has in another one."""
+    names = ["name", "key", "least", "strings", "smaller"]
     for batch in batches:
         held = batch.column(1)
         sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         name = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
         members = held.flatten()
         data, places = _bytes_of(members.field("stretch"))
-        key = members.field("key").to_numpy(zero_copy_only=False)
-        least = members.field("least").to_numpy(zero_copy_only=False).astype(np.int64)
+        key, least, n = (members.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("key", "least", "n"))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         i = 0
         while i < len(sizes):
             j = max(i + 1, int(np.searchsorted(places[cuts], places[cuts[i]] + BLOCK, "right")) - 1)
             a, b = cuts[i], cuts[j]
             smaller = smaller_strings(data[places[a] : places[b]], places[a : b + 1] - places[a], least[a:b])
-            columns = [name[a:b], key[a:b], least[a:b], smaller]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "key", "least", "smaller"])
+            strings = np.diff(places[a : b + 1]) - LENGTH + 1
+            useful = (smaller != 0) | (n[a:b] > 1)
+            columns = [name[a:b], key[a:b], least[a:b], strings, smaller]
+            yield pa.RecordBatch.from_arrays([pa.array(c[useful]) for c in columns], names=names)
             i = j
 
 
@@ -357,45 +359,51 @@ def smaller_strings(data: np.ndarray, places: np.ndarray, least: np.ndarray) ->
 
 def smaller_one_by_one(distinct: DataFrame) -> DataFrame:
     """What ``_sorted_groups`` returns, without any group: each string is a row."""
+    whole = ["name", "key", "least", "n", (F.octet_length("stretch") - LENGTH + 1).cast("bigint").alias("strings")]
     strings = distinct.select(
-        "name", "key", "least", "stretch", F.explode(F.expr(f"sequence(0, octet_length(stretch) - {LENGTH})")).alias("n")
-    ).select("name", "key", "least", "n", F.expr(f"substring(stretch, n + 1, {LENGTH})").alias("string"))
+        *whole, "stretch", F.explode(F.expr(f"sequence(0, octet_length(stretch) - {LENGTH})")).alias("at")
+    ).select("name", "key", "least", "n", "strings", "at", F.expr(f"substring(stretch, at + 1, {LENGTH})").alias("string"))
     first = strings.groupBy("string").agg(F.min("least").alias("first"))
-    hit = F.when(F.col("first") < F.col("least"), F.expr("shiftleft(1L, n)")).otherwise(F.lit(0))
-    return strings.join(first, "string").groupBy("name", "key", "least").agg(F.bit_or(hit).alias("smaller"))
+    hit = F.when(F.col("first") < F.col("least"), F.expr("shiftleft(1L, at)")).otherwise(F.lit(0))
+    found = strings.join(first, "string").groupBy("name", "key", "least", "n", "strings").agg(F.bit_or(hit).alias("smaller"))
+    return found.where("smaller <> 0 or n > 1").drop("n")
 
 
 def repeated_strings(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """``row, found``: of each row of ``texts`` (``row, doc, packed, names``) the first string of a stretch and the bits of those that go."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
-    texts.select("row", "doc", "packed", "names").mapInArrow(
-        _cut_out, "name bigint, stretch binary, row bigint, doc bigint, first bigint"
-    ).withColumn("key", F.xxhash64("stretch")).write.option("compression", "zstd").parquet(f"{folder}/all")
-    every = spark.read.parquet(f"{folder}/all")
-    free_finished(spark)
-    every.groupBy("name", "key", "stretch").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).write.option(
-        "compression", "zstd"
-    ).parquet(f"{folder}/distinct")
-    distinct = spark.read.parquet(f"{folder}/distinct")
-    free_finished(spark)
-    groups = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("members"))
-    large = groups.where(F.col("members") > group).select("name")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        back = spark.read.parquet(f"{folder}/{name}")
+        free_finished(spark)
+        return back
+
+    every = written(
+        texts.select("row", "doc", "packed", "names").mapInArrow(
+            _cut_out, "name bigint, stretch binary, row bigint, doc bigint, first bigint"
+        ),
+        "all",
+    )
+    distinct = written(every.groupBy("name", "stretch").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    large = written(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > group).select("name"), "large")
+    key = F.xxhash64("stretch").alias("key")
+    distinct = distinct.select("name", key, "stretch", "least", "n")
     together = (
         distinct.join(large, "name", "left_anti")
         .groupBy("name")
-        .agg(F.collect_list(F.struct("stretch", "key", "least")).alias("members"))
-        .where(F.size("members") > 1)
-        .mapInArrow(_sorted_groups, "name bigint, key bigint, least bigint, smaller bigint")
+        .agg(F.collect_list(F.struct("stretch", "key", "least", "n")).alias("members"))
+        .mapInArrow(_sorted_groups, "name bigint, key bigint, least bigint, strings bigint, smaller bigint")
     )
-    apart = smaller_one_by_one(distinct.join(large, "name", "left_semi"))
-    shared = together.unionByName(apart).where("smaller <> 0").withColumn("copies", F.lit(1))
-    copied = distinct.where("n > 1").select("name", "key", "least", F.lit(0).cast("bigint").alias("smaller"), F.col("n").alias("copies"))
-    verdicts = shared.unionByName(copied).groupBy("name", "key").agg(F.max("smaller").alias("smaller"), F.min("least").alias("least"))
-    strings = (F.octet_length("stretch") - LENGTH + 1).alias("strings")
-    cut = every.select("name", "key", "row", "doc", "first", strings).join(verdicts, ["name", "key"])
+    verdicts = together.unionByName(smaller_one_by_one(distinct.join(large, "name", "left_semi")))
     bits = F.when(F.col("doc") > F.col("least"), F.expr("shiftleft(1L, cast(strings AS int)) - 1")).otherwise(F.col("smaller"))
-    found = cut.select("row", "first", bits.alias("bits")).where("bits <> 0")
+    found = (
+        every.select("name", key, "row", "doc", F.col("first").cast("int").alias("first"))
+        .join(verdicts, ["name", "key"])
+        .select("row", F.col("first").cast("bigint").alias("first"), bits.alias("bits"))
+        .where("bits <> 0")
+    )
     found = checkpointed(found.groupBy("row").agg(F.collect_list(F.struct("first", "bits")).alias("found")))
     discard(spark, folder)
     free_finished(spark)
