@@ -42,7 +42,7 @@ LINES = 2  # neighbouring lines of which one ends a chunk
 APART = 3  # words before an end without another one
 MARGIN = 64  # words beyond an alignment's outer chunks that may still be equal
 TOUCH = 8  # words of an equal stretch that counts
-SLICE = 1 << 20  # bytes of texts that are hashed at a time
+SLICE = 1 << 18  # bytes of texts that are hashed at a time
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MARK = np.array([chr(i) in ".!?,;:" for i in range(256)])

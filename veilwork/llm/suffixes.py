@@ -42,7 +42,7 @@ from veilwork.llm.base import checkpointed, free_finished, numbered, query, tabl
 from veilwork.session import discard, shared_dir
 
 LENGTH = 50  # bytes of a string that counts
-GRAM = 20  # bytes of an anchor
+GRAM = 16  # bytes of an anchor
 STARTS = LENGTH - GRAM + 1  # of anchors in a string; a stretch has no more strings than that
 SHALLOW = 16  # bytes that the quicksort reads
 GROUP = 256  # different stretches of one anchor hash that are sorted together
