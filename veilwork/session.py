@@ -32,7 +32,7 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",  # the last one wins
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",  # of what a Python worker holds at a time
+        "spark.sql.execution.arrow.maxBytesPerBatch": "4m",  # of what a Python worker holds at a time
     }.items():
         spark.conf.set(key, value)
     return spark
