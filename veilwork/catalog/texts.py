@@ -249,10 +249,10 @@ def _mask_messages(spark, sf_dir):
     )
 
 
-def session_ctes(rules: ScrubRules) -> str:
+def session_ctes(rules: ScrubRules, source: str = SEEDED_SQL) -> str:
     """Every turn's hits with the session-wide mask of each, and the turn's pieces."""
     keys = "session_id, turn"
-    ctes = [f"s0 AS (SELECT {keys}, text AS t FROM ({SEEDED_SQL}))"]
+    ctes = [f"s0 AS (SELECT {keys}, text AS t FROM ({source}))"]
     hits = []
     for k, rule in enumerate(rules.ordered, 1):
         pattern = sql_text(("(?i)" if rule.ignore_case else "") + rule.pattern)

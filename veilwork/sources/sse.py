@@ -1,16 +1,21 @@
-"""Server-sent-event lines of streamed replies."""
+"""Server-sent-event lines of streamed replies, read and written."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilwork.functions.bodies import with_field
 from veilwork.functions.jsonfix import parse_strict, strip
 from veilwork.functions.let import bound, let
+from veilwork.functions.variants import fields_of, list_of, node
 
 # --- fixed values ---
 PREFIX = "data:"
 DONE = "[DONE]"
+
+CHUNK_OBJECT = "chat.completion.chunk"
+CHUNK_ID = "chatcmpl-stream-"
 # --- end of fixed values ---
 
 CHUNK_TYPE = "struct<choices:array<struct<delta:struct<content:string>,text:string>>>"
@@ -74,3 +79,54 @@ def parse_sse_lines(df: DataFrame, line: str = "line") -> DataFrame:
 def completion_chunks(df: DataFrame, stream: str = "stream_id") -> DataFrame:
     """Non-empty content chunks per stream, which settle as completion tokens."""
     return df.groupBy(stream).agg(F.count_if(F.col("kind") == "piece").alias("n_chunks"))
+
+
+def up_to_the_end(parsed: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
+    """Lines of each stream up to its end mark; what follows is never read."""
+    before = Window.partitionBy(stream).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max("is_done").over(before), F.lit(False))
+    return parsed.withColumn("_ended", ended).where("not _ended").drop("_ended")
+
+
+def with_content(payload: Column, content: Column) -> Column:
+    """The JSON text of a chunk whose first choice's delta says ``content``; all other fields stay."""
+    chunk = F.try_parse_json(payload)
+    choices = list_of(node(chunk, "choices"))
+
+    def first(choice: Column) -> Column:
+        delta = with_field(node(choice, "delta"), "content", content.cast("variant"))
+        return with_field(choice, "delta", delta)
+
+    changed = F.transform(choices, lambda c, i: F.when(i == 0, first(c)).otherwise(c))
+    return F.to_json(with_field(chunk, "choices", F.to_variant_object(changed)))
+
+
+def line_out(safe: Column, model: Column, created: Column) -> Column:
+    """The text that is sent on for a parsed line (``line, kind, payload``).
+
+    A piece carries what it releases, which may be nothing. The end mark is preceded by a chunk with the rest, if any. Other data
+    passes as it is, with the blank line that ends an event; what is no data, or no JSON object, passes as a line.
+    """
+    kind, payload, line = F.col("kind"), F.col("payload"), F.col("line")
+    data = lambda text: F.concat(F.lit(f"{PREFIX} "), text, F.lit("\n\n"))
+    choice = F.struct(
+        F.struct(safe.alias("content")).alias("delta"), F.lit(None).cast("string").alias("finish_reason"), F.lit(0).alias("index")
+    )
+    flush = F.to_json(
+        F.struct(
+            F.array(choice).alias("choices"),
+            created.alias("created"),
+            F.concat(F.lit(CHUNK_ID), created.cast("string")).alias("id"),
+            F.coalesce(model, F.lit("")).alias("model"),
+            F.lit(CHUNK_OBJECT).alias("object"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    is_object = fields_of(F.try_parse_json(payload)).isNotNull()
+    return (
+        F.when(kind == "blank", F.lit("\n"))
+        .when(kind == "done", F.concat(F.when(F.length(safe) > 0, data(flush)).otherwise(F.lit("")), data(F.lit(DONE))))
+        .when(kind == "piece", data(with_content(payload, F.coalesce(safe, F.lit("")))))
+        .when(kind.isin("text", "data") & is_object, data(payload))
+        .otherwise(F.concat(line, F.lit("\n")))
+    )
