@@ -96,20 +96,20 @@ def outcomes(spark, rows):
 def test_summary(spark):
     log = outcomes(
         spark,
-        [(1, "success", 2.5, 10, 99, 20, True, False), (2, "blocked", 0.1, None, 5, None, False, False),
-         (3, "failed", 9.0, 1, 1, 1, False, True), (4, "success", 4.0, None, 7, None, False, False)],
+        [(1, "success", 81.25, 310, 900, 44, True, False), (2, "blocked", 0.5, None, 12, None, False, False),
+         (3, "failed", 700.0, 8, 8, 8, False, True), (4, "success", 30.5, None, 57, None, False, False)],
     )
-    redactions = spark.createDataFrame([("email", 2), ("phone", 1)], "category string, n_values long")
+    redactions = spark.createDataFrame([("ssn", 6), ("ipv4", 5)], "category string, n_values long")
     row = telemetry.metrics_summary(log, ["seq"], redactions).first()
     assert (row.total, row.successful, row.failed, row.blocked_rate_limit) == (4, 2, 2, 1)
-    assert (row.prompt_total, row.completion_total, row.overall_total) == (17, 20, 37)
+    assert (row.prompt_total, row.completion_total, row.overall_total) == (367, 44, 411)
     assert (row.schema_repairs, row.schema_violations) == (1, 1)
-    assert (row.pii_redactions_total, row.pii_redactions_by_type) == (3, {"email": 2, "phone": 1})
-    assert (row.latency_count, row.latency_average, row.latency_p50, row.latency_p99) == (2, 3.25, 4.0, 4.0)
+    assert (row.pii_redactions_total, row.pii_redactions_by_type) == (11, {"ipv4": 5, "ssn": 6})
+    assert (row.latency_count, row.latency_average, row.latency_p50, row.latency_p99) == (2, 55.88, 81.25, 81.25)
     text = telemetry.summary_json(telemetry.metrics_summary(log, ["seq"], redactions)).first().metrics
-    assert json.loads(text)["safeguards"]["pii_redactions_by_type"]["email"] == 2
+    assert json.loads(text)["safeguards"]["pii_redactions_by_type"]["ssn"] == 6
     totals = {r.category: r.n_redactions for r in telemetry.redaction_totals(redactions).collect()}
-    assert totals == {None: 3, "email": 2, "phone": 1}
+    assert totals == {None: 11, "ssn": 6, "ipv4": 5}
 
 
 def test_latency_keeps_the_last_1000(spark):
@@ -122,10 +122,16 @@ def test_latency_keeps_the_last_1000(spark):
 
 def test_outcomes_are_written(spark, tmp_path):
     path = str(tmp_path / "o")
-    log = outcomes(spark, [(1, "success", 2.5, 10, 99, 20, True, False)])
-    for _ in range(2):
-        telemetry.write_outcomes(log, path, ["outcome"])
-    assert spark.read.parquet(path).count() == 2
+    log = outcomes(spark, [(i, "failed", 60.0 + i, None, 31, None, False, True) for i in range(7)])
+    for batch in (0, 1, 1, 0):  # the last two are retries
+        telemetry.write_outcomes(log.where(f"seq % 2 = {batch}"), path, batch)
+    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == list(range(7))
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    out = str(tmp_path / "again")
+    for attempt in ("a", "b"):  # a second run from the start repeats its batches
+        query = stream.writeStream.foreachBatch(telemetry.outcome_sink(out)).trigger(availableNow=True)
+        query.option("checkpointLocation", str(tmp_path / attempt)).start().awaitTermination(120)
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == list(range(7))
 
 
 def test_round_trip_through_both_plans(spark):

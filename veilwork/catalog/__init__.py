@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.catalog import bodies, flows, json_replies, streams, texts, traffic  # noqa: F401  (register on import)
+from veilwork.catalog import bodies, flows, json_replies, outcomes, streams, texts, traffic  # noqa: F401  (register on import)
 from veilwork.catalog.base import ORACLES, QUERIES
 
 

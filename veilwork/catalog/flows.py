@@ -107,12 +107,13 @@ RETRY = (
 )
 
 
-def guarded_replies(spark, sf_dir):
-    guarded = checkpointed(
-        guard.guard_requests(chat_requests(spark, sf_dir), GUARD).select(
-            "request_id", "client_id", "estimated_tokens", "decision", "map"
+def guarded_replies(spark, sf_dir, guarded=None):
+    if guarded is None:
+        guarded = checkpointed(
+            guard.guard_requests(chat_requests(spark, sf_dir), GUARD).select(
+                "request_id", "client_id", "estimated_tokens", "decision", "map"
+            )
         )
-    )
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"))
     message = F.struct(F.lit("assistant").alias("role"), F.expr(REPLY).alias("content"))
     replies = ids.select(

@@ -385,17 +385,6 @@ def metrics_summary(spark, sf_dir):
     return telemetry.metrics_summary(outcome_log(spark, sf_dir), ["ts", "event_id"])
 
 
-@query(
-    "SELECT category, sum(n)::BIGINT AS n_redactions FROM (SELECT event_type AS category, "
-    "event_id % 4 AS n FROM events) GROUP BY ROLLUP (category)"
-)
-def redaction_totals(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("category"), (F.col("event_id") % 4).alias("n_values")
-    )
-    return telemetry.redaction_totals(counts)
-
-
 @query(
     f"SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start_us, {COUNTS_SQL}, "
     f"{SCHEMA_SQL}, {TOKENS_SQL} FROM ({OUTCOMES}) GROUP BY 1"

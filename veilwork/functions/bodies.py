@@ -47,7 +47,7 @@ def with_message_texts(message: Column, texts: Column) -> Column:
 
 
 def mask_body(body: Column, rules: ScrubRules | None = None) -> Column:
-    """Struct of ``body`` (a VARIANT) with its texts masked under one numbering, and ``map``.
+    """Struct of ``body`` (a VARIANT) with its texts masked under one numbering, ``map`` and ``counts`` per category.
 
     In a list of ``messages``, contents and text parts are masked; without such a list the ``prompt`` is, a string or the strings of a list.
     All other fields of the body, the messages and the parts come back as they are, and so does a body that isn't an object.
@@ -65,7 +65,7 @@ def mask_body(body: Column, rules: ScrubRules | None = None) -> Column:
                 return with_message_texts(message, F.slice(done["prompts"], before + 1, F.get(sizes, i)))
 
             changed = F.to_variant_object(F.transform(messages, one))
-            return F.struct(with_field(body, "messages", changed).alias("body"), done["map"].alias("map"))
+            return F.struct(with_field(body, "messages", changed).alias("body"), done["map"].alias("map"), done["counts"].alias("counts"))
 
         return let(mask_prompts(F.flatten(nested), rules), rebuilt)
 
@@ -74,12 +74,12 @@ def mask_body(body: Column, rules: ScrubRules | None = None) -> Column:
             prompts, lambda p, i: F.when(text_of(p).isNotNull(), _variant(F.get(done["prompts"], i))).otherwise(p)
         )
         changed = F.when(prompts.isNotNull(), F.to_variant_object(listed)).otherwise(_variant(F.get(done["prompts"], F.lit(0))))
-        return F.struct(with_field(body, "prompt", changed).alias("body"), done["map"].alias("map"))
+        return F.struct(with_field(body, "prompt", changed).alias("body"), done["map"].alias("map"), done["counts"].alias("counts"))
 
     texts = F.coalesce(F.transform(prompts, text_of), F.array(text_of(prompt)))
     kind = "array<struct<mask:string,original:string>>"
     return (
         F.when(messages.isNotNull(), let(F.transform(messages, message_texts), of_messages))
         .when(prompts.isNotNull() | text_of(prompt).isNotNull(), let(mask_prompts(texts, rules), of_prompts))
-        .otherwise(F.struct(body.alias("body"), F.array().cast(kind).alias("map")))
+        .otherwise(F.struct(body.alias("body"), F.array().cast(kind).alias("map"), F.create_map().cast("map<string,bigint>").alias("counts")))
     )

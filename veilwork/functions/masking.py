@@ -233,10 +233,21 @@ def _entries(s: Column, rules: ScrubRules) -> Column:
     ).cast(kind)
 
 
+def category_counts(s: Column) -> Column:
+    """Distinct values masked per category, of a state; kept whether or not the rules are reversible."""
+    seen = s["seen"]
+    return F.map_from_entries(
+        F.transform(
+            F.array_distinct(seen["category"]),
+            lambda c: F.struct(c, F.size(F.filter(seen, lambda e: e["category"] == c)).cast("bigint")),
+        )
+    )
+
+
 def mask_prompts(prompts: Column, rules: ScrubRules | None = None) -> Column:
     """Mask an array of prompts that share one numbering.
 
-    Returns a struct of ``prompts`` and the request's ``map``.
+    Returns a struct of ``prompts``, the request's ``map`` and ``counts`` per category.
     """
     rules = rules or ScrubRules()
 
@@ -256,7 +267,9 @@ def mask_prompts(prompts: Column, rules: ScrubRules | None = None) -> Column:
         start,
         step,
         lambda acc: F.struct(
-            acc["out"].alias("prompts"), _entries(acc["state"], rules).alias("map")
+            acc["out"].alias("prompts"),
+            _entries(acc["state"], rules).alias("map"),
+            category_counts(acc["state"]).alias("counts"),
         ),
     )
 
@@ -269,7 +282,7 @@ def mask_messages(messages: Column, rules: ScrubRules | None = None) -> Column:
     """Mask the turns of a request, kept as an array, under one numbering.
 
     Text content and text parts are masked; roles and other parts pass through.
-    Returns a struct of ``messages`` and the request's ``map``.
+    Returns a struct of ``messages``, the request's ``map`` and ``counts`` per category.
     """
     rules = rules or ScrubRules()
 
@@ -325,7 +338,9 @@ def mask_messages(messages: Column, rules: ScrubRules | None = None) -> Column:
         start,
         message_step,
         lambda acc: F.struct(
-            acc["out"].alias("messages"), _entries(acc["state"], rules).alias("map")
+            acc["out"].alias("messages"),
+            _entries(acc["state"], rules).alias("map"),
+            category_counts(acc["state"]).alias("counts"),
         ),
     )
 

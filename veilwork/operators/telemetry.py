@@ -122,6 +122,16 @@ def summary_json(summary: DataFrame) -> DataFrame:
     )
 
 
-def write_outcomes(outcomes: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append outcomes to a parquet table."""
-    outcomes.write.mode("append").partitionBy(*partition_by).parquet(path)
+def redaction_counts(outcomes: DataFrame) -> DataFrame:
+    """``category, n_values`` over the ``redactions`` of an outcome log."""
+    return outcomes.select(F.explode("redactions").alias("category", "n")).groupBy("category").agg(F.sum("n").cast("bigint").alias("n_values"))
+
+
+def write_outcomes(outcomes: DataFrame, path: str, batch: int | str) -> None:
+    """Write a batch of outcomes to a parquet table, once: the same ``batch`` written again takes its own place."""
+    outcomes.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def outcome_sink(path: str):
+    """For ``foreachBatch``: a micro-batch that is retried after a failure adds no row."""
+    return lambda outcomes, batch: write_outcomes(outcomes, path, batch)

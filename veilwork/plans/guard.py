@@ -44,7 +44,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     """Estimate on the raw text, admit, then mask.
 
     Input: ``request_id, client_id, ts_us, messages, prompt``.  Adds
-    ``estimated_tokens, decision, status, map`` and replaces the texts by their
+    ``estimated_tokens, decision, status, map, redactions`` and replaces the texts by their
     masked form; a rejected request keeps no text.  A request is its own masking
     session, so its map travels with it.
     """
@@ -92,6 +92,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
             "messages": F.col("_chat.messages"),
             "prompt": prompt,
             "map": F.coalesce(F.col("_chat.map"), F.col("_text.map")),
+            "redactions": F.coalesce(F.col("_chat.counts"), F.col("_text.counts")),
         }
     ).drop("_chat", "_text")
 
@@ -100,7 +101,7 @@ def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body")
     """:func:`guard_requests` over request bodies held as JSON text, which keep all their keys.
 
     Input: ``request_id, client_id, ts_us`` and the body. Adds ``estimated_tokens`` (every string field of a message
-    counts), ``decision, status, map`` and replaces the body by its masked form; keys come out sorted. A rejected
+    counts), ``decision, status, map, redactions`` and replaces the body by its masked form; keys come out sorted. A rejected
     request keeps no body; what isn't JSON isn't checked and stays as it is. A body is estimated once and
     joined once with the verdict on it.
     """
@@ -132,7 +133,13 @@ def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body")
     trees = requests.join(judged, "request_id").withColumn("_tree", F.when(ok, tree))
     return (
         bound(trees, "_masked", F.when(F.col("_tree").isNotNull(), mask_body(F.col("_tree"), options.pii)))
-        .withColumns({body: F.when(ok, F.coalesce(F.to_json("_masked.body"), F.col(body))), "map": F.col("_masked.map")})
+        .withColumns(
+            {
+                body: F.when(ok, F.coalesce(F.to_json("_masked.body"), F.col(body))),
+                "map": F.col("_masked.map"),
+                "redactions": F.col("_masked.counts"),
+            }
+        )
         .drop("_tree", "_masked")
     )
 
@@ -185,3 +192,41 @@ def settle(guarded: DataFrame, replies: DataFrame, enforced: DataFrame) -> DataF
     usage = replies.select("request_id", F.col("usage.total_tokens").alias("total_tokens"))
     good = guarded.where(F.col("decision") == "ok").join(bad, "request_id", "left_anti")
     return settle_usage(good, usage, estimate="estimated_tokens")
+
+
+def outcome_log(guarded: DataFrame, replies: DataFrame, enforced: DataFrame) -> DataFrame:
+    """One outcome per request that came in, for :mod:`veilwork.operators.telemetry`.
+
+    ``guarded`` and ``enforced`` are what the two plans return; ``replies`` has ``request_id, usage`` and optionally ``duration_ms``, one
+    row per request that was answered. A rejected request is blocked; one without a reply, or with a choice that doesn't pass, has
+    failed, the latter with a violation. Returns ``request_id, client_id, ts_us, outcome, prompt_tokens, completion_tokens,
+    estimated_tokens, repaired, violation, duration_ms, redactions``.
+    """
+    usage = replies.schema["usage"].dataType.fieldNames()
+    reported = {c: F.col(f"usage.{c}") if c in usage else F.lit(None) for c in ("prompt_tokens", "completion_tokens")}
+    took = F.col("duration_ms") if "duration_ms" in replies.columns else F.lit(None)
+    answered = replies.select(
+        "request_id", *[v.cast("bigint").alias(c) for c, v in reported.items()], took.cast("double").alias("duration_ms"), F.lit(True).alias("_answered")
+    )
+    choices = enforced.groupBy("request_id").agg(
+        F.max("was_repaired").alias("repaired"), F.max(F.col("status").isin("parse_failed", "schema_failed")).alias("violation")
+    )
+    known = guarded.select("request_id", "client_id", "ts_us", "decision", "estimated_tokens", "redactions")
+    joined = known.join(answered, "request_id", "left").join(choices, "request_id", "left")
+    no = F.lit(False)
+    return joined.select(
+        "request_id",
+        "client_id",
+        "ts_us",
+        F.when(F.col("decision") != "ok", "blocked")
+        .when(F.col("_answered") & ~F.coalesce("violation", no), "success")
+        .otherwise("failed")
+        .alias("outcome"),
+        "prompt_tokens",
+        "completion_tokens",
+        "estimated_tokens",
+        F.coalesce("repaired", no).alias("repaired"),
+        F.coalesce("violation", no).alias("violation"),
+        "duration_ms",
+        "redactions",
+    )
