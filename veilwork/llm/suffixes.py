@@ -45,7 +45,7 @@ LENGTH = 50  # bytes of a string that counts
 GRAM = 16  # bytes of an anchor
 STARTS = LENGTH - GRAM + 1  # of anchors in a string; a stretch has no more strings than that
 SHALLOW = 16  # bytes that the quicksort reads
-GROUP = 256  # different stretches of one anchor hash that are sorted together
+GROUP = 20_000  # different stretches of one anchor hash that are sorted together, some 1.5 MB
 PLACES = 20  # bits for a place in a piece
 PIECE = 1 << PLACES
 BLOCK = 2 << 20  # bytes of stretches sorted at a time
