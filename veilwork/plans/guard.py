@@ -46,7 +46,8 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     Input: ``request_id, client_id, ts_us, messages, prompt``.  Adds
     ``estimated_tokens, decision, status, map, redactions`` and replaces the texts by their
     masked form; a rejected request keeps no text.  A request is its own masking
-    session, so its map travels with it.
+    session, so its map travels with it.  Texts are estimated once, and joined once
+    with the verdict on them.
     """
     estimate = request_tokens(F.col("messages"), F.col("prompt"))
     has_prompt = F.coalesce(F.size("messages") > 0, F.lit(False)) | F.coalesce(F.size("prompt") > 0, F.lit(False))
@@ -58,23 +59,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     )
     # requests without a prompt aren't checked; an empty text in a list is one
     asked = sized.where("has_prompt")
-    # Only rejections are joined back.  They are few in the common case, and when
-    # their size shows that at run time, no text is shuffled.
-    rejected = (
-        admit_requests(asked, options.budget, tokens="estimated_tokens")
-        .where(F.col("decision") != "ok")
-        .select("request_id", "decision", "status")
-    )
-    judged = (
-        bound(requests, "estimated_tokens", estimate)
-        .join(rejected, "request_id", "left")
-        .withColumns(
-            {
-                "decision": F.coalesce("decision", F.lit("ok")),
-                "status": F.coalesce("status", F.lit(200)),
-            }
-        )
-    )
+    judged = requests.join(_verdicts(sized, asked, options.budget), "request_id")
     ok = F.col("decision") == "ok"
     masked = judged.withColumns(
         {
@@ -97,6 +82,25 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     ).drop("_chat", "_text")
 
 
+def _verdicts(sized: DataFrame, asked: DataFrame, budget: Limits) -> DataFrame:
+    """``request_id, estimated_tokens, decision, status`` of every request, of which ``asked`` are checked."""
+    rejected = (
+        admit_requests(asked, budget, tokens="estimated_tokens")
+        .where(F.col("decision") != "ok")
+        .select("request_id", "decision", "status")
+    )
+    return (
+        sized.select("request_id", "estimated_tokens")
+        .join(rejected, "request_id", "left")
+        .select(
+            "request_id",
+            "estimated_tokens",
+            F.coalesce("decision", F.lit("ok")).alias("decision"),
+            F.coalesce("status", F.lit(200)).alias("status"),
+        )
+    )
+
+
 def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body") -> DataFrame:
     """:func:`guard_requests` over request bodies held as JSON text, which keep all their keys.
 
@@ -114,21 +118,7 @@ def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body")
             "request_id", "client_id", "ts_us", has_prompt.alias("has_prompt"), body_tokens(tree).alias("estimated_tokens")
         )
     )
-    rejected = (
-        admit_requests(sized.where("has_prompt"), options.budget, tokens="estimated_tokens")
-        .where("decision <> 'ok'")
-        .select("request_id", "decision", "status")
-    )
-    judged = (
-        sized.select("request_id", "estimated_tokens")
-        .join(rejected, "request_id", "left")
-        .select(
-            "request_id",
-            "estimated_tokens",
-            F.coalesce("decision", F.lit("ok")).alias("decision"),
-            F.coalesce("status", F.lit(200)).alias("status"),
-        )
-    )
+    judged = _verdicts(sized, sized.where("has_prompt"), options.budget)
     ok = F.col("decision") == "ok"
     trees = requests.join(judged, "request_id").withColumn("_tree", F.when(ok, tree))
     return (
