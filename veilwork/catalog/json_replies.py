@@ -8,6 +8,7 @@ from veilwork.catalog.base import query, query_over, spread, sql_text, table
 from veilwork.functions import jsonfix
 from veilwork.functions.jsonschema import validate_json
 from veilwork.functions.let import bound
+from veilwork.functions.jsonreason import parse_reason
 from veilwork.operators import replies
 
 # Replies made from events by one expression for both sides, eight kinds of them:
@@ -299,15 +300,16 @@ _E1 = (
     "[''view'', ''click'', ''purchase'', ''signup'']'"
 )
 _E2 = "'root.n: number ' || CAST(floor(value) AS BIGINT) || ' is greater than maximum 150'"
+NO_JSON = "Expecting value: line 1 column 1 (char 0)"  # of plain words
 _LISTED = (
-    f"CASE WHEN event_id % 8 = 7 THEN '- {replies.PARSE_FAILED}' ELSE concat_ws(chr(10), "
+    f"CASE WHEN event_id % 8 = 7 THEN '- {NO_JSON}' ELSE concat_ws(chr(10), "
     f"CASE WHEN event_type = 'error' THEN '- ' || {_E1} END, "
     f"CASE WHEN floor(value) > 150 THEN '- ' || {_E2} END) END"
 )
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN {sql_text(replies.PARSE_FAILED)}
+    f"""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN '{replies.PARSE_FAILED}: {NO_JSON}'
     ELSE {sql_text(replies.SCHEMA_FAILED)} END AS message, 'schema_validation_failed' AS code,
   {_LISTED.replace("'- '", "''").replace("'- ", "'")} AS details, content AS raw_content
 FROM ({REPLIES}) WHERE {STATUS} IN ('parse_failed', 'schema_failed')"""
@@ -396,8 +398,8 @@ def retry_join(spark, sf_dir):
     f"""WITH f AS (SELECT event_id, content, {STATUS} AS first, {N_ERRORS} AS n, {HAS_RETRY} AS again, {RETRY} AS retried
   FROM ({REPLIES}))
 SELECT event_id, 'schema_validation_error' AS type,
-  CASE WHEN again AND event_id % 3 = 1 THEN {sql_text(replies.RETRY_SCHEMA_FAILED)} WHEN again THEN {sql_text(replies.RETRY_FAILED)}
-    WHEN first = 'parse_failed' THEN {sql_text(replies.PARSE_FAILED)} ELSE {sql_text(replies.SCHEMA_FAILED)} END AS message,
+  CASE WHEN again AND event_id % 3 = 1 THEN {sql_text(replies.RETRY_SCHEMA_FAILED)} WHEN again THEN '{replies.RETRY_FAILED}: {NO_JSON}'
+    WHEN first = 'parse_failed' THEN '{replies.PARSE_FAILED}: {NO_JSON}' ELSE {sql_text(replies.SCHEMA_FAILED)} END AS message,
   CASE WHEN again AND event_id % 3 = 1 THEN 3 ELSE CASE WHEN first = 'parse_failed' THEN 1 ELSE n END
     + CASE WHEN again THEN 1 ELSE 0 END END::INT AS n_details,
   CASE WHEN again AND event_id % 3 = 1 THEN retried ELSE content END AS raw_content
@@ -437,3 +439,31 @@ def explode_replies(spark, sf_dir):
         ).alias("choices"),
     )
     return replies.explode_replies(made, ["event_id"])
+
+
+# Replies that no repair makes JSON, each wrong at a place that follows from its number.
+WRONG = (
+    f"CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN ' ' || {NL} "
+    f"WHEN 2 THEN 'well, ' || {_TYPE} "
+    f"WHEN 3 THEN '{{\"id\": ' || {_ID} || ' \"n\": 1}}' "
+    f"WHEN 4 THEN '{{\"id\" ' || {_ID} || '}}' "
+    f"WHEN 5 THEN '[' || {_ID} || ',' || {NL} || ' @]' "
+    f"WHEN 6 THEN 'See {{' || {_ID} || ': 1}}' "
+    f"ELSE '[\"' || {_TYPE} || '\"] and then [2]' END"
+)
+
+
+@query(
+    f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Empty or whitespace-only JSON input' WHEN 1 THEN 'Empty or whitespace-only JSON input'
+  WHEN 2 THEN '{NO_JSON}'
+  WHEN 3 THEN 'Expecting '','' delimiter: line 1 column ' || (9 + n) || ' (char ' || (8 + n) || ')'
+  WHEN 4 THEN 'Expecting '':'' delimiter: line 1 column 7 (char 6)'
+  WHEN 5 THEN 'Expecting value: line 2 column 2 (char ' || (4 + n) || ')'
+  WHEN 6 THEN 'Expecting property name enclosed in double quotes: line 1 column 2 (char 1)'
+  ELSE 'Extra data: line 1 column ' || (t + 6) || ' (char ' || (t + 5) || ')' END AS reason
+FROM (SELECT event_id, length({_ID}) AS n, length({_TYPE}) AS t FROM events)"""
+)
+def parse_reasons(spark, sf_dir):
+    """Why a reply isn't JSON, and where."""
+    wrong = query_over(spread(table(spark, sf_dir, "events")), "events", f"SELECT event_id, {WRONG} AS content FROM events")
+    return wrong.select("event_id", parse_reason(F.col("content")).alias("reason"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.jsonfix import parse_or_repair
 from veilwork.functions.jsonschema import ERRORS_TYPE, validate_json
 from veilwork.functions.let import bound, let
+from veilwork.functions.jsonreason import parse_reason
 from veilwork.functions.masking import MESSAGE_TYPE
 from veilwork.session import checkpointed
 
@@ -98,15 +99,16 @@ def enforce_content(content: Column, rules: SchemaRules) -> Column:
     if not rules.active:
         return result("inactive", F.lit(False), _no_errors(), F.lit(None), content)
 
-    parse_error = F.array(
-        F.struct(
-            F.lit("root").alias("path"),
-            F.lit("parse").alias("rule"),
-            F.lit(None).alias("expected"),
-            F.lit(None).alias("actual"),
-            F.lit(PARSE_FAILED).alias("message"),
+    def parse_error(reason: Column) -> Column:
+        return F.array(
+            F.struct(
+                F.lit("root").alias("path"),
+                F.lit("parse").alias("rule"),
+                F.lit(None).alias("expected"),
+                F.lit(None).alias("actual"),
+                reason.alias("message"),
+            )
         )
-    )
 
     def parsed(p: Column) -> Column:
         value, repaired = p["value"], p["tier"] > 0
@@ -123,7 +125,9 @@ def enforce_content(content: Column, rules: SchemaRules) -> Column:
             return F.when(F.size(errors) == 0, good).otherwise(bad)
 
         checked = validate_json(value, rules.schema) if rules.schema else _no_errors()
-        failed = result("parse_failed", F.lit(False), parse_error, F.lit(None), F.lit(None))
+        # only what failed is scanned for the reason
+        reason = F.coalesce(parse_reason(content), F.lit(PARSE_FAILED))
+        failed = result("parse_failed", F.lit(False), parse_error(reason), F.lit(None), F.lit(None))
         return F.when(p["tier"].isNull(), failed).otherwise(let(checked, judged))
 
     return let(parse_or_repair(content), parsed)
@@ -199,7 +203,10 @@ def enforce_with_retry(
     message = (
         F.when(two.isNull(), plain_message)
         .when(two["status"] == "schema_failed", RETRY_SCHEMA_FAILED)
-        .when(two["status"] == "parse_failed", RETRY_FAILED)
+        .when(
+            two["status"] == "parse_failed",
+            F.concat(F.lit(f"{RETRY_FAILED}: "), F.get(two["errors"], F.lit(0))["message"]),
+        )
     )
     tried = _flat(both.withColumn("_done", outcome), F.col("_done"), raw, message).drop(
         "_first", "_again", "_done"
@@ -210,7 +217,8 @@ def enforce_with_retry(
 
 def failure_text(enforced: Column) -> Column:
     """What a first attempt failed at; null if it passed."""
-    return F.when(enforced["status"] == "parse_failed", PARSE_FAILED).when(
+    reason = F.get(enforced["errors"], F.lit(0))["message"]
+    return F.when(enforced["status"] == "parse_failed", F.concat(F.lit(f"{PARSE_FAILED}: "), reason)).when(
         enforced["status"] == "schema_failed", SCHEMA_FAILED
     )
 
