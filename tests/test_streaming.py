@@ -5,7 +5,7 @@ import random
 import plain
 from pyspark.sql import functions as F
 
-from veilwork.operators import budgets
+from veilwork.operators import budgets, telemetry
 from veilwork.operators.budgets import SECOND, Limits
 from veilwork.rules import ScrubRules
 from veilwork.streaming import chunks, online
@@ -116,3 +116,25 @@ def test_whole_messages(spark, tmp_path):
     stream = as_stream(spark, df, str(tmp_path / "in"), 2, ["id"])
     got = online.run_available(online.stream_mask(stream)).collect()
     assert {r.id: r.masked for r in got} == {1: "[EMAIL_1] [EMAIL_1]", 2: ""}
+
+
+def test_running_summary_equals_the_whole(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice(["success", "success", "failed", "blocked"]), rng.random() * 900, None, i % 50, i % 7, i % 5 == 0, i % 9 == 0,
+         rng.choice([None, {}, {"ssn": 2, "ipv4": i % 3}]))
+        for i in range(2500)
+    ]
+    kind = (
+        "seq long, outcome string, duration_ms double, prompt_tokens long, estimated_tokens long, completion_tokens long, "
+        "repaired boolean, violation boolean, redactions map<string,bigint>"
+    )
+    df = spark.createDataFrame(rows, kind)
+    whole = telemetry.metrics_summary(df, ["seq"], telemetry.redaction_counts(df)).first()
+    assert whole.latency_count == 1000 and whole.pii_redactions_total > 0
+    stream = as_stream(spark, df, str(tmp_path / "in"), 4, ["seq"])
+    assert online.stream_summary(stream, ["seq"]).first().asDict() == whole.asDict()
+    running = online.RunningSummary(str(tmp_path / "again"), ["seq"])
+    for batch in (0, 1, 1, 2):  # the second comes twice
+        running.add(df.where(f"seq % 3 = {batch}"), batch)
+    assert running.summary(spark, 2).first().asDict() == whole.asDict()

@@ -13,6 +13,8 @@ from veilwork.catalog.texts import (
 )
 from veilwork.catalog.traffic import (
     COUNTS_SQL,
+    LATENCY_COLUMNS,
+    LATENCY_SQL,
     LIMITS,
     LOG_SQL,
     OUTCOMES,
@@ -305,3 +307,13 @@ def stream_window_usage(spark, sf_dir):
 def stream_metrics(spark, sf_dir):
     outcomes = query_over(stream_of(spark, sf_dir, "events"), "events", OUTCOMES).withColumn("ts", F.col("ts").cast("timestamp"))
     return online.run_to_the_end(online.stream_metrics(outcomes, "1 hour", "2 hours"), ["window_start_us"])
+
+
+@query(
+    f"SELECT c.*, {LATENCY_COLUMNS}, 0::BIGINT AS pii_redactions_total FROM (SELECT {COUNTS_SQL}, {SCHEMA_SQL}, {TOKENS_SQL} "
+    f"FROM ({OUTCOMES})) c, {LATENCY_SQL}"
+)
+def stream_summary(spark, sf_dir):
+    """The summary of a stream of outcomes when it has come to its end."""
+    outcomes = query_over(stream_of(spark, sf_dir, "events"), "events", OUTCOMES)
+    return online.stream_summary(outcomes, ["ts", "event_id"]).drop("pii_redactions_by_type")

@@ -88,8 +88,16 @@ def metrics_summary(
 ) -> DataFrame:
     """The whole summary in one row."""
     counts = outcomes.agg(*request_counts(), *schema_totals(), *token_totals())
+    return summary_of(counts, outcomes.where("outcome = 'success'"), order, redactions)
+
+
+def summary_of(
+    counts: DataFrame, successes: DataFrame, order: Sequence[str], redactions: DataFrame | None = None
+) -> DataFrame:
+    """The summary from a row of counters, the latencies of successes and the masked values per category."""
     one = counts.withColumn("_one", F.lit(1))
-    one = one.join(latency_stats(outcomes, order).withColumn("_one", F.lit(1)), "_one")
+    latencies = latency_stats(successes.withColumn("outcome", F.lit("success")), order)
+    one = one.join(latencies.withColumn("_one", F.lit(1)), "_one")
     if redactions is not None:
         masked = redactions.groupBy("category").agg(F.sum("n_values").cast("bigint").alias("n"))
         masked = masked.agg(

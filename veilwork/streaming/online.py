@@ -7,16 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.functions.masking import mask_text
 from veilwork.operators.budgets import OVERSIZE_STATUS, Limits, WindowState, replay
-from veilwork.operators.telemetry import request_counts, schema_totals, token_totals
+from veilwork.operators.telemetry import (
+    LATENCY_ROWS,
+    redaction_counts,
+    request_counts,
+    schema_totals,
+    summary_of,
+    token_totals,
+)
 from veilwork.rules import ScrubRules
-from veilwork.session import shared_dir
+from veilwork.session import checkpointed, discard, shared_dir
 
 
 def stream_mask(
@@ -135,6 +142,65 @@ def stream_metrics(
     )
 
 
+class RunningSummary:
+    """The metrics summary of a stream, carried from micro-batch to micro-batch as small tables.
+
+    A summary is a row of counters, the last 1000 latencies and a count per category, so it stays as small as it is, however
+    long the stream runs. The tables after each micro-batch are written under its number, from those of the one before: a batch
+    that is retried writes the same again. ``order`` (unique, rising with completion) says which latencies are the last.
+    """
+
+    def __init__(self, base: str, order: list[str]) -> None:
+        self.base, self.order = base, order
+
+    def _read(self, spark: SparkSession, batch: int) -> dict[str, DataFrame]:
+        return {name: spark.read.parquet(f"{self.base}/{batch}/{name}") for name in ("counts", "latencies", "redactions")}
+
+    def add(self, outcomes: DataFrame, batch: int) -> None:
+        """For ``foreachBatch``."""
+        outcomes = checkpointed(outcomes)
+        now = {
+            "counts": outcomes.agg(*request_counts(), *schema_totals(), *token_totals()),
+            "latencies": outcomes.where("outcome = 'success'").select(*self.order, "duration_ms"),
+            "redactions": redaction_counts(outcomes)
+            if "redactions" in outcomes.columns
+            else outcomes.sparkSession.createDataFrame([], "category string, n_values bigint"),
+        }
+        if batch:
+            now = {name: rows.unionByName(now[name]) for name, rows in self._read(outcomes.sparkSession, batch - 1).items()}
+        counts = now["counts"]
+        merged = {
+            "counts": counts.agg(*[F.sum(c).alias(c) for c in counts.columns]),
+            "latencies": now["latencies"].orderBy(*[F.desc(c) for c in self.order]).limit(LATENCY_ROWS),
+            "redactions": now["redactions"].groupBy("category").agg(F.sum("n_values").alias("n_values")),
+        }
+        for name, rows in merged.items():
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/{batch}/{name}")
+        if batch > 1:
+            discard(outcomes.sparkSession, f"{self.base}/{batch - 2}")
+
+    def summary(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What :func:`veilwork.operators.telemetry.metrics_summary` says of all outcomes up to ``batch``."""
+        tables = self._read(spark, batch)
+        return summary_of(tables["counts"], tables["latencies"], self.order, tables["redactions"])
+
+
+def stream_summary(outcomes: DataFrame, order: list[str]) -> DataFrame:
+    """Run a stream of outcomes over what its source holds now; its summary at the end."""
+    spark = outcomes.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running = RunningSummary(f"{base}/summary", order)
+    query = (
+        outcomes.writeStream.foreachBatch(running.add)
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    return running.summary(spark, last)
+
+
 def run_to_the_end(df: DataFrame, keys: list[str]) -> DataFrame:
     """Run an aggregating stream over what its source holds now: the last state of each of its ``keys``.
 
