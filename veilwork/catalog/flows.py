@@ -282,6 +282,23 @@ def stream_admit(spark, sf_dir):
 HOUR_US = 3_600_000_000
 
 
+@query(
+    admission_sql(LIMITS)
+    + f" SELECT request_id, client_id, ts_us, tokens, decision, {STATUS_SQL}::INT AS status FROM decided "
+    f"WHERE ts_us <= ((SELECT max(ts_us) FROM log) // 1000 - {HOUR_US // 1000}) * 1000"
+)
+def stream_admit_in_order(spark, sf_dir):
+    """Decisions on all that the watermark, an hour behind, has passed when the stream ends."""
+    log = stream_of(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.col("user_id").alias("client_id"),
+        ts_us().alias("ts_us"),
+        F.expr(TOKENS).alias("tokens"),
+    )
+    decided = online.run_available(online.stream_admit_in_order(log, LIMITS, "1 hour"))
+    return decided.select("request_id", "client_id", "ts_us", "tokens", "decision", "status")
+
+
 @query(
     f"""WITH log AS ({LOG_SQL}), w AS (
   SELECT client_id, tokens, (ts_us // {HOUR_US} - back) * {HOUR_US} AS window_start_us

@@ -101,6 +101,72 @@ def stream_admit(df: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
+def stream_admit_in_order(df: DataFrame, limits: Limits, delay: str = "1 minute") -> DataFrame:
+    """Admission by event time: rows may come out of order by ``delay``, and are decided as if they hadn't.
+
+    ``request_id, client_id, ts_us, tokens`` in, decisions out. A row waits in its client's state until the watermark has passed it; then
+    it is decided in its place, so what comes out is what a replay of the whole log says. A row older than the
+    watermark is dropped, as in any query with one. The state of a client is what waits (the traffic of ``delay``) and
+    what it was admitted inside the window, and goes with a timer when neither is left.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out_type = (
+        f"request_id {kinds['request_id']}, client_id {kinds['client_id']}, ts_us bigint, "
+        "tokens bigint, decision string, status int, current_requests bigint, current_tokens bigint"
+    )
+    held = f"ids array<{kinds['request_id']}>, ts array<bigint>, tokens array<bigint>, times array<bigint>, amounts array<bigint>"
+    most = limits.max_tokens_per_request if limits.enabled else 0
+    names = ["request_id", "client_id", "ts_us", "tokens", "decision", "status", "current_requests", "current_tokens"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, ts, tokens, times, amounts = state.get if state.exists else ([], [], [], [], [])
+        waiting = list(zip(ts, ids, tokens))
+        for batch in batches:
+            waiting += zip(batch["ts_us"].tolist(), batch["request_id"].tolist(), batch["tokens"].tolist())
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = [row for row in waiting if row[0] <= passed]
+        waiting = waiting[len(due) :]
+        window = WindowState(times, amounts)
+        asked = [row for row in due if not 0 < most < row[2]]
+        n = len(asked)
+        verdict, count, total = ["ok"] * n, [0] * n, [0] * n
+        if limits.enabled:
+            at, cost = [row[0] for row in asked], [row[2] for row in asked]
+            replay(at, cost, cost, limits, window, verdict, count, total, 0, n)
+        found = dict(zip(asked, zip(verdict, count, total)))
+        out = []
+        for row in due:
+            decision, seen, used = found.get(row, ("oversize", None, None))
+            status = {"ok": 200, "oversize": OVERSIZE_STATUS}.get(decision, limits.reject_status_code)
+            out.append((row[1], key[0], row[0], row[2], decision, status, seen, used))
+        window.expire(passed - limits.window_us)
+        times, amounts = window.times[window.head :], window.amounts[window.head :]
+        if waiting or times:
+            ids, ts, tokens = ([row[i] for row in waiting] for i in (1, 0, 2))
+            state.update((ids, ts, tokens, times, amounts))
+            timer = ts[0] if waiting else times[-1] + limits.window_us
+            state.setTimeoutTimestamp(max(timer // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            rows = pd.DataFrame(out, columns=names)
+            yield rows.astype({"status": "int32", "current_requests": "Int64", "current_tokens": "Int64"})
+
+    return (
+        df.select(
+            "request_id",
+            "client_id",
+            F.col("ts_us").cast("bigint").alias("ts_us"),
+            F.col("tokens").cast("bigint").alias("tokens"),
+            F.timestamp_micros("ts_us").alias("_ts"),
+        )
+        .withWatermark("_ts", delay)
+        .groupBy("client_id")
+        .applyInPandasWithState(step, out_type, held, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def stream_window_usage(
     df: DataFrame,
     seconds: int = 60,
