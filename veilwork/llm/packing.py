@@ -36,7 +36,7 @@ POPULATION = 5
 CHILDREN = 6  # an epoch and island
 WELL = 0.99  # of the limit: such a sequence is closed
 SEED = 11
-CACHE = 800_000  # words whose ids a process keeps
+CACHE = 4_000_000  # characters of words whose ids a process keeps
 END = b"\0\0\0\0"
 
 
@@ -66,6 +66,7 @@ class WordIds:
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
         self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
+        self.held = 0  # characters of the words known
 
     def _whole(self, words: list[str]) -> Iterator[bytes]:
         return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False))
@@ -97,10 +98,13 @@ class WordIds:
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.known)
         if new:
-            if len(self.known) + len(self.cores) > CACHE:
-                self.known, self.cores = {"": b""}, {}
+            size = sum(map(len, new))
+            if self.held + size > CACHE:
+                self.known, self.cores, self.held = {"": b""}, {}, 0
                 new = set(words)
                 new.discard("")
+                size = sum(map(len, new))
+            self.held += size
             self._learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
