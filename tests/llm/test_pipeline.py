@@ -17,7 +17,7 @@ def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "near_duplicates", "benchmark_decontamination", "best_fit_packing",
     ]
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
 
 
 @has_tables
