@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.session import checkpointed, discard, shared_dir
+from veilwork.session import as_long, checkpointed, discard, shared_dir
 
 SECOND = 1_000_000
 ROWS_PER_TASK = 20_000_000
@@ -562,7 +562,7 @@ def settle_usage(
     request is settled at its estimate plus the chunks.
     """
     columns = [key, total] + ([chunks] if chunks else [])
-    answered = requests.join(replies.select(*columns), key)
+    answered = requests.join(as_long(replies.select(*columns)), key)
     fallback = F.when(F.col(estimate) > 0, F.col(estimate))
     amount = F.coalesce(F.col(total), fallback)
     if chunks:

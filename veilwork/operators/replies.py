@@ -14,7 +14,7 @@ from veilwork.functions.jsonschema import ERRORS_TYPE, validate_json
 from veilwork.functions.let import bound, let
 from veilwork.functions.jsonreason import parse_reason
 from veilwork.functions.masking import MESSAGE_TYPE
-from veilwork.session import checkpointed
+from veilwork.session import as_long, checkpointed
 
 # --- fixed values: error texts and the repair prompt ---
 PARSE_FAILED = "Failed to parse or repair JSON"
@@ -182,7 +182,7 @@ def enforce_with_retry(
     again = F.when(F.col(retry_content).isNotNull(), enforce_content(F.col(retry_content), rules))
     both = (
         first.where(failed(F.col("_first")))
-        .join(retries.select(*keys, retry_content), list(keys), "left")
+        .join(as_long(retries.select(*keys, retry_content)), list(keys), "left")
         .withColumn("_again", again)
     )
     one, two = F.col("_first"), F.col("_again")
@@ -279,7 +279,7 @@ def repair_requests(
     )
     legacy = F.array(F.concat(F.col(content), F.lit("\n\n"), ask))
     has_messages = F.size("messages") > 0
-    return bad.join(requests.select(*keys, "messages", "prompt"), list(keys)).select(
+    return bad.join(as_long(requests.select(*keys, "messages", "prompt")), list(keys)).select(
         *keys,
         F.when(has_messages, F.concat("messages", follow_up)).alias("messages"),
         F.when(~F.coalesce(has_messages, F.lit(False)), legacy).alias("prompt"),

@@ -20,7 +20,7 @@ from veilwork.operators.replies import (
     explode_replies,
 )
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed
+from veilwork.session import as_long, checkpointed
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def guard_requests(requests: DataFrame, options: GuardOptions) -> DataFrame:
     )
     # requests without a prompt aren't checked; an empty text in a list is one
     asked = sized.where("has_prompt")
-    judged = requests.join(_verdicts(sized, asked, options.budget), "request_id")
+    judged = requests.join(as_long(_verdicts(sized, asked, options.budget)), "request_id")
     ok = F.col("decision") == "ok"
     masked = judged.withColumns(
         {
@@ -91,7 +91,7 @@ def _verdicts(sized: DataFrame, asked: DataFrame, budget: Limits) -> DataFrame:
     )
     return (
         sized.select("request_id", "estimated_tokens")
-        .join(rejected, "request_id", "left")
+        .join(as_long(rejected), "request_id", "left")
         .select(
             "request_id",
             "estimated_tokens",
@@ -120,7 +120,7 @@ def guard_bodies(requests: DataFrame, options: GuardOptions, body: str = "body")
     )
     judged = _verdicts(sized, sized.where("has_prompt"), options.budget)
     ok = F.col("decision") == "ok"
-    trees = requests.join(judged, "request_id").withColumn("_tree", F.when(ok, tree))
+    trees = requests.join(as_long(judged), "request_id").withColumn("_tree", F.when(ok, tree))
     return (
         bound(trees, "_masked", F.when(F.col("_tree").isNotNull(), mask_body(F.col("_tree"), options.pii)))
         .withColumns(
@@ -149,7 +149,7 @@ def guard_replies(
     """
     admitted = guarded.where(F.col("decision") == "ok").select("request_id", "map")
     # replies of rejected requests aren't enforced
-    asked = replies.join(admitted.select("request_id"), "request_id", "left_semi")
+    asked = replies.join(as_long(admitted.select("request_id")), "request_id", "left_semi")
     choices = explode_replies(asked, ["request_id"])
     if retries is not None and options.schema.active and options.schema.retries:
         enforced = enforce_with_retry(
@@ -167,7 +167,7 @@ def guard_replies(
                 F.col("_e.json").alias("json"),
             )
         )
-    joined = enforced.join(admitted, "request_id")
+    joined = enforced.join(as_long(admitted), "request_id")
     content = F.col("json")
     if options.pii.reversible:
         content = restore_with(F.col("json"), F.col("map"))
@@ -180,7 +180,7 @@ def settle(guarded: DataFrame, replies: DataFrame, enforced: DataFrame) -> DataF
     """Settled tokens of admitted requests whose every choice passed."""
     bad = enforced.where(F.col("status").isin("parse_failed", "schema_failed")).select("request_id").distinct()
     usage = replies.select("request_id", F.col("usage.total_tokens").alias("total_tokens"))
-    good = guarded.where(F.col("decision") == "ok").join(bad, "request_id", "left_anti")
+    good = guarded.where(F.col("decision") == "ok").join(as_long(bad), "request_id", "left_anti")
     return settle_usage(good, usage, estimate="estimated_tokens")
 
 
@@ -202,7 +202,7 @@ def outcome_log(guarded: DataFrame, replies: DataFrame, enforced: DataFrame) ->
         F.max("was_repaired").alias("repaired"), F.max(F.col("status").isin("parse_failed", "schema_failed")).alias("violation")
     )
     known = guarded.select("request_id", "client_id", "ts_us", "decision", "estimated_tokens", "redactions")
-    joined = known.join(answered, "request_id", "left").join(choices, "request_id", "left")
+    joined = known.join(as_long(answered), "request_id", "left").join(as_long(choices), "request_id", "left")
     no = F.lit(False)
     return joined.select(
         "request_id",
