@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilwork.operators.restore import unmask
 from veilwork.operators.sessions import mask_sessions
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed
+from veilwork.session import as_long, written
 
 # --- fixed values ---
 BUFFER = 64
@@ -82,7 +82,7 @@ def cut_positions(pieces: DataFrame, buffer: int = BUFFER) -> DataFrame:
         )
         .select("stream_id", F.col("f.seq").alias("seq"), F.col("f.cut").alias("forced"))
     )
-    found = natural.join(forced, ["stream_id", "seq"], "left")
+    found = natural.join(as_long(forced), ["stream_id", "seq"], "left")
     here = F.when(F.col("forced").isNotNull(), F.struct(F.col("forced").alias("cut"), F.col("edge.seq").alias("seq")))
     last = F.max(F.greatest(here, "reached")).over(so_far)
     return found.withColumn("last", last).select(
@@ -102,12 +102,12 @@ def released_turns(pieces: DataFrame, ends: DataFrame, buffer: int = BUFFER) ->
     ``pieces``: ``stream_id, seq, text``; ``ends``: ``stream_id, seq`` of the lines that end a reply. Without one, the
     rest of the reply is held back for good.
     """
-    cut = checkpointed(cut_positions(pieces.where(F.length("text") > 0), buffer))
+    cut = written(cut_positions(pieces.where(F.length("text") > 0), buffer))
     in_order = Window.partitionBy("stream_id").orderBy("seq")
     before = F.coalesce(F.lag("cut").over(in_order), F.lit(0).cast("bigint"))
     owners = cut.withColumn("from", before).where("cut > from").select("stream_id", "seq", "from", "cut", "cut_in")
     inner = owners.groupBy("stream_id", F.col("cut_in").alias("seq")).agg(F.collect_list("cut").alias("cuts"))
-    held = cut.join(inner, ["stream_id", "seq"], "left")
+    held = cut.join(as_long(inner), ["stream_id", "seq"], "left")
     edges = F.array_sort(F.array_distinct(F.concat(F.array("begin", "end"), F.coalesce("cuts", F.array().cast("array<bigint>")))))
     parts = held.withColumn("edges", edges).select(
         "stream_id",
@@ -132,11 +132,11 @@ def released_turns(pieces: DataFrame, ends: DataFrame, buffer: int = BUFFER) ->
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "text"))), lambda p: p["text"]), "").alias("text"))
     )
     rest = cut.groupBy("stream_id").agg(F.max("cut").alias("from"))
-    flushed = ends.groupBy("stream_id").agg(F.min("seq").alias("seq")).join(rest, "stream_id")
+    flushed = ends.groupBy("stream_id").agg(F.min("seq").alias("seq")).join(as_long(rest), "stream_id")
     whose = owners.select("stream_id", "seq", F.col("from").alias("turn_from")).unionByName(
         flushed.select("stream_id", "seq", F.col("from").alias("turn_from"))
     )
-    return turns.join(whose, ["stream_id", "turn_from"]).select("stream_id", "seq", "text")
+    return turns.join(as_long(whose), ["stream_id", "turn_from"]).select("stream_id", "seq", "text")
 
 
 def mask_released(
@@ -151,13 +151,13 @@ def mask_released(
     ``asked`` (``stream_id, seq, text``, with ``seq`` below those of the pieces) are the texts of the request, whose masks go on in the reply.
     """
     rules = rules or ScrubRules()
-    turns = checkpointed(released_turns(pieces, ends, buffer))
+    turns = written(released_turns(pieces, ends, buffer))
     every = turns.withColumn("asked", F.lit(False))
     if asked is not None:
         every = every.unionByName(asked.select("stream_id", "seq", "text").withColumn("asked", F.lit(True)))
     masked, entries = mask_sessions(every, "stream_id", ("seq",), "text", rules, out="safe")
     if asked is not None:
-        masked = masked.join(turns.select("stream_id", "seq"), ["stream_id", "seq"], "left_semi")
+        masked = masked.join(as_long(turns.select("stream_id", "seq")), ["stream_id", "seq"], "left_semi")
     return masked.select("stream_id", "seq", "safe"), entries
 
 
@@ -165,5 +165,5 @@ def restored(masked: DataFrame, entries: DataFrame | None, rules: ScrubRules) ->
     """Released text with the masks of the request and the reply replaced by what they stand for."""
     if entries is None or not rules.reversible:
         return masked
-    found = unmask(checkpointed(masked), entries, ["stream_id", "seq"], "stream_id", "safe", rules, out="_restored")
+    found = unmask(written(masked), entries, ["stream_id", "seq"], "stream_id", "safe", rules, out="_restored")
     return found.select("stream_id", "seq", F.col("_restored").alias("safe"))

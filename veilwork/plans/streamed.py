@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.operators.budgets import settle_usage
 from veilwork.operators.released import BUFFER, mask_released, restored
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed
+from veilwork.session import as_long, written
 from veilwork.sources import sse
 
 
@@ -30,12 +30,15 @@ def streamed_replies(
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(None).cast(kind))
     created = F.coalesce("created", F.unix_timestamp())
-    parsed = sse.up_to_the_end(sse.parse_sse_lines(lines))
-    kept = checkpointed(parsed.select("stream_id", "seq", "line", "model", created.alias("created"), "kind", "payload", "piece", "is_done"))
+    # the shuffle up to the end mark takes the lines alone, and what a line says again isn't kept beside it
+    sent = lines.select("stream_id", "seq", "line", "model", created.alias("created"), sse.is_end(F.col("line")).alias("is_done"))
+    parsed = sse.parse_sse_lines(sse.up_to_the_end(sent))
+    kept = written(parsed.select("stream_id", "seq", "line", "model", "created", "kind", "piece", "is_done"))
     pieces = kept.where("kind = 'piece'").select("stream_id", "seq", F.col("piece").alias("text"))
     masked, entries = mask_released(pieces, kept.where("is_done").select("stream_id", "seq"), rules, asked, buffer)
     safe = restored(masked, entries, rules)
-    return kept.join(safe, ["stream_id", "seq"], "left").select(
+    whole = kept.drop("piece").join(as_long(safe), ["stream_id", "seq"], "left")
+    return whole.withColumn("payload", sse.payload_of(F.col("line"))).select(
         "stream_id", "seq", "kind", sse.line_out(F.col("safe"), F.col("model"), F.col("created")).alias("out")
     )
 
@@ -48,7 +51,7 @@ def settle_streamed(guarded: DataFrame, replies: DataFrame) -> DataFrame:
     """
     chunks = sse.completion_chunks(replies.select("stream_id", "kind"))
     ended = replies.where("kind = 'done'").select("stream_id")
-    counted = chunks.join(ended, "stream_id", "left_semi").select(
+    counted = chunks.join(as_long(ended), "stream_id", "left_semi").select(
         F.col("stream_id").alias("request_id"), F.lit(None).cast("bigint").alias("total_tokens"), "n_chunks"
     )
     return settle_usage(guarded, counted, estimate="estimated_tokens", chunks="n_chunks")

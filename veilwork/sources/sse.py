@@ -21,6 +21,18 @@ CHUNK_ID = "chatcmpl-stream-"
 CHUNK_TYPE = "struct<choices:array<struct<delta:struct<content:string>,text:string>>>"
 
 
+def payload_of(line: Column) -> Column:
+    """What a data line holds; null of any other line."""
+    return F.when(
+        line.startswith(PREFIX), strip(F.substring(line, F.lit(len(PREFIX) + 1), F.length(line)))
+    )
+
+
+def is_end(line: Column) -> Column:
+    """Whether a line is the end mark."""
+    return F.coalesce(payload_of(line) == DONE, F.lit(False))
+
+
 def parse_sse(line: Column) -> Column:
     """Struct ``kind, payload, piece, is_done``.
 
@@ -28,9 +40,6 @@ def parse_sse(line: Column) -> Column:
     content), text (legacy text), data (other JSON) or broken (data that isn't
     JSON); blank, other, data and broken lines pass through.
     """
-    payload = F.when(
-        line.startswith(PREFIX), strip(F.substring(line, F.lit(len(PREFIX) + 1), F.length(line)))
-    )
 
     def parsed(p: Column) -> Column:
         first = F.get(F.from_json(p, CHUNK_TYPE)["choices"], F.lit(0))
@@ -61,7 +70,7 @@ def parse_sse(line: Column) -> Column:
             F.coalesce(p == DONE, F.lit(False)).alias("is_done"),
         )
 
-    return let(payload, parsed)
+    return let(payload_of(line), parsed)
 
 
 def parse_sse_lines(df: DataFrame, line: str = "line") -> DataFrame:
