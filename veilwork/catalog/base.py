@@ -42,14 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A given table that is too small to have splits enough, dealt to all cores.
+    """A given table whose scan would leave cores without work, dealt to all of them.
 
-    The tables at hand are single files of one row group.  Anything above
-    ``SMALL_BYTES`` is left as it is scanned, so what this shuffles is bounded.
+    Splits are cut by bytes, but a row group goes whole to one of them: a table of few row groups has few tasks with rows,
+    however large it is.  Up to ``SMALL_BYTES`` a table is dealt; beyond, only if its fullest split holds more than a core's
+    share of the rows, which the files' footers tell.
     """
+    if df.isStreaming:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= SMALL_BYTES and not df.isStreaming else df
+    if size > SMALL_BYTES:
+        splits = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+        rows = splits.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        if rows["all"] is None or rows["most"] * cores <= rows["all"]:
+            return df
+    return df.repartition(cores * max(1, -(-size // SMALL_BYTES)))
 
 
 def query_over(df: DataFrame, name: str, sql: str) -> DataFrame:
@@ -100,7 +108,7 @@ SEEDED = (
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with ``seeded`` in place of ``text``; sessions of every 50th document."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "lang",
         F.expr("doc_id % 50").alias("session_id"),

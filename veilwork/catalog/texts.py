@@ -115,7 +115,7 @@ for _category in PRECEDENCE:
 def luhn_cards(spark, sf_dir):
     # every card-like run, with the verdict of the check digit
     rule = Rule("card_like", PATTERNS["credit_card"])
-    found = spread(seeded(spark, sf_dir)).select(
+    found = seeded(spark, sf_dir).select(
         "doc_id", F.explode_outer(find_hits(F.col("text"), rule)).alias("value")
     )
     return found.where(F.col("value").isNotNull()).select(
@@ -152,13 +152,13 @@ def mask_documents(spark, sf_dir):
 
 @query(masked_sql(SEEDED_SQL, ALL, "doc_id"))
 def mask_seeded(spark, sf_dir):
-    docs = spread(seeded(spark, sf_dir).select("doc_id", "text"))
+    docs = seeded(spark, sf_dir).select("doc_id", "text")
     return docs.select("doc_id", mask_text(F.col("text"), ALL).alias("masked"))
 
 
 @query(masked_sql(SEEDED_SQL, CUSTOM, "doc_id"))
 def mask_custom(spark, sf_dir):
-    docs = spread(seeded(spark, sf_dir).select("doc_id", "text"))
+    docs = seeded(spark, sf_dir).select("doc_id", "text")
     return docs.select("doc_id", mask_text(F.col("text"), CUSTOM).alias("masked"))
 
 
@@ -470,7 +470,7 @@ _PER_LANG = ", ".join(
 )
 def redaction_report(spark, sf_dir):
     """Documents, tokens and distinct masked values per language."""
-    docs = spread(seeded(spark, sf_dir).select("lang", "text"))
+    docs = seeded(spark, sf_dir).select("lang", "text")
     scanned = docs.select(
         "lang",
         estimate_tokens(F.col("text")).alias("tokens"),

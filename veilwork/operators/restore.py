@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.masking import restore_with
 from veilwork.functions.regex import jvm_pattern
 from veilwork.rules import ScrubRules
+from veilwork.session import as_long
 
 
 def masks_in(text: Column, rules: ScrubRules) -> Column:
@@ -74,7 +75,7 @@ def unmask(
         *keys, session, F.explode_outer(masks_in(F.col(text), rules)).alias("mask")
     ).where(F.col("mask").isNotNull())
     known = (
-        used.join(entries.select(session, "mask", "original"), [session, "mask"])
+        used.join(as_long(entries.select(session, "mask", "original")), [session, "mask"])
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("mask", "original")).alias("_entries"))
     )
@@ -83,7 +84,7 @@ def unmask(
     )
     # replies without a mask are not shuffled at all
     return (
-        holding.join(known, list(keys), "left")
+        holding.join(as_long(known), list(keys), "left")
         .withColumn(out, restored)
         .drop("_entries")
         .unionByName(replies.where(~may_hold).withColumn(out, F.col(text)))

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions.let import bound, let
-from veilwork.functions.masking import free_tag, has_hits, scan_text
+from veilwork.functions.masking import free_tag, scan_text
 from veilwork.operators.numbering import number_within
 from veilwork.rules import ScrubRules
-from veilwork.session import checkpointed
+from veilwork.session import as_long, checkpointed, written
 
 TURNS_PER_BUCKET = 1024
 
@@ -26,6 +26,14 @@ def scan_turns(
     df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules
 ) -> DataFrame:
     """Turns that contain something to mask, with tagged stand-ins in their text, and the tag."""
+    found = _scan_all(df, session, order, text, rules)
+    return found.where(F.size("scan.seen") > 0).select(session, *order, "scan")
+
+
+def _scan_all(
+    df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules
+) -> DataFrame:
+    """All turns with what the rules found in them."""
 
     def with_tag(tag):
         return let(
@@ -33,8 +41,7 @@ def scan_turns(
             lambda s: F.struct(s["text"].alias("text"), s["seen"].alias("seen"), tag.alias("tag")),
         )
 
-    scanned = bound(df.select(session, *order, text), "scan", let(free_tag(F.col(text)), with_tag))
-    return scanned.where(F.size("scan.seen") > 0).select(session, *order, "scan")
+    return bound(df.select(session, *order, text), "scan", let(free_tag(F.col(text)), with_tag))
 
 
 def turn_values(scanned: DataFrame, session: str, order: Sequence[str]) -> DataFrame:
@@ -121,14 +128,21 @@ def mask_sessions(
     if not rules.ordered:
         return df.select(*keys, F.col(text).alias(out)), None
 
-    scanned = checkpointed(scan_turns(df, session, order, text, rules))
+    # scanned once; of a turn with hits the scan is kept, of any other the text
+    hit = F.size("scan.seen") > 0
+    every = written(
+        _scan_all(df, session, order, text, rules).select(
+            *keys, F.when(~hit, F.col(text)).alias("_same"), F.when(hit, F.col("scan")).alias("scan")
+        )
+    )
+    scanned = every.where(F.col("scan").isNotNull()).select(*keys, "scan")
     values = turn_values(scanned, session, order)
     entries = session_map(values, session, order, rules)
 
     # a turn's own masks: as many as its own text has values
     of_turn = (
         values.join(
-            entries.select(session, F.col("original").alias("value"), "mask"), [session, "value"]
+            as_long(entries.select(session, F.col("original").alias("value"), "mask")), [session, "value"]
         )
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("stand_in", "mask")).alias("swap"))
@@ -147,13 +161,9 @@ def mask_sessions(
         "",
     )
     changed = (
-        scanned.join(of_turn, keys).withColumn("place", place).select(*keys, masked.alias(out))
-    )
-    same = (
-        bound(df.select(*keys, text), "_found", has_hits(F.col(text), rules))
-        .where(~F.col("_found"))
-        .select(*keys, F.col(text).alias(out))
+        scanned.join(as_long(of_turn), keys).withColumn("place", place).select(*keys, masked.alias(out))
     )
+    same = every.where(F.col("scan").isNull()).select(*keys, F.col("_same").alias(out))
     if not rules.reversible:
         return same.unionByName(changed), entries.where(F.lit(False))
     return same.unionByName(changed), restorable(entries, session, order, rules)
