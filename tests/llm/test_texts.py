@@ -108,6 +108,22 @@ def test_ratio_prefers_what_trusted_documents_hold(spark):
     assert quality.judge(odd_rows(spark), labels).count() == len(ODD)
 
 
+def test_quality_learns_from_every_trusted_document(spark):
+    assert not hasattr(quality, "TRUSTED")
+    ids = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality.trusted_ids(ids.unionByName(ids)).count() == 30_000
+
+
+def test_values_by_rank(spark):
+    numbers = [0.0] * 700 + [float(i * i % 1009) / 7 for i in range(900)] + [1e9, -1e-9]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(5).cache()
+    ordered = sorted(numbers)
+    for rank in (0, 1, 300, 701, 850, len(numbers) - 2, len(numbers) - 1):
+        assert quality.ranked(df, rank, held=10) == ordered[rank]
+    assert abs(quality.quantile(df, len(numbers), 0.9) - df.agg(F.percentile("x", 0.9)).first()[0]) < 1e-9
+
+
+
 # benchmark passages
 
 

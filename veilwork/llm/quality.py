@@ -1,7 +1,7 @@
 """Quality by a likelihood ratio of hashed n-grams, beside counted rules.
 
 Words and pairs of words are hashed into buckets. One multinomial over the buckets is counted
-from all documents, another from trusted ones; a document's score is the mean over its n-grams
+from all documents, another from all trusted ones; a document's score is the mean over its n-grams
 of log(trusted / raw). The threshold is one number for the table, read off the scores of the
 trusted documents: as far below their median as ``SPREADS`` times their median is above
 their 5 % quantile. Documents below it are dropped.
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import query, table
+from veilwork.llm.base import checkpointed, query, table
+from veilwork.session import written
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000  # at most so many trusted documents are used, those of least hash
+HELD = 10_000  # scores the driver sorts at a time
+BINS = 256
 SPREADS = 5.0
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -79,36 +81,24 @@ def rules(text: str | None, numbers: np.ndarray) -> tuple[int, int, int, int, in
     return len(numbers), len(text) - blanks, symbols, doubled, repeat_words(numbers)
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of all ``docs`` and of those whose id is in ``trusted``: two arrays of fixed size."""
+def ngram_counts(docs: DataFrame) -> np.ndarray:
+    """Bucket counts of all ``docs``: an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        own = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 words = _encoded(text).split()
                 if words:
-                    found = np.bincount(buckets(*_numbers(words)), minlength=BUCKETS)
-                    raw += found
-                    if chosen:
-                        target += found
-        held = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(raw[held]), pa.array(target[held])], names=["b", "r", "t"])
-
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select(F.col("doc_id"), F.lit(True).alias("chosen"))), "doc_id", "left"
-    )
-    sums = (
-        marked.select("text", "chosen")
-        .mapInArrow(count, "b bigint, r bigint, t bigint")
-        .groupBy("b")
-        .agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
-        .collect()  # a row per bucket
-    )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, t in sums:
-        raw[b], target[b] = r, t
-    return raw, target
+                    own += np.bincount(buckets(*_numbers(words)), minlength=BUCKETS)
+        held = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(own[held])], names=["b", "n"])
+
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
+    counts = np.zeros(BUCKETS)
+    for b, n in sums.collect():  # a row per bucket
+        counts[b] = n
+    return counts
 
 
 def ratio_weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -117,10 +107,9 @@ def ratio_weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(p / q)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids labelled as good; at most ``most``, those of least hash."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled as good."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def _scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -148,11 +137,41 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def threshold_of(docs: DataFrame, trusted: DataFrame, weights: np.ndarray) -> float:
-    """The least score that passes; without trusted documents that pass the base rules, any does."""
-    own = _scored(docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi"), weights).where(~_failed())
-    middle, low = own.agg(F.percentile("llr", [0.5, 0.05]).alias("p")).first()["p"] or (None, None)
-    return -math.inf if middle is None else middle - SPREADS * (middle - low) - 1e-12
+def ranked(values: DataFrame, rank: int, held: int = HELD) -> float:
+    """The value of that rank, from 0, in the one column ``x``: exact, by counts in ever narrower ranges.
+
+    At most ``held`` values come to the driver. Equal ones need no narrowing, however many.
+    """
+    least, most, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    while least < most and n > held:
+        place = F.floor((F.col("x") - least) / (most - least) * BINS)
+        bins = values.groupBy(F.least(place, F.lit(BINS - 1)).alias("bin")).agg(
+            F.min("x").alias("least"), F.max("x").alias("most"), F.count("x").alias("n")
+        )
+        for part in sorted(bins.collect()):
+            if rank < part["n"]:
+                break
+            rank -= part["n"]
+        least, most, n = part["least"], part["most"], part["n"]
+        values = values.where(F.col("x").between(least, most))
+    return least if least == most else sorted(r["x"] for r in values.collect())[rank]
+
+
+def quantile(values: DataFrame, n: int, share: float) -> float:
+    """The quantile of ``n`` values, between two ranks in proportion."""
+    below, part = divmod(share * (n - 1), 1)
+    low = ranked(values, int(below))
+    return low if not part else (1 - part) * low + part * ranked(values, int(below) + 1)
+
+
+def threshold_of(own: DataFrame, weights: np.ndarray) -> float:
+    """The least score that passes, by the trusted documents ``own``; without any that passes the base rules, any does."""
+    scores = checkpointed(_scored(own, weights).where(~_failed()).select(F.col("llr").alias("x")))
+    n = scores.count()
+    if not n:
+        return -math.inf
+    middle, low = quantile(scores, n, 0.5), quantile(scores, n, 0.05)
+    return middle - SPREADS * (middle - low) - 1e-12
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,10 +181,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     any trusted label all weights are even and only the base rules decide. Repeated rows are judged
     each; a null id is never trusted; other columns are not read.
     """
-    trusted = trusted_ids(labels)
-    raw, target = ngram_counts(docs, trusted)
+    own = written(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi"))
+    raw, target = ngram_counts(docs), ngram_counts(own)
     weights = ratio_weights(raw, target) if target.any() else np.zeros(BUCKETS)
-    least = threshold_of(docs, trusted, weights)
+    least = threshold_of(own, weights)
     return _scored(docs, weights).select(
         "doc_id", *COUNTS, _failed().alias("base_failed"), (~_failed() & (F.col("llr") >= F.lit(least))).alias("kept"), "llr"
     )
