@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import plain
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions.masking import (
     MESSAGE_TYPE,
+    find_hits,
     luhn_valid,
     mask_messages,
     mask_prompts,
@@ -16,7 +18,7 @@ from veilwork.functions.masking import (
     restore_with,
 )
 from veilwork.operators import detect, restore, sessions
-from veilwork.rules import ScrubRules
+from veilwork.rules import PATTERNS, ScrubRules, literal_start
 
 MIXED = ScrubRules(
     custom_patterns={
@@ -200,3 +202,26 @@ def test_a_wide_session_spreads_over_buckets(spark):
         != F.concat(F.lit("to [EMAIL_"), F.col("turn") + 1, F.lit("] and [EMAIL_1]"))
     )
     assert masked.count() == n and wrong.count() == 0
+
+
+def test_what_is_tested_before_a_pattern(spark):
+    """A custom rule's plain beginning and an e-mail's sign are tested first, and change no result."""
+    assert literal_start(r"\buser\d+@corp\.io\b") == "user"
+    assert literal_start(r"\bsk-0+\d+\b") == "sk-0" and literal_start(r"\bab?c") == "a"
+    assert [literal_start(p) for p in (r"\ba|b", r"user\d", r"\b[ab]c", r"\ba*")] == [None] * 4
+    rules = ScrubRules(custom_patterns={"door": r"\bhost 10\.0\.\d+"})
+    assert {r.category: (r.guard, r.sign) for r in rules.ordered if r.category in ("door", "email")} == {
+        "door": ("host 10", None),
+        "email": ("@", "@"),
+    }
+    texts = [
+        "a@b.io", "  a@b.io  c@d.io ", "x\na@b.io\tc@d.io,e@f.io", "@ a @b.io", "é.a@b.io ſa@b.io a@b.ioé z",
+        "a\x01b a@b.io \x01", "\x01﷒﷑﷒ a@b.io", "one host 10.0.7 Host 10.0.8 xhost 10.0.9", "", " ",
+        "gho_" + "a" * 36 + " SK-" + "b" * 20 + " acceſſ-toKen=" + "c" * 20 + " KEY api_key: " + "d" * 20,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", mask_text(F.col("t"), rules).alias("m")).collect()}
+    assert got == {i: plain.mask_session([t], rules)[0][0] for i, t in enumerate(texts)}
+    hits = df.select("i", find_hits(F.col("t"), next(r for r in rules.ordered if r.sign)).alias("h")).collect()
+    flags = re.IGNORECASE
+    assert {r["i"]: r["h"] for r in hits} == {i: re.findall(PATTERNS["email"], t, flags) for i, t in enumerate(texts)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from veilwork.rules import LUHN_CATEGORY, Rule, ScrubRules
 
 # Unicode noncharacters, in no pattern's classes: the filling and the ends of a tag.
 TAG_FILL, TAG_END = "\ufdd1", "\ufdd2"
+# Where no rule sees the tag it may be this, which keeps a text of one byte a character what it is.
+PLAIN_TAG = "\x01"
 
 SEEN_TYPE = "array<struct<value:string,category:string,rule:int,mask:string>>"
 HITS_TYPE = "array<struct<rule:int,category:string,ordinal:int,value:string>>"
@@ -30,9 +34,32 @@ def luhn_valid(value: Column) -> Column:
     return F.length(digits).between(13, 19) & (total % 10 == 0)
 
 
+def _words(text: Column) -> Column:
+    """What stands between blanks. A hit without blanks lies in one of them, and a word boundary at its edges is one there."""
+    return F.split(text, " ", -1)
+
+
+def _tagged(text: Column, rule: Rule, tag: Column) -> Column:
+    """``text`` with every hit of the rule between two tags."""
+
+    def swap(t: Column) -> Column:
+        return F.regexp_replace(t, F.lit(rule.jvm), F.concat(tag, F.lit("$0"), tag))
+
+    if not rule.sign:
+        return swap(text)
+    # the matcher runs on the few words that hold the sign
+    return F.array_join(
+        F.transform(_words(text), lambda w: F.when(F.contains(w, F.lit(rule.sign)), swap(w)).otherwise(w)), " "
+    )
+
+
 def find_hits(text: Column, rule: Rule) -> Column:
     """Every non-overlapping hit of one rule in ``text``, in order, as an array."""
-    hits = F.regexp_extract_all(text, F.lit(rule.jvm), F.lit(0))
+    if rule.sign:
+        words = F.filter(_words(text), lambda w: F.contains(w, F.lit(rule.sign)))
+        hits = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(rule.jvm), F.lit(0))))
+    else:
+        hits = F.regexp_extract_all(text, F.lit(rule.jvm), F.lit(0))
     if rule.category == LUHN_CATEGORY:
         hits = F.filter(hits, luhn_valid)
     if rule.guard:
@@ -51,11 +78,16 @@ def has_hits(text: Column, rules: ScrubRules) -> Column:
             if rule.guard:
                 hit = text.rlike(rule.guard) & hit
         answer = answer | hit
-    if rules.text_guard:
-        answer = text.rlike(rules.text_guard) & answer
+    if rules.text_guards:
+        answer = _may_hold(text, rules) & answer
     return F.coalesce(answer, F.lit(False))
 
 
+def _may_hold(text: Column, rules: ScrubRules) -> Column:
+    """Whether a text satisfies one of the guards; apart, for a matcher with one class is the fastest."""
+    return reduce(Column.__or__, [text.rlike(g) for g in rules.text_guards])
+
+
 def _pick(k: Column, rules: ScrubRules, choose) -> Column:
     """A per-rule literal, by rule number."""
     return F.get(F.array(*[F.lit(choose(rule)) for rule in rules.ordered]), k)
@@ -71,9 +103,9 @@ def _cut(text: Column, k: Column, rules: ScrubRules) -> Column:
     branches = None
     for number, rule in enumerate(rules.ordered):
         cut = let(
-            free_tag(text),
-            lambda tag: F.split(
-                F.regexp_replace(text, F.lit(rule.jvm), F.concat(tag, F.lit("$0"), tag)), tag, -1
+            F.when(F.contains(text, F.lit(PLAIN_TAG)), free_tag(text)).otherwise(F.lit(PLAIN_TAG)),
+            lambda tag: let(
+                _tagged(text, rule, tag), lambda t: F.when(t == text, uncut).otherwise(F.split(t, tag, -1))
             ),
         )
         if rule.guard:
@@ -183,8 +215,8 @@ def scan_text(
     numbers = F.array(*[F.lit(k) for k in range(len(rules.ordered))])
     scanned = F.aggregate(numbers, start, apply_rule)
     worth_it = F.length(text) > 0
-    if rules.text_guard:
-        worth_it = worth_it & text.rlike(rules.text_guard)
+    if rules.text_guards:
+        worth_it = worth_it & _may_hold(text, rules)
     return F.when(worth_it, scanned).otherwise(start)
 
 
