@@ -12,6 +12,7 @@ from veilwork.operators import sessions
 from veilwork.plans import streamed
 from veilwork.rules import ScrubRules
 from veilwork.session import shared_dir
+from veilwork.sources import sse
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,6 +52,13 @@ def test_sessions_are_scanned_once(spark):
     assert rows == [(1, 0, "mail [EMAIL_1]"), (1, 1, "nothing here"), (1, 2, "[EMAIL_1] again"), (1, 2, None)]
 
 
+def test_payloads_are_parsed_once(spark):
+    lines = spark.range(3).selectExpr("id AS stream_id", "id AS seq", "concat('data: {\"choices\": [{\"text\": \"', id, '\"}]}') AS line")
+    parsed = sse.parse_sse_lines(lines)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["piece"] for r in parsed.orderBy("seq").collect()] == ["0", "1", "2"]
+
+
 def test_lines_are_kept_once(spark):
     lines = spark.createDataFrame(
         [(1, 0, 'data: {"choices": [{"delta": {"content": "to a@b.io now"}}]}'), (1, 1, "data: [DONE]"), (1, 2, "data: late")],

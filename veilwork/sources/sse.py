@@ -43,13 +43,14 @@ def parse_sse(line: Column) -> Column:
 
     def parsed(p: Column) -> Column:
         first = F.get(F.from_json(p, CHUNK_TYPE)["choices"], F.lit(0))
-        return let(
-            F.struct(
-                p.alias("payload"),
-                F.when(F.length(first["delta"]["content"]) > 0, first["delta"]["content"]).alias("delta"),
-                F.when(F.length(first["text"]) > 0, first["text"]).alias("text"),
-            ),
-            sorted_out,
+        # bound before it is looked into: each mention of it would parse the payload again
+        return let(F.when(p != DONE, first), lambda c: let(chosen(p, c), sorted_out))
+
+    def chosen(p: Column, first: Column) -> Column:
+        return F.struct(
+            p.alias("payload"),
+            F.when(F.length(first["delta"]["content"]) > 0, first["delta"]["content"]).alias("delta"),
+            F.when(F.length(first["text"]) > 0, first["text"]).alias("text"),
         )
 
     def sorted_out(c: Column) -> Column:
