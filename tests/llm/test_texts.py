@@ -114,6 +114,21 @@ def test_quality_learns_from_every_trusted_document(spark):
     assert quality.trusted_ids(ids.unionByName(ids)).count() == 30_000
 
 
+def test_trusted_documents_are_scored_once_with_all_others(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(1, 80 + i)) for i in range(40)]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[5])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    scored, all_scores = [], quality._scored
+    monkeypatch.setattr(quality, "_scored", lambda docs, weights: scored.append(docs) or all_scores(docs, weights))
+    rows = quality.judge(df, labels).collect()
+    assert len(scored) == 1 and len(rows) == 41
+    own = sorted(r["llr"] for r in rows if r["doc_id"] % 2 == 0 and not r["base_failed"])
+    rank = lambda x: own[int(x)] + (x % 1) * (own[min(int(x) + 1, len(own) - 1)] - own[int(x)])
+    middle, low = rank(0.5 * (len(own) - 1)), rank(0.05 * (len(own) - 1))
+    least = middle - quality.SPREADS * (middle - low)
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= least - 1e-9) for r in rows)
+
+
 def test_values_by_rank(spark):
     numbers = [0.0] * 700 + [float(i * i % 1009) / 7 for i in range(900)] + [1e9, -1e-9]
     df = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(5).cache()

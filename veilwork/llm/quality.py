@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import checkpointed, query, table
-from veilwork.session import written
+from veilwork.session import as_long, written
 
 BUCKETS = 1 << 14
 HELD = 10_000  # scores the driver sorts at a time
@@ -164,9 +164,8 @@ def quantile(values: DataFrame, n: int, share: float) -> float:
     return low if not part else (1 - part) * low + part * ranked(values, int(below) + 1)
 
 
-def threshold_of(own: DataFrame, weights: np.ndarray) -> float:
-    """The least score that passes, by the trusted documents ``own``; without any that passes the base rules, any does."""
-    scores = checkpointed(_scored(own, weights).where(~_failed()).select(F.col("llr").alias("x")))
+def threshold_of(scores: DataFrame) -> float:
+    """The least score that passes, by those of the trusted documents (``x``); without any that passes the base rules, any does."""
     n = scores.count()
     if not n:
         return -math.inf
@@ -180,12 +179,18 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text has no words: its counts are 0, its score is 0 and the base rules fail it. Without
     any trusted label all weights are even and only the base rules decide. Repeated rows are judged
     each; a null id is never trusted; other columns are not read.
+
+    Every document is scored once, and the scores are written. Texts are shuffled once, for the counts of trusted
+    ones, always in the same way: a broadcast of few ids would give way to a shuffle at some size.
     """
-    own = written(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi"))
-    raw, target = ngram_counts(docs), ngram_counts(own)
+    ids = as_long(checkpointed(trusted_ids(labels)))
+    raw = ngram_counts(docs)
+    target = ngram_counts(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     weights = ratio_weights(raw, target) if target.any() else np.zeros(BUCKETS)
-    least = threshold_of(own, weights)
-    return _scored(docs, weights).select(
+    scored = written(_scored(docs, weights))
+    passed = scored.where(~_failed()).select("doc_id", F.col("llr").alias("x"))
+    least = threshold_of(checkpointed(passed.join(ids, "doc_id", "left_semi").select("x")))
+    return scored.select(
         "doc_id", *COUNTS, _failed().alias("base_failed"), (~_failed() & (F.col("llr") >= F.lit(least))).alias("kept"), "llr"
     )
 
