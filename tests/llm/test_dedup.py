@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -301,3 +304,9 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.groupBy("shard").count().where("count = 25").count() == 4
+
+
+def test_simhash_tasks_need_no_pandas():
+    """A worker that imports it keeps it from stage to stage."""
+    code = "import sys, veilwork.llm.simhash; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], timeout=60).returncode == 0

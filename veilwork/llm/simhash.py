@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -124,14 +123,15 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = nodes.sparkSession
     schema = "a bigint, b bigint"
 
-    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
-    def join_key(column: pd.Series) -> pd.Series:
-        out = []
-        for values in column:
-            fps = np.sort(np.asarray(values, np.int64).view(np.uint64))
-            own = fps.view(np.int64)
-            out.append([(int(own[i]), int(own[j])) for i, j in _joined(fps, BITS)])
-        return pd.Series(out)
+    def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for values in batch.column(0):
+                fps = np.sort(values.values.to_numpy().view(np.uint64))
+                if pairs := _joined(fps, BITS):
+                    found.append(fps.view(np.int64)[np.array(pairs)])
+            a, b = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     links = spark.createDataFrame([], schema)
     masks = [_head_mask(s, q) for s, q in _chain_heads()]
@@ -144,7 +144,7 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         # a key that leaves eight bits free has at most 256 fingerprints
         large = (F.col("n") > block) & F.col("mask").isin([_signed(m) for m in finer]) if finer else F.lit(False)
         small = shared.where(~large).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        links = links.union(small.select(F.explode(join_key("fps")).alias("l")).select("l.a", "l.b").distinct())
+        links = links.union(small.select("fps").mapInArrow(join_keys, schema).distinct())
         left = {r["mask"] for r in counts.where(large).select("mask").distinct().collect()}  # masks, not data
         if not left:
             return links
