@@ -49,6 +49,8 @@ _MARK = np.array([chr(i) in ".!?,;:" for i in range(256)])
 _LETTER = np.random.default_rng(42).integers(1, 1 << 63, 256, np.uint64)
 _BLANK = np.array([chr(i).isascii() and chr(i).isspace() for i in range(256)])
 _WIDE_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+# one context for a worker: each new one takes as long as a text
+_expand = zstandard.ZstdDecompressor().decompress
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -246,7 +248,7 @@ def passages(text: str, origins: list[dict], row: int) -> list[tuple[int, int]]:
     for o in origins:
         body = o["body"] if isinstance(o["body"], bytes) else o["body"].encode()
         if o.get("packed"):
-            body = zstandard.ZstdDecompressor().decompress(body)
+            body = _expand(body)
         first = max(0, o["first"])
         other = np.frombuffer(body, np.uint8)[first - o["first"] :]
         size = min(len(other), len(data) - first)
@@ -337,7 +339,7 @@ def _pack(at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=2).compress
         for batch in batches:
-            texts = pa.array([None if t is None else shrink(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            texts = pa.array([None if t is None else shrink(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
             columns = [texts if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -345,7 +347,7 @@ def _pack(at: int):
 
 
 def _unpacked(data: bytes | None) -> str | None:
-    return None if data is None else zstandard.ZstdDecompressor().decompress(data).decode()
+    return None if data is None else _expand(data).decode()
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +357,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row, data, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = zstandard.ZstdDecompressor().decompress(data)
+            raw = _expand(data)
             starts, ends = words_at(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
             for w in wanted:
                 a = starts[max(0, np.searchsorted(starts, w["from_first"]) - MARGIN)]
