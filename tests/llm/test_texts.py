@@ -356,6 +356,41 @@ def test_language_model_odd_rows(spark):
     assert lm.score(odd_rows(spark).where("false")).count() == 0
 
 
+def of_two_kinds(spark, n=120):
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "ab"]
+    rows = [(i, " ".join([*rng.choices(kinds[i % 2], k=rng.randint(5, 40)), f"own{i}"])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").localCheckpoint()
+
+
+def test_groups_count_all_training_documents(spark):
+    docs = of_two_kinds(spark).selectExpr("doc_id AS row", "doc_id", "doc_id % 7 = 2 AS held_out", "text")
+    words = sorted({w for r in docs.where("not held_out").collect() for w in lm.tokens_of(r["text"])})
+    training = lm.encoded(docs, words).where("not held_out")
+    centres = lm.centres_of(training)
+    counts = np.zeros((lm.GROUPS, len(words)))
+    for r in training.collect():
+        group = lm.nearest(np.frombuffer(r["sketch"], np.float32)[None], centres)[0]
+        np.add.at(counts[group], np.frombuffer(r["ids"], "<i4"), 1)
+    home = lm.homes(training, words, centres)
+    assert home.tolist() == np.argmax(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), axis=0).tolist()
+    # the words of one kind are never at home with those of the other
+    of = {k: {g for w, g in zip(words, home) if w[:1] == k and w[1:].isdigit()} for k in (b"a", b"b")}
+    assert not of[b"a"] & of[b"b"]
+
+
+def test_model_knows_no_sample(spark, monkeypatch):
+    docs = of_two_kinds(spark)
+
+    def scores():
+        return [r["score"] for r in lm.score(docs).orderBy("doc_id").collect()]
+
+    want = scores()
+    for name in ("SAMPLE", "EPOCHS"):
+        monkeypatch.setattr(lm, name, 2, raising=False)
+    assert np.allclose(scores(), want, rtol=1e-4)
+
+
 @has_tables
 def test_recurrent_beats_single_words(spark):
     held = lm.score(spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")).where("held_out").collect()
