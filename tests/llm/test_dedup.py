@@ -310,3 +310,8 @@ def test_simhash_tasks_need_no_pandas():
     """A worker that imports it keeps it from stage to stage."""
     code = "import sys, veilwork.llm.simhash; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], timeout=60).returncode == 0
+
+
+def test_packing_tasks_need_no_pandas():
+    code = "import sys, veilwork.llm.packing; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], timeout=60).returncode == 0

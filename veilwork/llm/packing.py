@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ POPULATION = 5
 CHILDREN = 6  # an epoch and island
 WELL = 0.99  # of the limit: such a sequence is closed
 SEED = 11
-CACHE = 4_000_000  # characters of words whose ids a process keeps
+CACHE = 1_500_000  # characters of words whose ids a process keeps
 END = b"\0\0\0\0"
 
 
@@ -65,7 +64,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
         self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
         self.held = 0  # characters of the words known
 
     def _whole(self, words: list[str]) -> Iterator[bytes]:
@@ -73,10 +71,11 @@ class WordIds:
 
     def _core(self, letters: str) -> bytes:
         word = letters.lower()
-        ids = self.cores.get(word)
+        ids = self.known.get(word)
         if ids is None:
             signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            ids = self.cores[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
+            ids = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
+            self.held += len(word)
         return ids
 
     def _learn(self, words: set[str]) -> None:
@@ -88,9 +87,9 @@ class WordIds:
             elif not plain[2]:
                 self.known[word] = self._core(word)
             else:
-                tail = self.cores.get(plain[2])
+                tail = self.known.get(plain[2])
                 if tail is None:
-                    tail = self.cores[plain[2]] = next(self._whole([plain[2]]))
+                    tail = self.known[plain[2]] = next(self._whole([plain[2]]))
                 self.known[word] = self._core(plain[1]) + tail
         self.known.update(zip(odd, self._whole(odd)))
 
@@ -100,7 +99,7 @@ class WordIds:
         if new:
             size = sum(map(len, new))
             if self.held + size > CACHE:
-                self.known, self.cores, self.held = {"": b""}, {}, 0
+                self.known, self.held = {"": b""}, 0
                 new = set(words)
                 new.discard("")
                 size = sum(map(len, new))
@@ -230,6 +229,17 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], limit: int, rng: n
 _STATE = "block bigint, island int, lengths binary, population binary, elite binary, sequences int, fit double"
 
 
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.float64()]
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    columns = list(zip(*found)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _sorted(found: pa.Table) -> pa.Table:
+    return found.sort_by([("length", "descending"), ("item", "ascending")]).combine_chunks()
+
+
 def _row(block: int, island: int, lengths: np.ndarray, population: list[np.ndarray], limit: int) -> tuple:
     count, fit = fitness(lengths, population[0], limit)
     pack = lambda a: np.asarray(a, "<i4").tobytes()
@@ -239,27 +249,26 @@ def _row(block: int, island: int, lengths: np.ndarray, population: list[np.ndarr
 def _islands(items: DataFrame, limit: int) -> DataFrame:
     """State after the last epoch: a row per block and island."""
 
-    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, island = (int(k) for k in key)
-        lengths = pdf.sort_values(["length", "item"], ascending=[False, True])["length"].to_numpy()
+    def settle(key: tuple, found: pa.Table) -> pa.Table:
+        block, island = (k.as_py() for k in key)
+        lengths = _sorted(found)["length"].to_numpy()
         rng = np.random.default_rng([SEED, block, island])
         first = [fresh(lengths, limit, rng, 0.0 if n + island == 0 else 0.02 * (n + island)) for n in range(POPULATION)]
-        return pd.DataFrame([_row(block, island, lengths, evolve(lengths, first, limit, rng), limit)], columns=names)
+        return pa.Table.from_batches([_rows([_row(block, island, lengths, evolve(lengths, first, limit, rng), limit)])])
 
-    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                lengths = np.frombuffer(r.lengths, "<i4").astype(int)
-                genomes = np.frombuffer(r.population, "<i4").astype(int).reshape(-1, len(lengths))
-                rng = np.random.default_rng([SEED, r.block, r.island, r.epoch])
-                grown = evolve(lengths, [*genomes, np.frombuffer(r.migrant, "<i4").astype(int)], limit, rng)
-                out.append(_row(r.block, r.island, lengths, grown, limit))
-            yield pd.DataFrame(out, columns=names)
+            for r in batch.to_pylist():
+                lengths = np.frombuffer(r["lengths"], "<i4").astype(int)
+                genomes = np.frombuffer(r["population"], "<i4").astype(int).reshape(-1, len(lengths))
+                rng = np.random.default_rng([SEED, r["block"], r["island"], r["epoch"]])
+                grown = evolve(lengths, [*genomes, np.frombuffer(r["migrant"], "<i4").astype(int)], limit, rng)
+                out.append(_row(r["block"], r["island"], lengths, grown, limit))
+            yield _rows(out)
 
-    names = [c.split()[0] for c in _STATE.split(", ")]
     everywhere = items.select("block", "item", "length", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    state = everywhere.groupBy("block", "island").applyInPandas(settle, _STATE)
+    state = everywhere.groupBy("block", "island").applyInArrow(settle, _STATE)
     for epoch in range(1, EPOCHS):
         state = checkpointed(state)  # both sides of the join read it
         migrants = state.select(
@@ -268,7 +277,7 @@ def _islands(items: DataFrame, limit: int) -> DataFrame:
         state = (
             state.join(migrants, ["block", "island"])
             .withColumn("epoch", F.lit(epoch))
-            .mapInPandas(go_on, _STATE)
+            .mapInArrow(go_on, _STATE)
         )
     return state
 
@@ -281,19 +290,24 @@ def _round(items: DataFrame, limit: int) -> DataFrame:
         .agg(F.min_by("elite", F.struct("sequences", (-F.col("fit")).alias("worse"), "island")).alias("elite"))
     )
 
-    def lay(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "item"], ascending=[False, True]).reset_index(drop=True)
-        pdf["seq"] = np.frombuffer(chosen["elite"].iloc[0], "<i4").astype(np.int64)
-        by_seq = pdf.groupby("seq")["length"]
-        pdf["place"] = by_seq.cumsum() - pdf["length"]
-        pdf["fill"] = by_seq.transform("sum")
-        return pdf
+    def lay(found: pa.Table, chosen: pa.Table) -> pa.Table:
+        found = _sorted(found)
+        lengths = found["length"].to_numpy()
+        seq = np.frombuffer(chosen["elite"][0].as_py(), "<i4").astype(np.int64)
+        order = np.argsort(seq, kind="stable")
+        ends = np.cumsum(lengths[order])
+        place = np.empty(len(seq), np.int64)
+        place[order] = ends - lengths[order] - np.concatenate([[0], np.cumsum(np.bincount(seq, lengths))])[seq[order]].astype(np.int64)
+        fill = np.bincount(seq, lengths).astype(np.int64)[seq]
+        for name, column in (("seq", seq), ("place", place), ("fill", fill)):
+            found = found.append_column(name, pa.array(column))
+        return found
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     return (
         items.groupBy("block")
         .cogroup(best.groupBy("block"))
-        .applyInPandas(lay, f"{schema}, seq bigint, place bigint, fill bigint")
+        .applyInArrow(lay, f"{schema}, seq bigint, place bigint, fill bigint")
     )
 
 
