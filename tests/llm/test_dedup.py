@@ -315,3 +315,11 @@ def test_simhash_tasks_need_no_pandas():
 def test_packing_tasks_need_no_pandas():
     code = "import sys, veilwork.llm.packing; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], timeout=60).returncode == 0
+
+
+def test_texts_are_packed_and_shuffled_once(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" own{i}.") for i in range(20)]
+    found = lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").checkpoint())
+    assert sum(r["lost_passages"] for r in found.collect()) == 19
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1

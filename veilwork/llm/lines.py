@@ -310,20 +310,22 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     outer = cuts.select("from_row", "from_first", "from_last").distinct()
     wanted = outer.groupBy(F.col("from_row").alias("row")).agg(F.collect_list(F.struct("from_first", "from_last")).alias("wanted"))
-    packed = lean.mapInArrow(_pack(1), "row bigint, text binary")
-    fetched = packed.join(wanted, "row").mapInArrow(
-        _fetch, "from_row bigint, from_first bigint, from_last bigint, begin bigint, body binary"
+    at = docs.columns.index(name)
+    kinds = [("binary" if i == at else f.dataType.simpleString(), f.name) for i, f in enumerate(docs.schema)]
+    packed = rows.mapInArrow(_pack(at), ", ".join(f"`{n}` {k}" for k, n in [*kinds, ("bigint", row)]))
+    # both joins below take the whole rows, filtered alike, so that they are packed and shuffled once
+    packed = packed.where(F.col(f"`{row}`").isNotNull())
+    wanted_name = free_name(rows, "wanted")
+    fetched = packed.join(wanted.toDF(row, wanted_name), row).select(*[F.col(f"`{c}`") for c in [*rows.columns, wanted_name]]).mapInArrow(
+        _fetch(at, len(docs.columns)), "from_row bigint, from_first bigint, from_last bigint, begin bigint, body binary"
     )
     origins = (
         cuts.join(fetched, ["from_row", "from_first", "from_last"])
         .groupBy(F.col("row").alias(row))
         .agg(F.collect_list(F.struct("from_row", "shift", (F.col("begin") + F.col("shift")).alias("first"), "body", F.lit(True).alias("packed"))).alias("origins"))
     )
-    at = docs.columns.index(name)
-    kinds = [("binary" if i == at else f.dataType.simpleString(), f.name) for i, f in enumerate(docs.schema)]
-    all_packed = rows.mapInArrow(_pack(at), ", ".join(f"`{n}` {k}" for k, n in [*kinds, ("bigint", row)]))
     origin_name = free_name(rows, "origins")
-    both = all_packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
+    both = packed.join(origins.withColumnRenamed("origins", origin_name), row, "left")
     ordered = both.select(*[F.col(f"`{c}`") for c in [*rows.columns, origin_name]])
     kept = [f"`{f.name}` {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
     added = count_names(docs)
@@ -346,25 +348,33 @@ def _pack(at: int):
     return work
 
 
+def _raw(data: bytes) -> bytes:
+    return _expand(data)
+
+
 def _unpacked(data: bytes | None) -> str | None:
-    return None if data is None else _expand(data).decode()
+    return None if data is None else _raw(data).decode()
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(at: int, width: int):
     kinds = [pa.int64()] * 4 + [pa.binary()]
     names = ["from_row", "from_first", "from_last", "begin", "body"]
-    shrink = zstandard.ZstdCompressor(level=2).compress
-    for batch in batches:
-        out = []
-        for row, data, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = _expand(data)
-            starts, ends = words_at(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
-            for w in wanted:
-                a = starts[max(0, np.searchsorted(starts, w["from_first"]) - MARGIN)]
-                b = ends[min(len(ends) - 1, np.searchsorted(starts, w["from_last"]) + MARGIN)]
-                out.append((row, w["from_first"], w["from_last"], int(a), shrink(raw[a:b])))
-        columns = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=2).compress
+        for batch in batches:
+            out = []
+            for row, data, wanted in zip(*(batch.column(i).to_pylist() for i in (width, at, width + 1))):
+                raw = _raw(data)
+                starts, ends = words_at(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))
+                for w in wanted:
+                    a = starts[max(0, np.searchsorted(starts, w["from_first"]) - MARGIN)]
+                    b = ends[min(len(ends) - 1, np.searchsorted(starts, w["from_last"]) + MARGIN)]
+                    out.append((row, w["from_first"], w["from_last"], int(a), shrink(raw[a:b])))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return work
 
 
 def _cut(at: int, width: int, added: list[str]):
