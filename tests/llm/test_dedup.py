@@ -319,7 +319,14 @@ def test_packing_tasks_need_no_pandas():
 
 def test_texts_are_packed_and_shuffled_once(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" own{i}.") for i in range(20)]
-    found = lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").checkpoint())
-    assert sum(r["lost_passages"] for r in found.collect()) == 19
-    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("ReusedExchange") == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").checkpoint()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is known before it runs
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = lines.drop_repeats(docs)
+        assert found._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+        assert sum(r["lost_passages"] for r in found.collect()) == 19
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
