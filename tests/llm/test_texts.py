@@ -402,6 +402,14 @@ def test_recurrent_beats_single_words(spark):
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
+def test_encoder_is_given_up():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        packing.encoder(file.read())
+    assert packing._encoders
+    packing.forget_words()
+    assert not packing._encoders
+
+
 def check_packed(rows, limit):
     by_seq = defaultdict(list)
     for r in rows:

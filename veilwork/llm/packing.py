@@ -119,6 +119,11 @@ def encoder(tokenizer_json: str) -> WordIds:
     return _encoders[key]
 
 
+def forget_words() -> None:
+    """Give up this process's encoder: it would be kept through all later work of the worker."""
+    _encoders.clear()
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` per piece of at most ``limit`` ids; an id 0 ends each document."""
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -250,6 +255,7 @@ def _islands(items: DataFrame, limit: int) -> DataFrame:
     """State after the last epoch: a row per block and island."""
 
     def settle(key: tuple, found: pa.Table) -> pa.Table:
+        forget_words()  # the pieces are made
         block, island = (k.as_py() for k in key)
         lengths = _sorted(found)["length"].to_numpy()
         rng = np.random.default_rng([SEED, block, island])
