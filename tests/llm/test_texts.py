@@ -410,6 +410,28 @@ def test_encoder_is_given_up():
     assert not packing._encoders
 
 
+def test_words_outlast_the_bound(monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, encoding="utf-8") as file:
+        tokenizer_json = file.read()
+    monkeypatch.setattr(packing, "CACHE", 2400)
+    encode, whole, merged, odd = packing.WordIds(tokenizer_json), Tokenizer.from_str(tokenizer_json), Counter(), []
+    merge, apart = encode.merge, encode._whole
+    encode.merge = lambda signs: merged.update([signs]) or merge(signs)
+    encode._whole = lambda words: odd.extend(words) or apart(words)
+    rng = random.Random(4)
+    letters = "abcdefghij\u00e9\u00dfK"
+    signs = ["", "", "***", "$$$", ".", "!?", "'", "<|", "%%%,"]
+    for n in range(400):
+        words = ["Always***", "always"] + ["".join(rng.choices(letters, k=8)) + rng.choice(signs) for _ in range(10)] + ["***", ""]
+        assert encode(" ".join(words)) == np.array(whole.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert merged["always"] == 1  # met in every text, so it stays when others go
+    assert len(merged) > 3000 and set(odd) <= set(signs)  # punctuation goes apart
+    assert all(r.held <= r.bound + 200 for r in (encode.words, encode.parts))
+    assert sum(len(w) for r in (encode.words, encode.parts) for d in (r.now, r.before) for w in d) <= packing.CACHE + 800
+
+
 def check_packed(rows, limit):
     by_seq = defaultdict(list)
     for r in rows:

@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,12 @@ POPULATION = 5
 CHILDREN = 6  # an epoch and island
 WELL = 0.99  # of the limit: such a sequence is closed
 SEED = 11
-CACHE = 1_500_000  # characters of words whose ids a process keeps
+CACHE = 1_500_000  # characters of words, and of their parts, whose ids a process keeps
 END = b"\0\0\0\0"
 
 
-# A plain word: Latin letters that have one code point each, then punctuation.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+# Letters that have one code point each; with ASCII punctuation behind them they make a plain word.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
 
 def byte_signs() -> dict[int, int]:
@@ -50,11 +51,25 @@ def byte_signs() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+class Recent:
+    """Ids of words met lately. ``now`` holds up to a bound of characters, then it becomes ``before`` and starts anew."""
+
+    def __init__(self, bound: int) -> None:
+        self.bound, self.held = bound, 0
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def make_room(self) -> None:
+        if self.held > self.bound:
+            self.now, self.before, self.held = {}, self.now, 0
+
+
 class WordIds:
     """Token ids as little-endian bytes. The tokenizer drops white space, so words between blanks encode alone.
 
     Plain words go to the vocabulary's merges directly, lower-cased and byte for sign as the tokenizer
-    does it; all others through the whole tokenizer. Words are remembered up to a bound.
+    does it, and their punctuation is encoded apart; all others through the whole tokenizer. Words and parts are
+    remembered up to a bound, and parts for longer, as they cost more.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -63,49 +78,57 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
-        self.known: dict[str, bytes] = {"": b""}
-        self.held = 0  # characters of the words known
+        self.binary = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
+        self.words, self.parts = Recent(CACHE // 12), Recent(5 * CACHE // 12)
 
     def _whole(self, words: list[str]) -> Iterator[bytes]:
         return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False))
 
-    def _core(self, letters: str) -> bytes:
-        word = letters.lower()
-        ids = self.known.get(word)
+    def _part(self, part: str, letters: bool) -> bytes:
+        """Ids of lower-cased letters, or of punctuation."""
+        ids = self.parts.before.get(part)
         if ids is None:
-            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            ids = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
-            self.held += len(word)
+            if letters:
+                signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+                binary = self.binary
+                ids = b"".join([binary[t.id] for t in self.merge(signs)])
+            else:
+                ids = next(self._whole([part]))
+        self.parts.now[part] = ids
+        self.parts.held += len(part)
         return ids
 
     def _learn(self, words: set[str]) -> None:
         odd = []
+        now, before, parts = self.words.now, self.words.before.get, self.parts.now.get
         for word in words:
-            plain = _PLAIN.fullmatch(word)
-            if not plain:
-                odd.append(word)
-            elif not plain[2]:
-                self.known[word] = self._core(word)
-            else:
-                tail = self.known.get(plain[2])
-                if tail is None:
-                    tail = self.known[plain[2]] = next(self._whole([plain[2]]))
-                self.known[word] = self._core(plain[1]) + tail
-        self.known.update(zip(odd, self._whole(odd)))
+            ids = before(word)
+            if ids is None:
+                letters = word.rstrip(punctuation)
+                if not (letters.isascii() and letters.isalpha()) and not _LATIN.fullmatch(letters):
+                    odd.append(word)
+                    continue
+                low, tail = letters.lower(), word[len(letters) :]
+                ids = b""
+                if low:
+                    ids = parts(low)
+                    if ids is None:
+                        ids = self._part(low, True)
+                if tail:
+                    own = parts(tail)
+                    ids += self._part(tail, False) if own is None else own
+            now[word] = ids
+        now.update(zip(odd, self._whole(odd)))
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.known)
+        self.words.make_room()
+        self.parts.make_room()
+        new = set(words).difference(self.words.now)
         if new:
-            size = sum(map(len, new))
-            if self.held + size > CACHE:
-                self.known, self.held = {"": b""}, 0
-                new = set(words)
-                new.discard("")
-                size = sum(map(len, new))
-            self.held += size
+            self.words.held += sum(map(len, new))
             self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.now.__getitem__, words))
 
 
 _encoders: dict[int, WordIds] = {}  # of this process, so that tasks share what it has learned
