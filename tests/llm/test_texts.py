@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.llm import decontam, extraction, langid, lm, packing, quality, toxicity
+from veilwork.llm import decontam, extraction, langid, lines, lm, packing, quality, simhash, toxicity
+from veilwork.llm.base import lean
 
 SF_DIR = os.environ.get("VEILWORK_SF_DIR", "/root/testdata/sf0.001")
 has_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -410,6 +412,29 @@ def test_encoder_is_given_up():
     assert not packing._encoders
 
 
+def test_workers_give_back_memory():
+    top = []
+
+    def work(batches):
+        held = []
+        for batch in batches:
+            held += [b"x" * (2000 + i % 7) for i in range(50_000)]
+            top.append(b"y" * 2000)  # lies above the others and stays
+            yield batch
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096 / 1e6
+
+    before = resident()
+    assert list(lean(work)(iter([1, 2, 3]))) == [1, 2, 3]
+    assert resident() - before < 100  # of 300 MB
+    for module in (decontam, langid, lines, lm, packing, simhash):
+        with open(module.__file__, encoding="utf-8") as file:
+            lines_of = file.read().split("\n")
+        assert all("@lean" in before for before, line in zip(lines_of, lines_of[1:]) if re.search(r"def \w+\(batches: Iterator", line))
+
+
 def test_words_outlast_the_bound(monkeypatch):
     from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import query, table
+from veilwork.llm.base import lean, query, table
 
 SEGMENT = 64
 THRESHOLD = 0.6  # of a segment's own score
@@ -245,6 +245,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         yield Index(held, df, max(stats["n"], 1), stats["words"] / max(stats["segments"], 1))
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = [(len(t.encode("utf-8", "surrogatepass")), Item(None, t)) for t in batch.column(0).to_pylist()]
@@ -253,6 +254,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bytes", "words", "segments"])
 
 
+@lean
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held = [sorted(set(words_of(t))) for t in batch.column(1).to_pylist()]
@@ -275,6 +277,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for index in indexes(items):
         sent = spark.sparkContext.broadcast(index)
 
+        @lean
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
@@ -310,6 +313,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for index in indexes(items):
         sent = spark.sparkContext.broadcast(index)
 
+        @lean
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [not sent.value.matches(t) for t in batch.column(at).to_pylist()]

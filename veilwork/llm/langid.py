@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import query, remainder, table
+from veilwork.llm.base import lean, query, remainder, table
 
 FIT_ROWS = 2500
 WORDS = 20_000
@@ -118,6 +118,7 @@ def fit(docs: DataFrame) -> Model:
     share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(FIT_ROWS / n)) for x, n in sizes.items()))
     sample = usable.where(F.col("draw") < share[F.col("lang")] * 1_000_000).select("lang", "text")
 
+    @lean
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
@@ -156,6 +157,7 @@ def predict(docs: DataFrame, model: Model, ids: list[str], text: str = "text") -
     """The columns ``ids`` with ``lang_pred`` and ``score``; only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
         for batch in batches:
@@ -189,6 +191,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
         for batch in batches:

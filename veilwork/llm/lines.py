@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import checkpointed, free_name, numbered, query, table
+from veilwork.llm.base import checkpointed, free_name, lean, numbered, query, table
 from veilwork.session import discard, shared_dir
 
 MIN_WORDS = 20  # of a passage that goes
@@ -177,6 +177,7 @@ def chunks(text: str) -> list[tuple[int, int]]:
 def chunk_hashes(rows: DataFrame) -> DataFrame:
     """``row, n, at, hash`` of every chunk of ``rows`` that counts (``row``, ``text``): n counts a text's, at is in bytes."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
@@ -226,6 +227,7 @@ def runs(found: DataFrame) -> DataFrame:
     by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "at", "from_row", "from_at"))).alias("all"))
     names = ["row", "from_row", "from_first", "from_last", "shift"]
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
@@ -338,6 +340,7 @@ def count_names(docs: DataFrame) -> list[str]:
 
 
 def _pack(at: int):
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=2).compress
         for batch in batches:
@@ -360,6 +363,7 @@ def _fetch(at: int, width: int):
     kinds = [pa.int64()] * 4 + [pa.binary()]
     names = ["from_row", "from_first", "from_last", "begin", "body"]
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=2).compress
         for batch in batches:
@@ -378,6 +382,7 @@ def _fetch(at: int, width: int):
 
 
 def _cut(at: int, width: int, added: list[str]):
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import checkpointed, numbered, query, table
+from veilwork.llm.base import checkpointed, give_back, lean, numbered, query, table
 
 LIMIT = 2048
 BLOCK = 2000  # pieces of a block, in the mean
@@ -144,7 +144,9 @@ def encoder(tokenizer_json: str) -> WordIds:
 
 def forget_words() -> None:
     """Give up this process's encoder: it would be kept through all later work of the worker."""
-    _encoders.clear()
+    if _encoders:
+        _encoders.clear()
+        give_back()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -152,6 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()  # a vocabulary of fixed size, shipped with the task
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_json)
         for batch in batches:
@@ -285,6 +288,7 @@ def _islands(items: DataFrame, limit: int) -> DataFrame:
         first = [fresh(lengths, limit, rng, 0.0 if n + island == 0 else 0.02 * (n + island)) for n in range(POPULATION)]
         return pa.Table.from_batches([_rows([_row(block, island, lengths, evolve(lengths, first, limit, rng), limit)])])
 
+    @lean
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

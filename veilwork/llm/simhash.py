@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import checkpointed, free_name, numbered, query, table
+from veilwork.llm.base import checkpointed, free_name, lean, numbered, query, table
 from veilwork.llm.components import components
 
 SHINGLE = 3
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, ids: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The columns ``ids`` of ``docs`` and ``fp``, the fingerprint as a signed long."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column(len(ids)).to_pylist()], np.uint64)
@@ -123,6 +124,7 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = nodes.sparkSession
     schema = "a bigint, b bigint"
 
+    @lean
     def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
