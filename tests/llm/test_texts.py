@@ -428,7 +428,7 @@ def test_workers_give_back_memory():
 
     before = resident()
     assert list(lean(work)(iter([1, 2, 3]))) == [1, 2, 3]
-    assert resident() - before < 100  # of 300 MB
+    assert resident() - before < 50  # of 300 MB, of which some 100 stay otherwise
     for module in (decontam, langid, lines, lm, packing, simhash):
         with open(module.__file__, encoding="utf-8") as file:
             lines_of = file.read().split("\n")
