@@ -5,17 +5,26 @@ blank; where there is none for long, it is cut all the same. Which blank that is
 released before, so cut positions are running maxima over a reply's pieces in order. Only stretches without any blank need a
 fold, over the ends of their pieces. What lies between two cuts is a turn of the session masker.
 
-All of it is windows and joins: no reply is gathered. A value with blanks in it (a card in groups of four) can be
+All of that is windows and joins: no reply is gathered. A value with blanks in it (a card in groups of four) can be
 cut in two and missed, which masking of the whole text would not do.
+
+Whole lines go by a shorter way, :func:`mask_lines`: they are shuffled once, read in order by a fold that holds back no more
+than a window of text, and carried along with what they release, so that nothing is joined to them again. Windows are left to
+replies whose lines can't be told apart.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType
 
-from veilwork.operators.restore import unmask
-from veilwork.operators.sessions import mask_sessions
+from veilwork.operators.restore import may_hold_masks, unmask
+from veilwork.operators.sessions import mask_sessions, masked_turns, scanned_turns
 from veilwork.rules import ScrubRules
 from veilwork.session import as_long, written
 
@@ -25,6 +34,17 @@ FORCED_CUT_FACTOR = 4
 BREAKS = " \t\n\r"
 # --- end of fixed values ---
 
+_UP_TO_A_BLANK = re.compile(f"(?s).*[{BREAKS}]")
+
+
+def releasable(text: str, buffer: int = BUFFER) -> int:
+    """How much of the text held so far may go: up to its last blank before the buffer, or all before it if there is too much."""
+    beyond = max(0, len(text) - buffer)
+    blank = beyond and _UP_TO_A_BLANK.match(text, 0, beyond + 1)
+    if blank:
+        return blank.end()
+    return beyond if len(text) > FORCED_CUT_FACTOR * buffer else 0
+
 
 def _after_last_blank(text: Column) -> Column:
     """Length of ``text`` up to and with its last blank; 0 without one."""
@@ -162,8 +182,98 @@ def mask_released(
 
 
 def restored(masked: DataFrame, entries: DataFrame | None, rules: ScrubRules) -> DataFrame:
-    """Released text with the masks of the request and the reply replaced by what they stand for."""
+    """Released text with the masks of the request and the reply replaced by what they stand for; other columns stay."""
     if entries is None or not rules.reversible:
         return masked
-    found = unmask(written(masked), entries, ["stream_id", "seq"], "stream_id", "safe", rules, out="_restored")
-    return found.select("stream_id", "seq", F.col("_restored").alias("safe"))
+    # only what may hold a mask is written
+    holds = may_hold_masks(F.col("safe"), rules)
+    found = unmask(written(masked.where(holds)), entries, ["stream_id", "seq"], "stream_id", "safe", rules, out="_restored")
+    return found.withColumn("safe", F.col("_restored")).drop("_restored").unionByName(masked.where(~holds))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines dealt by stream and sorted, as :func:`mask_lines` and windows over a stream read them."""
+    return lines.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+
+
+def with_turns(lines: DataFrame, buffer: int = BUFFER) -> DataFrame:
+    """``lines`` with ``_turn``, what each releases, in place of ``piece``, and ``_odd``.
+
+    ``_odd`` says that its stream can't be read line by line: a key is null or comes again, or a piece follows the end.
+    """
+    kept = [c for c in lines.columns if c != "piece"]
+    places = [kept.index(c) for c in ("stream_id", "seq", "is_done")]
+    fields = [lines.schema[c] for c in kept]
+    kind = StructType(fields).add("_turn", StringType()).add("_odd", BooleanType())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, last, held, ended = object(), None, "", False
+        for batch in batches:
+            turns, odd = [], []
+            for now, seq, done, piece in zip(*(batch.column(c).to_pylist() for c in (*places, len(kept)))):
+                again = now == stream and seq == last
+                if now != stream:
+                    stream, held, ended = now, "", False
+                last, turn = seq, None
+                strange = again or now is None or seq is None or now != now
+                if done:
+                    turn, held, ended = held or None, "", True
+                elif piece and done is not None:
+                    strange = strange or ended
+                    held += piece
+                    cut = releasable(held, buffer)
+                    if cut:
+                        turn, held = held[:cut], held[cut:]
+                turns.append(turn)
+                odd.append(strange)
+            columns = [*batch.columns[:-1], pa.array(turns, pa.string()), pa.array(odd, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=kind.names)
+
+    return lines.select(*kept, "piece").mapInArrow(work, kind)
+
+
+def mask_lines(
+    lines: DataFrame, rules: ScrubRules, asked: DataFrame | None = None, buffer: int = BUFFER, back: bool = False
+) -> DataFrame:
+    """``lines`` with ``safe``, what each releases, masked, in place of ``piece``; ``back``: with the originals for masks.
+
+    ``lines`` (:func:`in_order`): ``stream_id, seq, piece, is_done`` and others. ``piece`` is null of lines that carry none. ``asked``: as
+    in :func:`mask_released`.
+    """
+    carry = [c for c in lines.columns if c not in ("stream_id", "seq", "piece")]
+    every = with_turns(lines, buffer).withColumn("_asked", F.lit(False))
+    if asked is not None:
+        texts = asked.select("stream_id", "seq", F.col("text").alias("_turn"), F.lit(True).alias("_asked"), F.lit(False).alias("_odd"))
+        every = every.unionByName(texts, allowMissingColumns=True)
+    aside = [*carry, "_asked", "_odd"]
+    if rules.ordered:
+        every = scanned_turns(every, "stream_id", ("seq",), "_turn", rules, aside)
+    else:
+        every = written(every)
+    odd = every.where("_odd").select(F.col("stream_id").alias("_stream")).distinct()
+    strange = not odd.isEmpty()
+    if strange:
+        odd = written(odd)
+        same = F.col("stream_id").eqNullSafe(F.col("_stream"))
+        every = every.join(odd, same, "left_anti")
+    if rules.ordered:
+        masked, entries = masked_turns(every, "stream_id", ("seq",), rules, "safe", aside)
+    else:
+        masked, entries = every.withColumnRenamed("_turn", "safe"), None
+    masked = masked.where("not _asked").drop("_asked", "_odd")
+    safe = restored(masked, entries, rules) if back else masked
+    columns = [F.col(c).cast(lines.schema[c].dataType).alias(c) for c in ("stream_id", "seq", *carry)]
+    safe = safe.select(*columns, "safe")
+    if strange:
+        asked = asked if asked is None else asked.join(odd, same, "left_semi")
+        safe = safe.unionByName(_lines_by_windows(lines.join(odd, same, "left_semi"), rules, asked, buffer, back))
+    return safe
+
+
+def _lines_by_windows(lines: DataFrame, rules: ScrubRules, asked: DataFrame | None, buffer: int, back: bool) -> DataFrame:
+    kept = written(lines)
+    pieces = kept.where("not is_done").select("stream_id", "seq", F.col("piece").alias("text"))
+    safe, entries = mask_released(pieces, kept.where("is_done").select("stream_id", "seq"), rules, asked, buffer)
+    if back:
+        safe = restored(safe, entries, rules)
+    return kept.drop("piece").join(as_long(safe), ["stream_id", "seq"], "left")

@@ -46,6 +46,11 @@ def _mask_hint(rules: ScrubRules) -> str:
     return jvm_pattern("(?:" + "|".join(re.escape(s) for s in starts) + ")[1-9]")
 
 
+def may_hold_masks(text: Column, rules: ScrubRules) -> Column:
+    """Whether ``text`` may hold a mask; never null."""
+    return F.coalesce(text.rlike(_mask_hint(rules)), F.lit(False))
+
+
 def _filled(numbers: Column, template: str) -> Column:
     return F.transform(numbers, lambda n: F.replace(F.lit(template), F.lit("{idx}"), n))
 
@@ -69,7 +74,7 @@ def unmask(
     rules = rules or ScrubRules()
     if not rules.ordered:
         return replies.withColumn(out, F.col(text))
-    may_hold = F.coalesce(F.col(text).rlike(_mask_hint(rules)), F.lit(False))
+    may_hold = may_hold_masks(F.col(text), rules)
     holding = replies.where(may_hold)
     used = holding.select(
         *keys, session, F.explode_outer(masks_in(F.col(text), rules)).alias("mask")

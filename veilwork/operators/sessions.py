@@ -31,7 +31,7 @@ def scan_turns(
 
 
 def _scan_all(
-    df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules
+    df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules, carry: Sequence[str] = ()
 ) -> DataFrame:
     """All turns with what the rules found in them."""
 
@@ -41,7 +41,7 @@ def _scan_all(
             lambda s: F.struct(s["text"].alias("text"), s["seen"].alias("seen"), tag.alias("tag")),
         )
 
-    return bound(df.select(session, *order, text), "scan", let(free_tag(F.col(text)), with_tag))
+    return bound(df.select(session, *order, *carry, text), "scan", let(free_tag(F.col(text)), with_tag))
 
 
 def turn_values(scanned: DataFrame, session: str, order: Sequence[str]) -> DataFrame:
@@ -124,18 +124,31 @@ def mask_sessions(
     Returns the turns with the masked text, and the mask map.
     """
     rules = rules or ScrubRules()
-    keys = [session, *order]
     if not rules.ordered:
-        return df.select(*keys, F.col(text).alias(out)), None
+        return df.select(session, *order, F.col(text).alias(out)), None
+    return masked_turns(scanned_turns(df, session, order, text, rules), session, order, rules, out)
+
 
-    # scanned once; of a turn with hits the scan is kept, of any other the text
+def scanned_turns(
+    df: DataFrame, session: str, order: Sequence[str], text: str, rules: ScrubRules, carry: Sequence[str] = ()
+) -> DataFrame:
+    """All turns, scanned once, as a table: of a turn with hits the scan is kept, of any other the text. ``carry`` names columns to keep."""
+    keys = [session, *order]
     hit = F.size("scan.seen") > 0
-    every = written(
-        _scan_all(df, session, order, text, rules).select(
-            *keys, F.when(~hit, F.col(text)).alias("_same"), F.when(hit, F.col("scan")).alias("scan")
-        )
+    return written(
+        _scan_all(df, session, order, text, rules, carry).select(
+            *keys, *carry, F.when(~hit, F.col(text)).alias("_same"), F.when(hit, F.col("scan")).alias("scan")
+        ),
+        "zstd" if carry else "snappy",
     )
-    scanned = every.where(F.col("scan").isNotNull()).select(*keys, "scan")
+
+
+def masked_turns(
+    every: DataFrame, session: str, order: Sequence[str], rules: ScrubRules, out: str, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Masked text of the turns that :func:`scanned_turns` made, and the mask map. Turns without a hit are not shuffled."""
+    keys = [session, *order]
+    scanned = every.where(F.col("scan").isNotNull()).select(*keys, *carry, "scan")
     values = turn_values(scanned, session, order)
     entries = session_map(values, session, order, rules)
 
@@ -161,9 +174,9 @@ def mask_sessions(
         "",
     )
     changed = (
-        scanned.join(as_long(of_turn), keys).withColumn("place", place).select(*keys, masked.alias(out))
+        scanned.join(as_long(of_turn), keys).withColumn("place", place).select(*keys, *carry, masked.alias(out))
     )
-    same = every.where(F.col("scan").isNull()).select(*keys, F.col("_same").alias(out))
+    same = every.where(F.col("scan").isNull()).select(*keys, *carry, F.col("_same").alias(out))
     if not rules.reversible:
         return same.unionByName(changed), entries.where(F.lit(False))
     return same.unionByName(changed), restorable(entries, session, order, rules)
