@@ -11,6 +11,7 @@ import pytest
 from veilwork.operators import released
 from veilwork.plans import streamed
 from veilwork.rules import ScrubRules
+from veilwork.streaming import chunks
 
 RULES = ScrubRules()
 
@@ -111,3 +112,58 @@ def test_lines_written_back(spark):
     replies = streamed.streamed_replies(df)
     settled = {r["request_id"]: r["settled_tokens"] for r in streamed.settle_streamed(requests, replies).collect()}
     assert settled == {1: 13, 3: 10}  # the reply without an end failed
+
+
+def lines_of(spark, seed, strange):
+    """Pieces of replies as rows, some of which repeat, have no key or follow the end; and what the regular ones release."""
+    rng = random.Random(seed)
+    rows, expected = [], {}
+    for i in range(30):
+        pieces = some_reply(rng)
+        own = [(i, n, p, False) for n, p in enumerate(pieces)]
+        ended = i % 5 > 0
+        if ended:
+            own.append((i, len(pieces), None, True))
+        if strange and i % 3 == 0:
+            own += rng.sample(own, min(2, len(own))) + [(None, 1, "no key u1@corp.io", False), (i, None, "nor this", False), (i, len(pieces) + 2, "late u1@corp.io ", False)]
+        else:
+            out, rest = read_by_piece(pieces, 16)
+            expected |= {(i, n): t for n, t in enumerate(out) if t} | ({(i, len(pieces)): rest} if ended and rest else {})
+        rows += own
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "stream_id int, seq bigint, piece string, is_done boolean").repartition(4), expected
+
+
+def test_lines_are_read_in_order_without_windows(spark, monkeypatch):
+    lines, expected = lines_of(spark, 1, False)
+
+    def never(*args, **kwargs):
+        raise AssertionError("pieces went through windows and joins")
+
+    monkeypatch.setattr(released, "cut_positions", never)
+    got = {(r["stream_id"], r["seq"]): r["safe"] for r in chunks.mask_chunks(lines, RULES, 16).collect()}
+    assert len(got) == lines.count() and {k for k, t in got.items() if t} == set(expected)
+    assert all(got[k] == t for k, t in expected.items() if not any(c.isdigit() for c in t))
+    sent = lines.where("not is_done").selectExpr("stream_id", "seq", "'data: ' || to_json(struct(array(struct(struct(piece AS content) AS delta)) AS choices)) AS line")
+    assert streamed.streamed_replies(sent, RULES).count() == sent.count()
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_lines_that_cannot_be_told_apart_go_by_windows(spark, back):
+    lines, expected = lines_of(spark, 2, True)
+    asked = spark.createDataFrame([(i, -1, "from u22@corp.io") for i in range(0, 30, 2)], "stream_id int, seq bigint, text string")
+    got = released.mask_lines(released.in_order(lines), RULES, asked, 16, back)
+    want = released._lines_by_windows(lines, RULES, asked, 16, back)
+    assert got.schema.names == ["stream_id", "seq", "is_done", "safe"]
+    strange = lambda rows: sorted(str(r) for r in rows if (r["stream_id"] or 0) % 3 == 0)
+    assert strange(got.collect()) == strange(want.select(got.columns).collect())
+    released_here = {(r["stream_id"], r["seq"]): r["safe"] for r in got.collect() if (r["stream_id"] or 0) % 3 and r["safe"]}
+    assert released_here.keys() == expected.keys() and (not back or released_here == expected)
+
+
+def test_nothing_is_released_of_a_full_buffer(spark):
+    # the second piece fills the buffer again from a blank on: it waits, whatever its first character is
+    rows = [(1, 0, "a" * 9 + " " + "\n" + "b" * 15, False), (1, 1, "c", False), (1, 2, "d", False), (1, 3, None, True)]
+    lines = spark.createDataFrame(rows, "stream_id int, seq bigint, piece string, is_done boolean")
+    out, rest = read_by_piece([r[2] for r in rows[:-1]], 17)
+    assert [r["safe"] for r in chunks.mask_chunks(lines, RULES, 17).orderBy("seq").collect()] == [*out, rest]

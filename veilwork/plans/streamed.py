@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.operators.budgets import settle_usage
-from veilwork.operators.released import BUFFER, mask_released, restored
+from veilwork.operators.released import BUFFER, in_order, mask_lines
 from veilwork.rules import ScrubRules
-from veilwork.session import as_long, written
+from veilwork.session import as_long
 from veilwork.sources import sse
 
 
@@ -30,14 +30,12 @@ def streamed_replies(
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(None).cast(kind))
     created = F.coalesce("created", F.unix_timestamp())
-    # the shuffle up to the end mark takes the lines alone, and what a line says again isn't kept beside it
+    # the one shuffle of lines takes them alone; what a line says again isn't kept beside it
     sent = lines.select("stream_id", "seq", "line", "model", created.alias("created"), sse.is_end(F.col("line")).alias("is_done"))
-    parsed = sse.parse_sse_lines(sse.up_to_the_end(sent))
-    kept = written(parsed.select("stream_id", "seq", "line", "model", "created", "kind", "piece", "is_done"))
-    pieces = kept.where("kind = 'piece'").select("stream_id", "seq", F.col("piece").alias("text"))
-    masked, entries = mask_released(pieces, kept.where("is_done").select("stream_id", "seq"), rules, asked, buffer)
-    safe = restored(masked, entries, rules)
-    whole = kept.drop("piece").join(as_long(safe), ["stream_id", "seq"], "left")
+    parsed = sse.parse_sse_lines(sse.up_to_the_end(in_order(sent)))
+    piece = F.when(F.col("kind") == "piece", F.col("piece"))
+    kept = parsed.select("stream_id", "seq", "line", "model", "created", "kind", "is_done", piece.alias("piece"))
+    whole = mask_lines(kept, rules, asked, buffer, back=True)
     return whole.withColumn("payload", sse.payload_of(F.col("line"))).select(
         "stream_id", "seq", "kind", sse.line_out(F.col("safe"), F.col("model"), F.col("created")).alias("out")
     )
